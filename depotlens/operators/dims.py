@@ -64,19 +64,23 @@ def outlet_identity(gst: Column, latitude: Column, longitude: Column) -> Column:
     return F.coalesce(by_tax, by_point)
 
 
-def outlet(raw: DataFrame) -> DataFrame:
-    """Canonical city, test flag, duplicate flag, default inclusion. Flags only; no row is dropped."""
-    base = raw.withColumns(
+def outlet_plain(raw: DataFrame) -> DataFrame:
+    """Canonical city, test flag, default inclusion. Flags only; no row is dropped."""
+    is_test = is_test_name(F.col("outlet_name"))
+    return raw.withColumns(
         {
             "city_canonical": canonical_city(F.col("city")),
-            "is_test_outlet": is_test_name(F.col("outlet_name")),
-            "dedup_key": outlet_identity(F.col("gst_number"), F.col("latitude"), F.col("longitude")),
+            "is_test_outlet": is_test,
+            "include_by_default": (F.col("is_deleted") == 0) & ~is_test,
         }
     )
-    flagged = mark_repeated_keys(base, key="dedup_key", row_id="outlet_id", flag="is_duplicate_outlet")
-    return flagged.drop("dedup_key").withColumn(
-        "include_by_default", (F.col("is_deleted") == 0) & ~F.col("is_test_outlet")
-    )
+
+
+def outlet(raw: DataFrame) -> DataFrame:
+    """``outlet_plain`` with the duplicate flag: all outlets that share an identity are flagged."""
+    identity = outlet_identity(F.col("gst_number"), F.col("latitude"), F.col("longitude"))
+    keyed = outlet_plain(raw).withColumn("dedup_key", identity)
+    return mark_repeated_keys(keyed, key="dedup_key", row_id="outlet_id", flag="is_duplicate_outlet").drop("dedup_key")
 
 
 def date_spine(spark: SparkSession, first: date = SPINE_START, last: date = SPINE_END) -> DataFrame:

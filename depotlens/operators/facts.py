@@ -84,7 +84,7 @@ def deliveries(raw: DataFrame, orders: DataFrame, shift_utc: bool = True) -> Dat
             ),
             "delay_minutes", "distance_km", "delivery_status",
             F.col("pod_captured").cast("boolean").alias("pod_captured"),
-            F.col("temperature_excursion_flag").cast("boolean").alias("temperature_excursion_flag"),
+            (F.col("temperature_excursion_flag") == 1).alias("temperature_excursion_flag"),
             "max_temp_celsius", "returned_cases", "failure_reason_code", "fuel_cost_inr",
             (F.col("delay_minutes") <= 0).alias("is_on_time"),
         )
@@ -92,20 +92,25 @@ def deliveries(raw: DataFrame, orders: DataFrame, shift_utc: bool = True) -> Dat
     )
 
 
-def returns(raw: DataFrame, lines: DataFrame, dim_product: DataFrame, dim_outlet: DataFrame) -> DataFrame:
-    """The sign of the returned quantity is source noise. A case quantity needs its line's pack."""
+def returns(raw: DataFrame, lines: DataFrame | None, dim_product: DataFrame, dim_outlet: DataFrame) -> DataFrame:
+    """The sign of the returned quantity is source noise. A case quantity needs its line's pack.
+
+    Without ``lines`` the quantity in eaches is left out and the lookup saved.
+    """
     qty = F.abs("return_qty")
-    line_pack = lines.select("order_line_id", "case_pack_at_order")
+    eaches = []
+    if lines is not None:
+        raw = raw.join(lines.select("order_line_id", "case_pack_at_order"), "order_line_id", "left")
+        eaches = [N.to_eaches(qty, F.col("qty_uom"), F.col("case_pack_at_order")).alias("return_eaches")]
     return (
-        raw.join(line_pack, "order_line_id", "left")
+        raw
         .join(dim_product.select("product_id", "sku_code", "category", "brand"), "product_id")
         .join(dim_outlet.select("outlet_id", "region_id"), "outlet_id")
         .select(
             "return_id", "credit_note_number", "order_id", "order_line_id", "outlet_id", "region_id", "product_id",
             F.col("return_date").cast("date").alias("return_date"),
             qty.alias("return_qty"),
-            "qty_uom",
-            N.to_eaches(qty, F.col("qty_uom"), F.col("case_pack_at_order")).alias("return_eaches"),
+            "qty_uom", *eaches,
             "return_reason_code", "credit_note_value_inr", "disposition", "status", "sku_code", "category", "brand",
         )
     )
