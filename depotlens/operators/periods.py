@@ -28,7 +28,14 @@ class Period:
         return (day >= _bound(self.start)) & (day < _bound(self.end))
 
     def of(self, df: DataFrame, day: str) -> DataFrame:
-        return df if self.start is None else df.where(self.covers(F.col(day)))
+        """Rows of the period; a table partitioned by the month of ``day`` is pruned to its months."""
+        if self.start is None:
+            return df
+        month = f"{day}_month"
+        if month in df.columns:
+            last = F.date_sub(_bound(self.end), 1)
+            df = df.where(F.col(month).between(D.month_key(_bound(self.start)), D.month_key(last)))
+        return df.where(self.covers(F.col(day)))
 
 
 def _bound(b: date | Column) -> Column:

@@ -435,6 +435,8 @@ class SampleTables:
         city = F.element_at(F.array(*[F.lit(c) for c in self.LISTING_CITIES]), (key % 4 + 1).cast("int"))
         # A city owns every fourth key, so a page of CARDS_PER_PAGE spans four times as many keys.
         page = F.floor(key / (4 * self.CARDS_PER_PAGE)) + 1
+        # Pages declare how many there are; one city declares a page that never landed.
+        declared = self.raw("part").agg(F.max(page)).scalar() + F.when(_col("city") == "delhi", 1).otherwise(0)
         return (
             self.raw("part")
             .select(city.alias("city"), page.alias("page"), key.alias("key"), card.alias("card"))
@@ -444,7 +446,8 @@ class SampleTables:
                 "city",
                 F.concat(F.lit("/city/"), "city", F.lit("/page/"), F.col("page").cast("string"), F.lit(".html")).alias("url"),
                 F.concat(
-                    F.lit("<html><body><p>Page "), F.col("page").cast("string"), F.lit(" of 5</p>"),
+                    F.lit("<html><body><p>Page "), F.col("page").cast("string"), F.lit(" of "), declared.cast("string"),
+                    F.lit("</p>"),
                     F.array_join(F.transform("cards", lambda c: c["card"]), ""), F.lit("</body></html>"),
                 ).alias("html"),
             )
