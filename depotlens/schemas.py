@@ -12,8 +12,24 @@ MONEY = T.DecimalType(18, 4)
 RUPEES = T.DecimalType(18, 2)
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "DECIMAL(18,2)": RUPEES,
+    "DECIMAL(18,4)": MONEY,
+}
+
+
+def _schema(columns: str, **nested: T.DataType) -> T.StructType:
+    """Columns as ``name TYPE, ...``; needs no session, unlike a DDL string."""
+    flat = [c.split(" ") for c in columns.split(", ")]
+    fields = [T.StructField(name, _TYPES[kind]) for name, kind in flat]
+    return T.StructType(fields + [T.StructField(name, kind) for name, kind in nested.items()])
 
 
 # Operational tables, as the source system holds them.
@@ -84,11 +100,17 @@ INVOICE_PAGE = T.StructType(
         T.StructField("total_estimate", T.LongType()),
     ]
 )
-CARRIER = _schema("carrier_id STRING, carrier_name STRING, regions ARRAY<STRING>")
+CARRIER = _schema("carrier_id STRING, carrier_name STRING", regions=T.ArrayType(T.StringType()))
 SURCHARGE = _schema("month STRING, surcharge_pct DOUBLE")
 WEATHER_DOC = _schema(
-    "city STRING, daily STRUCT<time: ARRAY<STRING>, temperature_2m_max: ARRAY<DOUBLE>, "
-    "precipitation_sum: ARRAY<DOUBLE>>"
+    "city STRING",
+    daily=T.StructType(
+        [
+            T.StructField("time", T.ArrayType(T.StringType())),
+            T.StructField("temperature_2m_max", T.ArrayType(T.DoubleType())),
+            T.StructField("precipitation_sum", T.ArrayType(T.DoubleType())),
+        ]
+    ),
 )
 
 # Normalised feeds, as read by the warehouse build.
@@ -107,5 +129,9 @@ LISTINGS = _schema(
 WEATHER = _schema("city STRING, date DATE, temp_max_c DOUBLE, precipitation_mm DOUBLE")
 
 
+# What the invoice ingest stores: the feed with its partition columns.
+STORED_FREIGHT = T.StructType(FREIGHT.fields + _schema("batch_id BIGINT, invoice_month STRING").fields)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

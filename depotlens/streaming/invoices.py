@@ -24,17 +24,13 @@ def _unseen(fresh: DataFrame, out: str, batch_id: int) -> DataFrame:
     if batch_id == 0:
         return fresh
     spark = fresh.sparkSession
-    done = spark.read.schema(_stored_schema()).parquet(out).where(F.col("batch_id") < batch_id)
+    done = spark.read.schema(schemas.STORED_FREIGHT).parquet(out).where(F.col("batch_id") < batch_id)
     # The semi join with the batch's months becomes a partition filter on what is read.
     months = fresh.select("invoice_month").distinct()
     seen = done.join(months, "invoice_month", "left_semi").select("invoice_month", "invoice_id")
     return fresh.join(seen, ["invoice_month", "invoice_id"], "left_anti")
 
 
-def _stored_schema():
-    return schemas._schema(schemas.FREIGHT.toDDL() + ", batch_id BIGINT, invoice_month STRING")
-
-
 def store_batch(out: str) -> Callable[[DataFrame, int], None]:
     """The sink of one micro-batch of normalised invoices."""
 
@@ -53,9 +49,7 @@ def store_batch(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def ingest(
-    stream: DataFrame, out: str, checkpoint: str, wait: bool = True
-):
+def ingest(stream: DataFrame, out: str, checkpoint: str, wait: bool = True):
     """Run what has landed through to ``out`` and stop; call again for what lands later.
 
     ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``).
@@ -72,12 +66,14 @@ def ingest(
     return query
 
 
-def landed_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Streaming frame of the invoices in landed JSON page documents."""
+def landed_pages(
+    spark: SparkSession, path: str, files_per_batch: int = 1000, page_per_file: bool = False
+) -> DataFrame:
+    """Streaming frame of the invoices in landed JSON page documents, one per line or one per file."""
     pages = (
         spark.readStream.schema(schemas.INVOICE_PAGE)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("multiLine", True)
+        .option("multiLine", page_per_file)
         .json(path)
     )
     return landed.invoices_of_pages(pages)
@@ -85,4 +81,4 @@ def landed_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 def stored(spark: SparkSession, out: str) -> DataFrame:
     """All invoices ingested so far."""
-    return spark.read.schema(_stored_schema()).parquet(out.rstrip("/"))
+    return spark.read.schema(schemas.STORED_FREIGHT).parquet(out.rstrip("/"))
