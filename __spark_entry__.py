@@ -36,7 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _star(spark: SparkSession, sf_dir: str) -> LazyStar:
-    return LazyStar(SampleTables(spark, sf_dir).landed())
+    return LazyStar(SampleTables(spark, sf_dir))
 
 
 def _on_star(build: Callable[[LazyStar], DataFrame]) -> Query:
@@ -158,7 +158,7 @@ def _line_keys(t: SampleTables) -> DataFrame:
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the warehouse in the shared folder, gate it, open it, count its tables."""
     out = f"{scratch_dir(spark)}/warehouse-{uuid4().hex}"
-    sources = SampleTables(spark, sf_dir).landed()
+    sources = SampleTables(spark, sf_dir)
     n_test = sources.outlets.where(dims.is_test_name(F.col("outlet_name"))).count()
     stored = warehouse.build(sources, out)
     warehouse.gate(stored, sources, first=FIRST_DAY, last=LAST_DAY, expected_test_outlets=n_test)
@@ -195,7 +195,7 @@ def _invoice_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _carriers(t: SampleTables) -> DataFrame:
-    docs = t.carriers().select(F.to_json(F.struct("carrier_id", "carrier_name", "regions")).alias("body"))
+    docs = t.carriers.select(F.to_json(F.struct("carrier_id", "carrier_name", "regions")).alias("body"))
     return landed.flatten_carriers(landed.parse_documents(docs, "body", "carrier"))
 
 
@@ -204,7 +204,7 @@ def _surcharge(t: SampleTables) -> DataFrame:
     ends = t.raw("orders").agg(
         F.min("o_orderdate").cast("date").alias("first"), F.add_months(F.max("o_orderdate").cast("date"), 3).alias("last")
     )
-    records = landed.parse_documents(t.surcharge_docs(), "body", "surcharge")
+    records = landed.parse_documents(t.surcharge_docs, "body", "surcharge")
     return landed.surcharge_table(landed.month_series(ends, "first", "last"), records)
 
 

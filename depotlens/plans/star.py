@@ -23,9 +23,20 @@ FACT_TABLES = (
 )
 
 
+class Sources:
+    """What a build reads: one attribute per operational table and feed."""
+
+    spark: SparkSession
+
+    def optional(self, name: str, schema) -> DataFrame:
+        """A feed, or an empty frame of its schema where it is missing."""
+        found = getattr(self, name)
+        return schemas.empty(self.spark, schema) if found is None else found
+
+
 @dataclass(frozen=True)
-class Landed:
-    """Sources of one build. Optional feeds that are missing become empty frames."""
+class Landed(Sources):
+    """Sources given as frames. Feeds may be missing."""
 
     spark: SparkSession
     regions: DataFrame
@@ -43,10 +54,6 @@ class Landed:
     listings: DataFrame | None = None
     weather: DataFrame | None = None
 
-    def optional(self, name: str, schema) -> DataFrame:
-        found = getattr(self, name)
-        return schemas.empty(self.spark, schema) if found is None else found
-
 
 class _Star:
     spark: SparkSession
@@ -79,7 +86,7 @@ class _Star:
 
 
 class LazyStar(_Star):
-    def __init__(self, landed: Landed, strict_family: bool = True, shift_utc: bool = True):
+    def __init__(self, landed: Sources, strict_family: bool = True, shift_utc: bool = True):
         self.landed = landed
         self.spark = landed.spark
         self.strict_family = strict_family

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D
 from ..operators import quality
-from .star import DIMENSION_TABLES, FACT_TABLES, Landed, LazyStar, StoredStar
+from .star import DIMENSION_TABLES, FACT_TABLES, LazyStar, Sources, StoredStar
 
 MONTH_OF = {
     "fact_order_lines": "order_date",
@@ -45,7 +45,7 @@ def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
     )
 
 
-def build(landed: Landed, out: str, **star_options) -> StoredStar:
+def build(landed: Sources, out: str, **star_options) -> StoredStar:
     """Write every table of the star below ``out``. The result is not to be served before ``gate``."""
     lazy = LazyStar(landed, **star_options)
     base = out.rstrip("/")
@@ -66,7 +66,7 @@ def tables_found(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def gate(star: StoredStar, landed: Landed | None = None, **bounds) -> DataFrame:
+def gate(star: StoredStar, landed: Sources | None = None, **bounds) -> DataFrame:
     """Check the stored tables (and the sources, if given), append the verdict, return the report."""
     checks = quality.report(star, tables=tables_found(star.spark, star.path), **bounds)
     if landed is not None:

@@ -6,9 +6,13 @@ Amounts are rounded to whole cents before they become decimals, so sums are exac
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..plans.star import Landed
+from ..plans.star import Sources
+from ..schemas import table_schema
+from . import landed
 
 
 def _col(name: str) -> Column:
@@ -29,16 +33,48 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-class SampleTables:
+# The benchmark tables as they are on disk; a declared schema saves a footer scan per read.
+TABLES = {
+    "region": table_schema("r_regionkey INT, r_name STRING"),
+    "nation": table_schema("n_nationkey INT, n_name STRING, n_regionkey INT"),
+    "customer": table_schema("c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"),
+    "supplier": table_schema("s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE"),
+    "part": table_schema(
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+    "orders": table_schema(
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "lineitem": table_schema(
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": table_schema(
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    ),
+    "documents": table_schema("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"),
+    "conversations": table_schema("conv_id BIGINT, turn BIGINT, role STRING, text STRING"),
+}
+
+
+class SampleTables(Sources):
+    """Each source is planned when first asked for."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- dimensions ---------------------------------------------------------------
 
+    @cached_property
     def regions(self) -> DataFrame:
         return self.raw("region").select(
             _col("r_regionkey").cast("bigint").alias("region_id"),
@@ -48,6 +84,7 @@ class SampleTables:
             F.lit("ACTIVE").alias("status"),
         )
 
+    @cached_property
     def routes(self) -> DataFrame:
         return self.raw("nation").select(
             _col("n_nationkey").cast("bigint").alias("route_id"),
@@ -60,6 +97,7 @@ class SampleTables:
     def _nation_region(self, key: str) -> DataFrame:
         return self.raw("nation").select(_col("n_nationkey").alias(key), _col("n_regionkey").cast("bigint").alias("region_id"))
 
+    @cached_property
     def warehouses(self) -> DataFrame:
         return (
             self.raw("supplier")
@@ -75,6 +113,7 @@ class SampleTables:
             )
         )
 
+    @cached_property
     def salespeople(self) -> DataFrame:
         return self.raw("nation").select(
             _col("n_nationkey").cast("bigint").alias("salesperson_id"),
@@ -85,6 +124,7 @@ class SampleTables:
             F.lit("ACTIVE").alias("status"),
         )
 
+    @cached_property
     def outlets(self) -> DataFrame:
         key = _col("c_custkey")
         name = F.when(key % 211 == 0, F.concat(F.lit("ZZ "), "c_name")).when(
@@ -113,6 +153,7 @@ class SampleTables:
             )
         )
 
+    @cached_property
     def products(self) -> DataFrame:
         key = _col("p_partkey")
         return self.raw("part").select(
@@ -131,8 +172,9 @@ class SampleTables:
 
     # -- transactions -------------------------------------------------------------
 
+    @cached_property
     def orders(self) -> DataFrame:
-        place = self.outlets().select(_col("outlet_id"), "region_id", "route_id")
+        place = self.outlets.select(_col("outlet_id"), "region_id", "route_id")
         status = F.when(_col("o_orderstatus") == "F", "DELIVERED").when(_col("o_orderstatus") == "P", "PARTIAL")
         return (
             self.raw("orders")
@@ -159,6 +201,7 @@ class SampleTables:
     def _line_id() -> Column:
         return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
+    @cached_property
     def order_lines(self) -> DataFrame:
         discount = F.round(_col("l_discount") * 100).cast("bigint")
         ordered = _col("l_quantity").cast("bigint")
@@ -184,12 +227,13 @@ class SampleTables:
             _null("string").alias("short_reason_code"),
         )
 
+    @cached_property
     def deliveries(self) -> DataFrame:
         """One per order that has lines."""
         shipped = self.raw("lineitem").groupBy(_col("l_orderkey").alias("order_id")).agg(
             F.min("l_shipdate").alias("ship"), F.min("l_suppkey").alias("warehouse_id")
         )
-        place = self.outlets().select(_col("outlet_id"), "route_id")
+        place = self.outlets.select(_col("outlet_id"), "route_id")
         key = _col("order_id")
         late = F.floor(F.datediff("ship", "o_orderdate") / F.lit(5.0)).cast("int") + (_col("route_id") % 5 * 10).cast("int")
         vendors = F.when(key % 3 == 0, "TELEMATICS_A").when(key % 3 == 1, "TELEMATICS_B").otherwise("MANUAL")
@@ -230,6 +274,7 @@ class SampleTables:
             )
         )
 
+    @cached_property
     def returns_credit_notes(self) -> DataFrame:
         """Returned lines of at most five units; the sign of the quantity is unreliable."""
         n = _col("l_linenumber")
@@ -261,6 +306,7 @@ class SampleTables:
             )
         )
 
+    @cached_property
     def inventory_snapshots(self) -> DataFrame:
         shelf = self.raw("part").select(_col("p_partkey").alias("l_partkey"), "p_size")
         day = F.trunc(_col("l_shipdate").cast("date"), "week")
@@ -290,6 +336,7 @@ class SampleTables:
 
     # -- feeds --------------------------------------------------------------------
 
+    @cached_property
     def invoices(self) -> DataFrame:
         """Freight invoices as the partner sends them: minor units, UTC text."""
         key = _col("o_orderkey")
@@ -318,7 +365,7 @@ class SampleTables:
     def invoice_pages(self, per_page: int = 200) -> DataFrame:
         """The same invoices as landed page documents, ``per_page`` at most to a page."""
         page = F.floor(F.col("key") / per_page)
-        rows = self.invoices().withColumn("key", F.substring("invoice_id", 4, 20).cast("bigint"))
+        rows = self.invoices.withColumn("key", F.substring("invoice_id", 4, 20).cast("bigint"))
         fields = [c for c in rows.columns if c != "key"]
         return (
             rows.groupBy(page.alias("page"))
@@ -335,11 +382,12 @@ class SampleTables:
             )
         )
 
+    @cached_property
     def carriers(self) -> DataFrame:
         """Carriers with the (at most five) regions their routes lie in."""
-        route = self.routes().select("route_code", "region_id").join(self.regions(), "region_id")
+        route = self.routes.select("route_code", "region_id").join(self.regions, "region_id")
         return (
-            self.invoices()
+            self.invoices
             .select("carrier_id", "carrier_name", "route_code")
             .distinct()
             .join(route, "route_code")
@@ -347,6 +395,7 @@ class SampleTables:
             .agg(F.sort_array(F.collect_set("region_code")).alias("regions"))
         )
 
+    @cached_property
     def surcharge_docs(self) -> DataFrame:
         """One JSON document per month with orders."""
         month = F.date_format("o_orderdate", "yyyy-MM")
@@ -357,6 +406,7 @@ class SampleTables:
             .select(F.to_json(F.struct("month", "surcharge_pct")).alias("body"))
         )
 
+    @cached_property
     def weather_docs(self) -> DataFrame:
         """One document per city with parallel daily arrays (one entry per calendar day)."""
         daily = self.raw("events").groupBy(_col("event_type").alias("city"), _col("ts").cast("date").alias("day")).agg(
@@ -378,6 +428,7 @@ class SampleTables:
 
     LISTING_CITIES = ("mumbai", "delhi", "bengaluru", "chennai")
 
+    @cached_property
     def listings(self) -> DataFrame:
         key = _col("p_partkey")
         cities = F.array(*[F.lit(c) for c in self.LISTING_CITIES])
@@ -453,14 +504,10 @@ class SampleTables:
             )
         )
 
-    def landed(self) -> Landed:
-        from . import landed as feeds
+    @cached_property
+    def freight(self) -> DataFrame:
+        return landed.normalise_invoices(self.invoices)
 
-        return Landed(
-            self.spark, self.regions(), self.warehouses(), self.routes(), self.salespeople(), self.outlets(),
-            self.products(), self.orders(), self.order_lines(), self.deliveries(), self.returns_credit_notes(),
-            self.inventory_snapshots(),
-            freight=feeds.normalise_invoices(self.invoices()),
-            listings=self.listings(),
-            weather=feeds.weather_days(feeds.parse_documents(self.weather_docs(), "body", "weather")),
-        )
+    @cached_property
+    def weather(self) -> DataFrame:
+        return landed.weather_days(landed.parse_documents(self.weather_docs, "body", "weather"))
