@@ -35,8 +35,15 @@ TEST_OUTLETS = 12  # as counted at sf0.01
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Plans only, no data: the frames of one session and folder are put together once.
+_planned: dict[tuple[str, str], LazyStar] = {}
+
+
 def _star(spark: SparkSession, sf_dir: str) -> LazyStar:
-    return LazyStar(SampleTables(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _planned or _planned[key].spark is not spark:
+        _planned[key] = LazyStar(SampleTables(spark, str(sf_dir)))
+    return _planned[key]
 
 
 def _on_star(build: Callable[[LazyStar], DataFrame]) -> Query:
@@ -44,7 +51,7 @@ def _on_star(build: Callable[[LazyStar], DataFrame]) -> Query:
 
 
 def _on_sample(build: Callable[[SampleTables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(SampleTables(spark, sf_dir))
+    return lambda spark, sf_dir: build(_star(spark, sf_dir).landed)
 
 
 def _doubles(df: DataFrame, *names: str) -> DataFrame:
@@ -158,7 +165,7 @@ def _line_keys(t: SampleTables) -> DataFrame:
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the warehouse in the shared folder, gate it, open it, count its tables."""
     out = f"{scratch_dir(spark)}/warehouse-{uuid4().hex}"
-    sources = SampleTables(spark, sf_dir)
+    sources = _star(spark, sf_dir).landed
     n_test = sources.outlets.where(dims.is_test_name(F.col("outlet_name"))).count()
     stored = warehouse.build(sources, out)
     warehouse.gate(stored, sources, first=FIRST_DAY, last=LAST_DAY, expected_test_outlets=n_test)
@@ -185,7 +192,7 @@ def _normalised_invoices(t: SampleTables) -> DataFrame:
 def _invoice_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the invoice pages as files, ingest them, land some again, ingest once more."""
     run = f"{scratch_dir(spark)}/invoices-{uuid4().hex}"
-    pages = SampleTables(spark, sf_dir).invoice_pages().select(F.col("body").alias("value"))
+    pages = _star(spark, sf_dir).landed.invoice_pages().select(F.col("body").alias("value"))
     pages.write.text(f"{run}/landed/first")
     stream = invoices.landed_pages(spark, f"{run}/landed/*")
     invoices.ingest(stream, f"{run}/stored", f"{run}/checkpoint")

@@ -5,6 +5,7 @@ All of it is regular expressions inside the plan. A card without a title link is
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -53,8 +54,8 @@ _REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 def _named_characters() -> Column:
     """HTML 4 names to characters, from the table of the standard library."""
-    pairs = [(name, chr(code)) for name, code in name2codepoint.items()] + [("apos", "'")]
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # folded to a constant
 
 
 def unescaped(text: Column) -> Column:

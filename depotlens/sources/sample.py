@@ -233,9 +233,8 @@ class SampleTables(Sources):
         shipped = self.raw("lineitem").groupBy(_col("l_orderkey").alias("order_id")).agg(
             F.min("l_shipdate").alias("ship"), F.min("l_suppkey").alias("warehouse_id")
         )
-        place = self.outlets.select(_col("outlet_id"), "route_id")
         key = _col("order_id")
-        late = F.floor(F.datediff("ship", "o_orderdate") / F.lit(5.0)).cast("int") + (_col("route_id") % 5 * 10).cast("int")
+        late = F.floor(F.datediff("ship", "order_date") / F.lit(5.0)).cast("int") + (_col("route_id") % 5 * 10).cast("int")
         vendors = F.when(key % 3 == 0, "TELEMATICS_A").when(key % 3 == 1, "TELEMATICS_B").otherwise("MANUAL")
         # One arrival in eight agrees with the recorded delay, the others are a day-part off.
         actual = F.col("planned") + F.make_dt_interval(mins=F.col("delay_minutes") + (key % 8 * 60).cast("int"))
@@ -243,13 +242,7 @@ class SampleTables(Sources):
             F.date_format(actual, "yyyy-MM-dd HH:mm:ss")
         )
         return (
-            shipped.join(
-                self.raw("orders").select(
-                    _col("o_orderkey").alias("order_id"), _col("o_custkey").alias("outlet_id"), "o_orderdate"
-                ),
-                "order_id",
-            )
-            .join(place, "outlet_id")
+            shipped.join(self.orders.select("order_id", "order_date", "route_id"), "order_id")
             .withColumn("delay_minutes", late)
             .withColumn("planned", F.col("ship") + F.expr("INTERVAL 10 HOURS"))
             .select(
