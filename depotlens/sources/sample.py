@@ -199,7 +199,9 @@ class SampleTables(Sources):
 
     @staticmethod
     def _line_id() -> Column:
-        return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+        """Order and line number alone repeat in these tables; with part, supplier and price they do not."""
+        parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+        return F.concat_ws("-", *parts, _cents("l_extendedprice").cast("string"))
 
     @cached_property
     def order_lines(self) -> DataFrame:
