@@ -19,14 +19,16 @@ def excursions_by_month(star, period: Period = ALL_DATA, region_code: str | None
         star.dim_product.where("is_chilled").select("product_id"), "product_id", "left_semi"
     )
     chilled_orders = chilled.select("order_id").distinct()
-    deliveries = in_region(period.of(star.deliveries, "dispatch_datetime"), star.dim_region, region_code)
+    per_order = star.deliveries_by_order(
+        [D.month_key(F.col("dispatch_datetime")).alias("dim_code")],
+        [F.count(F.lit(1)).alias("n"), N.count_where(F.col("temperature_excursion_flag")).alias("hits")],
+        period,
+    )
     return (
-        deliveries.join(chilled_orders, "order_id", "left_semi")
-        .groupBy(D.month_key(F.col("dispatch_datetime")).alias("dim_code"))
-        .agg(
-            F.count(F.lit(1)).alias("chilled_deliveries"),
-            N.count_where(F.col("temperature_excursion_flag")).alias("excursions"),
-        )
+        in_region(per_order, star.dim_region, region_code)
+        .join(chilled_orders, "order_id", "left_semi")
+        .groupBy("dim_code")
+        .agg(F.sum("n").alias("chilled_deliveries"), F.sum("hits").alias("excursions"))
         .select(
             "dim_code",
             F.col("dim_code").alias("dim_label"),

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import dates as D
 from ..functions import numeric as N
 
-LINE_QTY = ("ordered_qty", "delivered_qty")
-
 
 def _line_columns(lines: DataFrame) -> list:
     uom, pack = F.col("qty_uom"), F.col("case_pack_at_order")
@@ -43,9 +41,18 @@ def _order_columns() -> list:
     ]
 
 
+def line_units(lines: DataFrame) -> DataFrame:
+    """Lines with their quantities in eaches and cases."""
+    return lines.select(_line_columns(lines))
+
+
+def order_attributes(orders: DataFrame) -> DataFrame:
+    return orders.select(_order_columns())
+
+
 def order_lines_core(lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines with units and their order's attributes, before the product is looked up."""
-    out = lines.select(_line_columns(lines)).join(orders.select(_order_columns()), "order_id")
+    out = line_units(lines).join(order_attributes(orders), "order_id")
     if "line_warehouse_id" in out.columns:
         out = out.withColumn("warehouse_id", F.coalesce("line_warehouse_id", "warehouse_id")).drop("line_warehouse_id")
     return out
@@ -72,24 +79,24 @@ def unexpected_uom(lines: DataFrame) -> DataFrame:
     return lines.agg(N.count_where(~F.col("qty_uom").isin("CASE", "EACH")).alias("n_unexpected_uom"))
 
 
+def delivery_columns(raw: DataFrame, shift_utc: bool = True) -> DataFrame:
+    """Deliveries with typed times and flags, before their order is looked up."""
+    return raw.select(
+        "delivery_id", "order_id", "delivery_note_number", "route_id", "warehouse_id", "telematics_vendor",
+        F.col("dispatch_datetime").cast("timestamp_ntz").alias("dispatch_datetime"),
+        D.strict_timestamp(F.col("planned_arrival")).alias("planned_arrival_ts"),
+        D.feed_timestamp(F.col("actual_arrival"), F.col("telematics_vendor"), shift_utc).alias("actual_arrival_ts"),
+        "delay_minutes", "distance_km", "delivery_status",
+        F.col("pod_captured").cast("boolean").alias("pod_captured"),
+        (F.col("temperature_excursion_flag") == 1).alias("temperature_excursion_flag"),
+        "max_temp_celsius", "returned_cases", "failure_reason_code", "fuel_cost_inr",
+        (F.col("delay_minutes") <= 0).alias("is_on_time"),
+    )
+
+
 def deliveries(raw: DataFrame, orders: DataFrame, shift_utc: bool = True) -> DataFrame:
     order = orders.select("order_id", "outlet_id", "channel", "region_id")
-    return (
-        raw.select(
-            "delivery_id", "order_id", "delivery_note_number", "route_id", "warehouse_id", "telematics_vendor",
-            F.col("dispatch_datetime").cast("timestamp_ntz").alias("dispatch_datetime"),
-            D.strict_timestamp(F.col("planned_arrival")).alias("planned_arrival_ts"),
-            D.feed_timestamp(F.col("actual_arrival"), F.col("telematics_vendor"), shift_utc).alias(
-                "actual_arrival_ts"
-            ),
-            "delay_minutes", "distance_km", "delivery_status",
-            F.col("pod_captured").cast("boolean").alias("pod_captured"),
-            (F.col("temperature_excursion_flag") == 1).alias("temperature_excursion_flag"),
-            "max_temp_celsius", "returned_cases", "failure_reason_code", "fuel_cost_inr",
-            (F.col("delay_minutes") <= 0).alias("is_on_time"),
-        )
-        .join(order, "order_id")
-    )
+    return delivery_columns(raw, shift_utc).join(order, "order_id")
 
 
 def returns(raw: DataFrame, lines: DataFrame | None, dim_product: DataFrame, dim_outlet: DataFrame) -> DataFrame:

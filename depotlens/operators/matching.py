@@ -132,12 +132,14 @@ def price_position(
         .groupBy(*CELL, "word")
         .agg(F.min("by_word").alias("by_word"))
     )
+    # Tokens are made distinct before they meet the cells: joined by cell first, all tokens of a
+    # hot cell would stay together in the aggregation that follows.
     title_key = [*CELL, "title"]
-    titles = seen.where(_has_cell()).select(*title_key).distinct().join(contested, list(CELL), "left_semi")
-    tokens = _title_tokens(titles)
+    tokens = _title_tokens(seen.where(_has_cell()).select(*title_key).distinct())
     hits = (
         tokens.select(*CELL, "token")
         .distinct()
+        .join(contested, list(CELL), "left_semi")
         .withColumn("word", F.explode(_parts(F.col("token"))))
         .join(asked_words, [*CELL, "word"])
         .groupBy(*CELL, "token")

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import written_once
+
 BINS = 16384
 
 
@@ -16,7 +18,9 @@ def exact_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row ``(n_values, quantile)``: linear interpolation between the two nearest ranks."""
     if not 0 <= q <= 1:
         raise ValueError("q must be within 0..1")
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Needed by the statistics, the histogram and the final step: computed once.
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = written_once(counted)
     position = (F.sum("n") - 1) * F.lit(q)
     stats = values.agg(
         F.min("v").alias("lo"),

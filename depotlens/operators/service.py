@@ -62,16 +62,8 @@ def fill_rate_band(fill_rate_df: DataFrame) -> DataFrame:
 
 
 def order_fulfilment(star) -> DataFrame:
-    """Eaches ordered and delivered per fulfilled order, with the order's first date."""
-    return (
-        star.order_lines_core.where(fulfilled())
-        .groupBy("order_id")
-        .agg(
-            F.min("order_date").alias("order_date"),
-            F.sum("ordered_eaches").alias("ordered_eaches"),
-            F.sum("delivered_eaches").alias("delivered_eaches"),
-        )
-    )
+    """Eaches ordered and delivered per fulfilled order, with the order's date."""
+    return star.order_totals(fulfilled())
 
 
 def otif_base(
@@ -88,14 +80,12 @@ def otif_base(
     row per order and group on either side.
     """
     orders = period.of(order_fulfilment(star), "order_date")
-    deliveries = in_region(star.deliveries, star.dim_region, region_code)
+    on_time = F.col("delay_minutes") <= on_time_threshold_minutes
+    counts = [F.count(F.lit(1)).alias("n"), N.count_where(on_time).alias("n_on_time")]
+    per_order = in_region(star.deliveries_by_order(["route_id", "warehouse_id"], counts), star.dim_region, region_code)
     if exclude_test_outlets:
         plain = star.dim_outlet_plain.where(~F.col("is_test_outlet")).select("outlet_id")
-        deliveries = deliveries.join(plain, "outlet_id", "left_semi")
-    on_time = F.col("delay_minutes") <= on_time_threshold_minutes
-    per_order = deliveries.groupBy("order_id", *id_cols).agg(
-        F.count(F.lit(1)).alias("n"), N.count_where(on_time).alias("n_on_time")
-    )
+        per_order = per_order.join(plain, "outlet_id", "left_semi")
     in_full = F.col("delivered_eaches") >= F.col("ordered_eaches")
     fulfilment = F.try_divide(
         F.lit(100.0) * F.col("delivered_eaches").cast("double"), F.col("ordered_eaches").cast("double")

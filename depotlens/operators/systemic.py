@@ -14,8 +14,9 @@ def _late_routes(star, region_code: str | None, min_deliveries: int, min_pct: fl
     very_late = F.col("delay_minutes") > VERY_LATE_MINUTES
     routes = in_region(star.dim_route, star.dim_region, region_code)
     return (
-        star.deliveries.groupBy("route_id")
-        .agg(F.count(F.lit(1)).alias("n"), N.count_where(very_late).alias("late"))
+        star.deliveries_by_order(["route_id"], [F.count(F.lit(1)).alias("n"), N.count_where(very_late).alias("late")])
+        .groupBy("route_id")
+        .agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
         .join(routes.select("route_id", "route_code", "route_name"), "route_id")
         .groupBy("route_code", "route_name")
         .agg(F.sum("n").alias("n_deliveries"), F.sum("late").alias("n_very_late"))
@@ -32,9 +33,10 @@ def late_routes(star, region_code: str | None = None, min_deliveries: int = 10,
 def late_routes_summary(star, region_code: str | None = None) -> DataFrame:
     """One row: late routes, all routes in scope, whether that is all of them, mean delay."""
     routes = in_region(star.dim_route, star.dim_region, region_code)
-    deliveries = star.deliveries.join(routes.select("route_id"), "route_id", "left_semi")
-    delay = deliveries.agg(
-        F.sum("delay_minutes").alias("s"), F.count("delay_minutes").alias("n"), F.count(F.lit(1)).alias("n_deliveries")
+    sums = [F.sum("delay_minutes").alias("s"), F.count("delay_minutes").alias("n"), F.count(F.lit(1)).alias("all")]
+    per_order = star.deliveries_by_order(["route_id"], sums).join(routes.select("route_id"), "route_id", "left_semi")
+    delay = per_order.agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.coalesce(F.sum("all"), F.lit(0)).alias("n_deliveries")
     )
     n_late = _late_routes(star, region_code, 10, 10.0).agg(F.count(F.lit(1))).scalar()
     n_routes = routes.agg(F.count(F.lit(1))).scalar()

@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..operators import dims, facts, matching
+from ..operators.periods import ALL_DATA, Period
 
 DIMENSION_TABLES = ("dim_region", "dim_warehouse", "dim_route", "dim_salesperson", "dim_outlet", "dim_product", "dim_date")
 FACT_TABLES = (
@@ -55,6 +56,10 @@ class Landed(Sources):
     weather: DataFrame | None = None
 
 
+def _eaches() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("ordered_eaches", "delivered_eaches")]
+
+
 class _Star:
     spark: SparkSession
 
@@ -143,6 +148,27 @@ class LazyStar(_Star):
     def deliveries(self) -> DataFrame:
         return facts.deliveries(self.landed.deliveries, self.landed.orders, self.shift_utc)
 
+    def order_totals(self, only: Column) -> DataFrame:
+        """Eaches per order, for orders that meet ``only``.
+
+        Lines are summed before their order is looked up, so an order with very many
+        lines reaches the join as one row per map task.
+        """
+        units = facts.line_units(self.landed.order_lines)
+        sums = units.groupBy("order_id").agg(*_eaches())
+        return sums.join(facts.order_attributes(self.landed.orders).where(only), "order_id").select(
+            "order_id", "order_date", "ordered_eaches", "delivered_eaches"
+        )
+
+    def deliveries_by_order(self, keys: list, aggregates: list[Column], period: Period = ALL_DATA) -> DataFrame:
+        """Deliveries dispatched in ``period``, aggregated per order and ``keys``, with outlet and region.
+
+        As with lines, the order is looked up after the aggregation.
+        """
+        raw = period.of(facts.delivery_columns(self.landed.deliveries, self.shift_utc), "dispatch_datetime")
+        per_order = raw.groupBy("order_id", *keys).agg(*aggregates)
+        return per_order.join(self.landed.orders.select("order_id", "outlet_id", "region_id"), "order_id")
+
     @cached_property
     def returns(self) -> DataFrame:
         return facts.returns(
@@ -214,6 +240,14 @@ class StoredStar(_Star):
     def order_line_keys(self) -> DataFrame:
         return self.order_lines.select("order_id", "product_id")
 
+    def order_totals(self, only: Column) -> DataFrame:
+        lines = self.order_lines.where(only)
+        return lines.groupBy("order_id").agg(F.min("order_date").alias("order_date"), *_eaches())
+
+    def deliveries_by_order(self, keys: list, aggregates: list[Column], period: Period = ALL_DATA) -> DataFrame:
+        deliveries = period.of(self.deliveries, "dispatch_datetime")
+        return deliveries.groupBy("order_id", "outlet_id", "region_id", *keys).agg(*aggregates)
+
     @property
     def returns_core(self) -> DataFrame:
         return self.returns

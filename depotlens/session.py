@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 
@@ -19,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "depotlens", memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost a round trip per column
         .config("spark.sql.shuffle.partitions", partitions)
         .getOrCreate()
     )
@@ -41,3 +43,13 @@ def scratch_dir(spark: SparkSession) -> str:
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="depotlens-")
     return _local_scratch[app]
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the scratch folder, for results that a plan needs several times.
+
+    Computed once, and read back from shared storage when an executor is lost.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/step-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
