@@ -5,8 +5,8 @@ it stopped. Every micro-batch writes its own folder and overwrites it when repla
 a crash between write and commit duplicates nothing. An invoice that lands again, in the
 same batch or years later, is dropped: within a batch by an aggregate that combines on
 the map side (a page landed a million times does not pile up in one task), across batches
-by an anti join with what is already there. That join reads only the months of the batch,
-so no state grows with the feed.
+by an anti join with the ids already there. What is there is the table itself, so no
+streaming state grows with the feed.
 """
 
 from __future__ import annotations
@@ -20,43 +20,54 @@ from ..functions import dates as D
 from ..sources import landed
 
 
-def _unseen(fresh: DataFrame, out: str, batch_id: int) -> DataFrame:
+def one_per_invoice(invoices: DataFrame) -> DataFrame:
+    """The first created record of each invoice; equal ones in column order, so reruns agree."""
+    rest = [c for c in invoices.columns if c not in ("invoice_id", "created_at_ist")]
+    first = F.min(F.struct("created_at_ist", *rest)).alias("r")
+    return invoices.groupBy("invoice_id").agg(first).select("invoice_id", "r.*").select(*invoices.columns)
+
+
+def _unseen(fresh: DataFrame, out: str, batch_id: int, months_are_final: bool) -> DataFrame:
     if batch_id == 0:
         return fresh
-    spark = fresh.sparkSession
-    done = spark.read.schema(schemas.STORED_FREIGHT).parquet(out).where(F.col("batch_id") < batch_id)
-    # The semi join with the batch's months becomes a partition filter on what is read.
-    months = fresh.select("invoice_month").distinct()
-    seen = done.join(months, "invoice_month", "left_semi").select("invoice_month", "invoice_id")
-    return fresh.join(seen, ["invoice_month", "invoice_id"], "left_anti")
+    done = fresh.sparkSession.read.schema(schemas.STORED_FREIGHT).parquet(out).where(F.col("batch_id") < batch_id)
+    if months_are_final:  # the semi join with the batch's months becomes a partition filter
+        done = done.join(fresh.select("invoice_month").distinct(), "invoice_month", "left_semi")
+    # Stored ids are cut down to the batch's first: with a small batch the stored side is not shuffled.
+    again = done.select("invoice_id").join(fresh.select("invoice_id"), "invoice_id", "left_semi").distinct()
+    return fresh.join(again, "invoice_id", "left_anti")
 
 
-def store_batch(out: str) -> Callable[[DataFrame, int], None]:
+def store_batch(out: str, months_are_final: bool = False) -> Callable[[DataFrame, int], None]:
     """The sink of one micro-batch of normalised invoices."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["invoice_id"]).withColumn(
-            "invoice_month", F.coalesce(D.month_key(F.col("invoice_date")), F.lit("unknown"))
-        )
-        (
-            _unseen(fresh, out, batch_id)
-            .hint("rebalance", F.col("invoice_month"))
-            .write.mode("overwrite")
-            .partitionBy("invoice_month")
-            .parquet(f"{out}/batch_id={batch_id}")
-        )
+        month = F.coalesce(D.month_key(F.col("invoice_date")), F.lit("unknown"))
+        fresh = one_per_invoice(batch).withColumn("invoice_month", month).persist()
+        try:
+            (
+                _unseen(fresh, out, batch_id, months_are_final)
+                .hint("rebalance", F.col("invoice_month"))
+                .write.mode("overwrite")
+                .partitionBy("invoice_month")
+                .parquet(f"{out}/batch_id={batch_id}")
+            )
+        finally:
+            fresh.unpersist()
 
     return write
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, wait: bool = True):
+def ingest(stream: DataFrame, out: str, checkpoint: str, months_are_final: bool = False, wait: bool = True):
     """Run what has landed through to ``out`` and stop; call again for what lands later.
 
-    ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``).
+    ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``). If an
+    invoice never changes its invoice month, ``months_are_final`` lets a batch look up
+    only its own months of the table.
     """
     query = (
         landed.normalise_invoices(stream)
-        .writeStream.foreachBatch(store_batch(out.rstrip("/")))
+        .writeStream.foreachBatch(store_batch(out.rstrip("/"), months_are_final))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -178,6 +178,19 @@ def test_ingest_is_exactly_once_across_batches_and_restarts(spark, tmp_path):
     assert run() == ["a", "b", "c", "d", "e"]
 
 
+@pytest.mark.parametrize("months_are_final", [False, True])
+def test_an_invoice_that_moves_to_another_month(spark, rows_of, tmp_path, months_are_final):
+    """Found wherever it is stored, unless the caller vouches for the month."""
+    write = invoices.store_batch(str(tmp_path / "out"), months_are_final)
+    write(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice("a"), invoice("b")])), 0)
+    april = "2026-04-01"
+    moved = [invoice("a", day=april), invoice("c", day=april, created="2026-03-06T00:00:00Z"), invoice("c", 5, day=april)]
+    write(landed.normalise_invoices(rows_of(schemas.INVOICE, moved)), 1)
+    rows = invoices.stored(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.invoice_id for r in rows) == (["a", "a", "b", "c"] if months_are_final else ["a", "b", "c"])
+    assert next(r for r in rows if r.invoice_id == "c").amount_inr == Decimal("0.05")  # the first created
+
+
 def test_a_replayed_batch_overwrites_itself(spark, rows_of, tmp_path):
     out = str(tmp_path / "out")
     write = invoices.store_batch(out)

@@ -117,6 +117,17 @@ def test_exact_quantile(spark, q):
     assert got["quantile"] == pytest.approx(np.quantile([v for v in values if v is not None], q), rel=1e-12)
 
 
+def test_quantile_with_a_far_outlier(spark):
+    """All but one value within a hair's breadth of each other, most of them equal."""
+    import numpy as np
+
+    values = [1e18] + [1.0] * 3000 + [1.0 + i * 1e-12 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for q in (0.25, 0.75, 0.9999):
+        got = quantiles.exact_quantile(df, "x", q).first()["quantile"]
+        assert got == pytest.approx(np.quantile(values, q), rel=1e-14)
+
+
 def test_quantile_of_one_value_and_of_none(spark):
     same = spark.createDataFrame([(5.0,)] * 3, "x double")
     assert tuple(quantiles.exact_quantile(same, "x", 0.9).first()) == (3, 5.0)
