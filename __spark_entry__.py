@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import oracles
+from depotlens import schemas
 from depotlens.operators import (
     coldchain, dims, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
     skew, systemic,
@@ -201,6 +202,34 @@ def _invoice_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _invoice_columns(invoices.stored(spark, f"{run}/stored"))
 
 
+def _csv_feed(spark: SparkSession, df: DataFrame, schema) -> DataFrame:
+    """The feed written as CSV to the shared folder and read back under its declared schema."""
+    path = f"{scratch_dir(spark)}/csv-{uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return landed.read_optional(spark, path, schema)
+
+
+def _freight_from_csv(star: LazyStar) -> DataFrame:
+    invoices_read = _csv_feed(star.spark, star.landed.freight, schemas.FREIGHT)
+    again = facts.freight(invoices_read, star.dim_warehouse, star.dim_route).select(
+        "invoice_id", "carrier_id", "warehouse_code", "warehouse_id", "route_code", "route_id", "route_region_id",
+        "invoice_date", "amount_inr", "detention_charge_inr",
+    )
+    return _doubles(again, "amount_inr", "detention_charge_inr")
+
+
+def _match_rate_from_csv(star: LazyStar) -> DataFrame:
+    read = _csv_feed(star.spark, _as_feed(star.landed.listings, schemas.LISTINGS), schemas.LISTINGS)
+    return matching.match_profile(matching.price_position(read, star.dim_product))
+
+
+def _as_feed(df: DataFrame, schema) -> DataFrame:
+    missing = F.lit(None)
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else missing).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
+
+
 def _carriers(t: SampleTables) -> DataFrame:
     docs = t.carriers.select(F.to_json(F.struct("carrier_id", "carrier_name", "regions")).alias("body"))
     return landed.flatten_carriers(landed.parse_documents(docs, "body", "carrier"))
@@ -260,6 +289,7 @@ def queries() -> dict[str, Query]:
         "otif_route_in_region": star(lambda s: service.otif(s, "route", region_code="EUR")),
         "otif_warehouse_tolerant": star(lambda s: service.otif(s, "warehouse", on_time_threshold_minutes=60)),
         "otif_region_without_test_outlets": star(lambda s: service.otif(s, "region", exclude_test_outlets=True)),
+        "otif_outlet_month": star(lambda s: service.otif(s, "outlet", P(month="1998-04"), order="desc")),
         "otif_unknown_region": star(lambda s: service.otif(s, "region", region_code="NOWHERE")),
         # money
         "freight_per_case": star(money.freight_cost_per_case),
@@ -278,6 +308,7 @@ def queries() -> dict[str, Query]:
         "excursion_extremes": star(lambda s: coldchain.excursion_extremes(coldchain.excursions_by_month(s))),
         "cold_chain_returns": star(coldchain.cold_chain_returns),
         "cold_chain_returns_in_region": star(lambda s: coldchain.cold_chain_returns(s, region_code="ASI")),
+        "cold_chain_returns_quarter": star(lambda s: coldchain.cold_chain_returns(s, P(2000, 2))),
         "near_expiry_category": star(coldchain.near_expiry),
         "near_expiry_warehouse": star(lambda s: coldchain.near_expiry(s, "warehouse")),
         "near_expiry_category_one_warehouse": star(
@@ -296,6 +327,8 @@ def queries() -> dict[str, Query]:
         "late_routes": star(systemic.late_routes),
         "late_routes_in_region": star(lambda s: systemic.late_routes(s, "EUR")),
         "late_routes_summary": star(systemic.late_routes_summary),
+        "late_routes_summary_in_region": star(lambda s: systemic.late_routes_summary(s, "EUR")),
+        "discontinued_orders_in_region": star(lambda s: systemic.discontinued_orders(s, "AFR", top=None)),
         "discontinued_orders": star(systemic.discontinued_orders),
         "discontinued_orders_all": star(lambda s: systemic.discontinued_orders(s, top=None)),
         "discontinued_summary": star(systemic.discontinued_summary),
@@ -363,6 +396,8 @@ def queries() -> dict[str, Query]:
         "invoice_stream": _invoice_stream,
         "carrier_flatten": sample(_carriers),
         "surcharge_months": sample(_surcharge),
+        "freight_from_csv": star(_freight_from_csv),
+        "match_rate_from_csv": star(_match_rate_from_csv),
     }
     return out
 

@@ -8,6 +8,7 @@ rows is written by many tasks.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,6 +25,7 @@ MONTH_OF = {
     "fact_inventory_snapshot": "snapshot_date",
 }
 META = "_warehouse_meta"
+CONCURRENT_WRITES = 4
 
 
 class WarehouseNotChecked(Exception):
@@ -49,8 +51,12 @@ def build(landed: Sources, out: str, **star_options) -> StoredStar:
     """Write every table of the star below ``out``. The result is not to be served before ``gate``."""
     lazy = LazyStar(landed, **star_options)
     base = out.rstrip("/")
-    for name in DIMENSION_TABLES + FACT_TABLES:
-        write_table(lazy.table(name), f"{base}/{name}", MONTH_OF.get(name))
+    names = DIMENSION_TABLES + FACT_TABLES
+    frames = {name: lazy.table(name) for name in names}
+    # The tables do not depend on each other; a few writes at a time keep the cluster busy
+    # through the tail of each.
+    with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+        list(pool.map(lambda n: write_table(frames[n], f"{base}/{n}", MONTH_OF.get(n)), names))
     return StoredStar(landed.spark, base)
 
 
