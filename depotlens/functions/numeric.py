@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 
@@ -17,8 +19,13 @@ def ratio(part: Column, whole: Column, digits: int) -> Column:
 
 
 def share_pct(part: Column, whole: Column, digits: int) -> Column:
-    """``100 * part / whole`` as a rounded double; NULL when ``whole`` is zero or NULL."""
-    return rounded(F.try_divide(F.lit(100.0) * part.cast("double"), whole.cast("double")), digits)
+    """``100 * part / whole`` as a rounded double; NULL when ``whole`` is zero or NULL.
+
+    The product is taken before the cast, so it is exact for whole numbers and decimals:
+    73.35 of 900 is 8.15 and shows as 8.2.
+    """
+    hundredfold = (part * F.lit(Decimal(100))).cast("double")
+    return rounded(F.try_divide(hundredfold, whole.cast("double")), digits)
 
 
 def count_where(condition: Column) -> Column:

@@ -72,13 +72,6 @@ def freight_by_carrier(
     return ranked(out, "freight_inr", "desc", ("dim_code",), limit)
 
 
-def leading_value(df: DataFrame, group: str, value: str, n: str, out: str) -> DataFrame:
-    """Most frequent ``value`` per ``group`` from pre-counted rows; ties go to the lowest value."""
-    best = F.min(F.struct((-F.col(n)).alias("neg"), F.col(value).alias("value")))
-    known = df.where(F.col(value).isNotNull())
-    return known.groupBy(group).agg(best.alias("b")).select(group, F.col("b.value").alias(out))
-
-
 def dispatch_by_category(star, period: Period = ALL_DATA, region_code: str | None = None) -> DataFrame:
     """Line value of fulfilled orders per category, summed per product before the product is joined."""
     lines = period.of(star.order_lines_core.where(fulfilled()), "order_date")

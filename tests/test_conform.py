@@ -28,6 +28,8 @@ def test_rates_are_null_on_zero_and_round_half_up(spark):
     df = spark.createDataFrame([(1, 0), (1, 8), (1, None), (267, 10000)], "a int, b int")
     got = [r[0] for r in df.select(N.share_pct(F.col("a"), F.col("b"), 1)).collect()]
     assert got == [None, 12.5, None, 2.7]
+    money = spark.createDataFrame([(Decimal("73.3500"), Decimal("900.00"))], "a decimal(18,4), b decimal(18,2)")
+    assert money.select(N.share_pct(F.col("a"), F.col("b"), 1)).first()[0] == 8.2
 
 
 def test_feed_timestamps(spark):
