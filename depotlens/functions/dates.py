@@ -35,7 +35,13 @@ UTC_FEEDS = ("PARTNER_API",)
 
 
 def _parsed(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    """Wall-clock time of a text, NULL if it does not fit.
+
+    Read as if it were UTC and counted from the epoch, so that the session's zone, with
+    its hours that do not exist, has no part in it.
+    """
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(fmt + " xxx"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 
 def strict_timestamp(text: Column, fmt: str = DEFAULT_FORMAT) -> Column:

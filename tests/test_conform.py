@@ -57,6 +57,18 @@ def test_known_feed_fails_on_bad_text(spark, ansi):
         spark.conf.set("spark.sql.ansi.enabled", was)
 
 
+def test_parsing_ignores_the_session_zone(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # 02:30 did not exist there on that day.
+        df = spark.createDataFrame([("2026-03-08 02:30:00", "TELEMATICS_A"), ("2026-03-07T21:00:00Z", "PARTNER_API")], "t string, f string")
+        got = [r[0] for r in df.select(D.feed_timestamp(F.col("t"), F.col("f")).cast("string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got == ["2026-03-08 02:30:00", "2026-03-08 02:30:00"]
+
+
 def test_discontinued_flag_survives_an_unreadable_date(rows_of):
     texts = ["", "n/a", None, "2026-01-31", "2026"]
     raw = rows_of(schemas.OPERATIONAL["products"], [{"product_id": i, "discontinued_date": t} for i, t in enumerate(texts)])
