@@ -30,6 +30,14 @@ from depotlens.sources import landed, listings
 from depotlens.sources.sample import SampleTables
 from depotlens.streaming import invoices
 
+try:  # the training-data operators and their pipeline can be left out
+    import corpus_pipeline
+    from depotlens.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "depotlens.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 FIRST_DAY, LAST_DAY = date(1994, 1, 1), date(2002, 12, 31)
 TEST_OUTLETS = 12  # as counted at sf0.01
 
@@ -399,8 +407,13 @@ def queries() -> dict[str, Query]:
         "freight_from_csv": star(_freight_from_csv),
         "match_rate_from_csv": star(_match_rate_from_csv),
     }
+    if llm is not None:
+        out |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.registry(TEST_OUTLETS, str(FIRST_DAY), str(LAST_DAY), privacy.BLOCKED_PHRASES)
+    out = oracles.registry(TEST_OUTLETS, str(FIRST_DAY), str(LAST_DAY), privacy.BLOCKED_PHRASES)
+    if llm is not None:
+        out |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out
