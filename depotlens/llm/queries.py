@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sigtree
+from . import ledger, mixing, sigtree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ledger.breaks(ledger.BASE).alias("base_failed"),
+        (~ledger.breaks(ledger.CORPUS)).alias("kept"), "failed",
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_mix_sources": op6_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
