@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ledger, mixing, sigtree
+from . import ledger, lines, mixing, sigtree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("own.doc_id", "n_lines", "n_kept", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return book.select(
@@ -30,6 +35,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
