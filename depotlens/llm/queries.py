@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ledger, lines, mixing, sigtree
+from . import dropout, ledger, lines, mixing, sigtree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dropout.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}

@@ -52,14 +52,19 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial over the bytes, and inverse powers, for hashes of any piece."""
-    n = len(data)
+def running_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial over the values, and inverse powers, for hashes of any piece."""
+    n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers_of(_P, n), out=sums[1:])
+    np.cumsum(values * _powers_of(_P, n), out=sums[1:])
     return sums, _powers_of(_P_INVERSE, n + 1)
 
 
+def running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same over bytes."""
+    return running_of(_BYTE[data])
+
+
 def piece_hash(sums: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes [begin, end), not yet mixed; equal bytes have equal hashes wherever they stand."""
     return (sums[end] - sums[begin]) * inverse[begin]
