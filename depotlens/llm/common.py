@@ -50,7 +50,7 @@ def collected(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose text adds up to about ``most`` bytes, so that work arrays stay small.
 
     A text longer than that comes alone. No text is cut.

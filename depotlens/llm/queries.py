@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dropout, ledger, lines, mixing, sigtree
+from . import digest, dropout, ledger, lines, mixing, sigtree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("own.doc_id", "n_lines", "n_kept", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -40,6 +44,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_digest": op2_digest,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
