@@ -28,8 +28,8 @@ from . import textops
 from .common import arrow, in_pieces
 
 WINDOW = 32  # bytes of a feature, and features of a run
-LEAD = 16  # empty bytes before a text, so that short texts have several windows
-VOTES = 8  # that make a window a feature
+LEAD = 28  # empty bytes before a text, so that short texts have several windows
+VOTES = 6  # that make a window a feature
 BINS = 1024
 FILTER_BITS = 2048
 PER_FILTER = 160  # features

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, dropout, ledger, lines, mixing, sigtree
+from . import digest, dropout, ledger, lines, mixing, pages, sigtree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_digest": op2_digest,
     "op4_line_dedup": op4_line_dedup,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op6_mix_sources": op6_mix_sources,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {}
