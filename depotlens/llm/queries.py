@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, dropout, ledger, lines, mixing, pages, sigtree, toxicity
+from . import digest, dropout, ledger, licenses, lines, mixing, pages, sigtree, toolcalls, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: below 100 at the top of their source, below 1,000 in the folder of their language, else one deeper."""
+    lang, block = F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 1000).cast("string")
+    folders = F.when(F.col("doc_id") < 100, F.array()).when(F.col("doc_id") < 1000, F.array(lang)).otherwise(F.array(lang, block))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), folders, name)
+    found = licenses.scanned(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"(-?[0-9]+)[.]txt$", 1).cast("long"))
+
+
 def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.neighbours(table(spark, sf_dir, "documents"))
 
@@ -43,6 +53,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return toolcalls.linked(toolcalls.calls_of(messages), toolcalls.results_of(messages))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -57,11 +72,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_digest": op2_digest,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
+    "op7_tool_calls": op7_tool_calls,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_main_text": op10_main_text,
