@@ -1,16 +1,18 @@
 """N-gram Jaccard join by signature trees: all documents whose shingle sets overlap by at least the threshold.
 
 Documents with equal shingle sets are one class and are represented by their smallest doc_id. Classes meet under the
-tokens (shingle hashes) that stand first in an order kept by all: two sets can only reach the threshold if they share
-one of their first n - ceil(t n) + 1 tokens. The order puts tokens of often hit counter slots last, so that passages
-shared by many documents seldom name a meeting place; the counters cover all documents and have a fixed number.
+tokens (shingle hashes) that stand first in an order kept by all: two sets can only reach the threshold t if they share
+k of their first n - ceil(t n) + k tokens, for the smaller of their k. A class that shares too few of its first tokens
+with any other is out, which takes care of passages that documents have in common. The order puts tokens of often hit
+counter slots last; the counters cover all documents and have a fixed number.
 
 Under each token the classes form a signature tree: a leaf is a class with the bitmap of its tokens, a node the OR of
-its children's bitmaps with the ranges of their sizes and of their component labels. A first round compares every class
-with the smallest class of its token only, and labels components. Then pairs of nodes are taken apart from the roots
-down, all tokens at once; a pair is given up when its sizes, its largest possible overlap or one common component make
-further links between its documents impossible or needless. What remains are pairs of classes, which are compared
-exactly. So a mass of near copies costs about one comparison each, and no link between different components is lost.
+its children's bitmaps with the ranges of their sizes and of their component labels. First some rounds compare every
+class with one class of its token, another in each round, and label components. Then pairs of nodes are taken apart
+from the roots down, all tokens at once; a pair is given up when its sizes, its largest possible overlap or one common
+component make further links between its documents impossible or needless. What remains are pairs of classes, which
+are compared exactly. So a mass of near copies costs about one comparison each and round, and no link between
+different components is lost.
 
 Nulls and empties: a null or wordless text has an empty set and is linked with nothing. Rows that repeat a doc_id are
 one document. A row without doc_id gets the component of the documents whose set it shares, null if there are none.
@@ -28,8 +30,10 @@ from . import textops
 from .common import arrow, bloom_filter, components, dropped, in_pieces, sifted, written
 
 SLOTS = 1 << 18
+MORE = 5  # percent of a set by which its first tokens are more than one shared token takes
+ROUNDS = 3
 LANES = 16  # longs of a bitmap: 1,024 bits
-FAN = 32
+FAN = 16
 
 
 def _bitmaps(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -74,7 +78,7 @@ def _prefixes(slots: np.ndarray, percent: int):
             sets = textops.shingle_sets(piece.column(1))
             firsts = []
             for s in sets:
-                length = len(s) - _least_overlap(len(s), percent) + 1 if len(s) else 0
+                length = len(s) - _least_overlap(len(s), percent) + max(1, len(s) * MORE // 100) if len(s) else 0
                 late = slots[(s >> np.uint64(46)).astype(np.int64)]
                 firsts.append(s[np.argsort(late, kind="stable")[:length]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
@@ -155,34 +159,48 @@ def _described(signed: DataFrame) -> DataFrame:
     return signed.select("doc", F.col("n").alias("least"), F.col("n").alias("most"), lost.alias("lost"), *bits)
 
 
-def _hub_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Every class with the smallest class of each of its tokens, as far as sizes and bitmaps allow a link."""
-    pairs = members.where("doc <> hub").select("doc", "hub").distinct()
-    alone = classes.withColumns({"low": F.col("doc"), "high": F.col("doc")})
-    met = pairs.join(alone.alias("a"), "doc").join(alone.withColumnRenamed("doc", "hub").alias("b"), "hub")
-    return written(met.where(_may_link(percent)).select(F.col("hub").alias("u"), F.col("doc").alias("v")), "hub-pairs")
+def _hub_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
+    """Every class with one class of each of its tokens, as far as sizes, bitmaps and components leave something to find."""
+    if labels is None:
+        labelled = members.withColumn("component", F.col("doc"))
+    else:
+        labelled = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    first = labelled.groupBy("token").agg(
+        F.min_by("doc", F.xxhash64(F.lit(turn), "doc")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    pairs = labelled.join(first.where("low <> high").drop("low", "high"), "token").where("doc <> hub")
+    pairs = pairs.select(F.least("doc", "hub").alias("u"), F.greatest("doc", "hub").alias("v")).distinct()
+    own = classes if labels is None else classes.join(labels, "doc", "left")
+    own = own.withColumn("low", F.coalesce("component", "doc") if labels is not None else F.col("doc"))
+    own = written(own.withColumn("high", F.col("low")).drop("component"), "hub-classes")
+    met = pairs.join(own.withColumnRenamed("doc", "u").alias("a"), "u").join(own.withColumnRenamed("doc", "v").alias("b"), "v")
+    found = written(met.where(_may_link(percent)).select("u", "v"), "hub-pairs")
+    dropped(own)
+    return found
 
 
 def _remaining_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that share a token and whose bitmaps allow a link: the dual traversal."""
     labelled = members.join(labels, "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-    mark = [F.sum(F.xxhash64(F.lit(i), "doc").cast("decimal(38,0)")).alias(f"mark{i}") for i in range(2)]
     mixed = labelled.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_members"), *mark
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_members")
     )
-    # Two members have been compared already: one of them is the hub. Of tokens with the same members one is enough.
-    mixed = mixed.where("low <> high AND n_members > 2").groupBy("n_members", "mark0", "mark1").agg(F.min("token").alias("token"))
-    mixed = written(mixed.select("token", "n_members"), "tree-tokens")
+    # Two members have been compared already: one of them was the hub.
+    mixed = written(mixed.where("low <> high AND n_members > 2").select("token", "n_members"), "tree-tokens")
     largest = mixed.agg(F.max("n_members")).first()[0] or 0
     depth = 0
     while FAN ** (depth + 1) < largest:
         depth += 1
-    # A leaf's place in its tree: the deeper the more members the token has; 0 everywhere for a small token.
-    spread = F.lit(1).cast("long")
+    # A leaf's place in its tree: the deeper the more members the token has; 0 everywhere for a small token. Components
+    # stay together, as the bitmap of like documents has few bits and a node of one component needs no pairs of its own;
+    # within one, documents are spread over half the levels.
+    spread, within = F.lit(1).cast("long"), F.lit(1).cast("long")
     for k in range(1, depth + 1):
         spread = F.when(F.col("n_members") > FAN**k, F.lit(FAN**k).cast("long")).otherwise(spread)
+        within = F.when(F.col("n_members") > FAN**k, F.lit(FAN ** (k // 2)).cast("long")).otherwise(within)
+    place = F.pmod(F.xxhash64("component"), (spread / within).cast("long")) * within + F.pmod(F.xxhash64("doc"), within)
     leaves = labelled.join(mixed, "token").select(
-        "token", F.pmod(F.xxhash64("doc"), spread).alias("place"), "doc", F.col("component").alias("low"), F.col("component").alias("high")
+        "token", place.alias("place"), "doc", F.col("component").alias("low"), F.col("component").alias("high")
     )
     leaves = written(leaves.join(classes, "doc"), "tree-leaves")
     levels = [written(_nodes(leaves, ["token", "place"]), "tree-nodes")]
@@ -231,21 +249,36 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     first = arrow(texts, _prefixes(slots.astype(np.uint32), percent), "doc long, n long, tokens array<long>")
     rows = first.join(named.select("doc"), "doc", "left_semi").select("doc", F.explode("tokens").alias("token"))
-    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("hub")).where("c > 1").drop("c")
-    members = written(rows.join(met.hint("shuffle_hash"), "token").select("token", "doc", "hub"), "members")
+    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    every = written(rows.join(met.hint("shuffle_hash"), "token", "left_semi"), "met-rows")
+    # A partner has ``percent`` of a class's size at least, and as many more first tokens of its own.
+    wanted = F.greatest(F.floor(F.floor(F.col("n") * percent / 100) * MORE / 100), F.lit(1))
+    shared = every.groupBy("doc").agg(F.count(F.lit(1)).alias("n_shared"))
     # A document that stands for several sets (a repeated doc_id) keeps the size and bitmap of one; its links are checked on all.
-    classes = signed.join(named, (signed.doc_id == named.doc) & (signed.s1 == named.s1) & (signed.s2 == named.s2)).select(
-        "doc", "n", "bits"
-    )
-    classes = classes.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    classes = signed.join(named, (signed.doc_id == named.doc) & (signed.s1 == named.s1) & (signed.s2 == named.s2)).select("doc", "n", "bits")
+    classes = classes.join(shared, "doc").where(F.col("n_shared") >= wanted).dropDuplicates(["doc"])
     classes = written(_described(classes), "met-classes")
-    star = _hub_pairs(members, classes, percent)
-    near = _verified(star, texts, percent)
-    labels = written(components(near).withColumnRenamed("vertex", "doc"), "labels")
+    members = every.join(classes.select("doc"), "doc", "left_semi")
+    # Tokens with the same classes are one meeting place, and those with one class left are none.
+    mark = [F.sum(F.xxhash64(F.lit(i), "doc").cast("decimal(38,0)")).alias(f"mark{i}") for i in range(2)]
+    places = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), *mark).where("c > 1")
+    places = places.groupBy("c", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")
+    members = written(members.join(places, "token", "left_semi"), "members")
+    dropped(every)
+    links, labels = None, None
+    for turn in range(ROUNDS):
+        pairs = _hub_pairs(members, classes, labels, turn, percent)
+        near = _verified(pairs, texts, percent)
+        dropped(pairs)
+        if links is not None and near.isEmpty():
+            break
+        links = near if links is None else links.union(near)
+        labels = written(components(links).withColumnRenamed("vertex", "doc"), "labels")
     rest = _verified(_remaining_pairs(members, classes, labels, percent), texts, percent)
+    near = links
     found = components(near.union(rest)).withColumnRenamed("vertex", "doc")
     of_class = named.join(found, "doc", "left").select("s1", "s2", F.coalesce("component", "doc").alias("component"))
-    dropped(members, classes, star, labels)
+    dropped(members, classes, labels)
     return signed.join(of_class, ["s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
