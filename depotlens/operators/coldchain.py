@@ -80,9 +80,7 @@ def near_expiry(
     """
     one_of("group_by", group_by, ("category", "warehouse"))
     within("near_expiry_days", near_expiry_days, 1, 365)
-    stock = star.inventory
-    latest = star.inventory_days.agg(F.max("snapshot_date")).scalar()
-    stock = stock.where(F.col("snapshot_date") == latest)
+    stock = star.latest_inventory
     by_warehouse = group_by == "warehouse"
     key = "warehouse_id" if by_warehouse else "category"
     # Category without a warehouse scope needs no warehouse at all.

@@ -21,6 +21,7 @@ from ..functions import numeric as N
 
 BAND = 0.5
 MIN_WORD = 4
+STRETCH = 256
 
 CELL = ("cell_brand", "cell_category", "cell_family", "cell_pack")
 
@@ -82,18 +83,6 @@ def _name_words(products: DataFrame) -> DataFrame:
     )
 
 
-def _parts(token: Column) -> Column:
-    """All distinct substrings of a token that are long enough to be a word."""
-    starts = F.sequence(F.lit(1), F.length(token) - (MIN_WORD - 1))
-    per_start = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(MIN_WORD), F.length(token) - i + 1), lambda n: F.substring(token, i, n)
-        ),
-    )
-    return F.array_distinct(F.flatten(per_start))
-
-
 def _title_tokens(listings: DataFrame) -> DataFrame:
     """Name words hold no blank, so a word lies in the title iff it lies in one of its tokens."""
     return listings.withColumn("token", F.explode(F.array_distinct(F.split(F.upper("title"), " ")))).where(
@@ -117,9 +106,10 @@ def price_position(
         F.count(F.lit(1)).alias("n_products"), F.min(_pick()).alias("lowest")
     )
 
-    seen = listings.withColumns(_cell("brand_guess", "category", "pack_value", "pack_uom", strict_family))
+    every = listings.withColumns(_cell("brand_guess", "category", "pack_value", "pack_uom", strict_family))
+    seen = every.where(_has_cell())
 
-    pairs = _cell_pairs(seen.where(_has_cell()).select(*CELL).distinct(), product_cells)
+    pairs = _cell_pairs(seen.select(*CELL).distinct(), product_cells)
     cells = pairs.groupBy(*CELL).agg(F.sum("n_products").alias("n_candidates"), F.min("lowest").alias("lowest"))
 
     # Tiebreak, only for cells with a choice. Words are filed under the listing cell that asks for them.
@@ -135,21 +125,33 @@ def price_position(
     # Tokens are made distinct before they meet the cells: joined by cell first, all tokens of a
     # hot cell would stay together in the aggregation that follows.
     title_key = [*CELL, "title"]
-    tokens = _title_tokens(seen.where(_has_cell()).select(*title_key).distinct())
+    tokens = _title_tokens(seen.select(*title_key).distinct())
+    # A token is cut to pieces of the lengths that its cell's words have, one row per piece: as
+    # many as its letters, per length, however long the token is.
+    # Long tokens go by stretches first, as finding a place in a text takes as long as the text before it.
+    lengths = asked_words.select(*CELL, F.length("word").alias("size")).distinct()
+    stretch = F.explode(F.sequence(F.lit(1), F.length("token") - F.col("size") + 1, F.lit(STRETCH)))
+    begin = F.explode(F.sequence(F.lit(1), F.length("part") - F.col("size") + 1))
     hits = (
         tokens.select(*CELL, "token")
         .distinct()
-        .join(contested, list(CELL), "left_semi")
-        .withColumn("word", F.explode(_parts(F.col("token"))))
+        .join(lengths, list(CELL))
+        .where(F.length("token") >= F.col("size"))
+        .select(*CELL, "token", "size", stretch.alias("at"))
+        .withColumn("part", F.substring("token", F.col("at"), F.col("size") + (STRETCH - 1)))
+        .select(*CELL, "token", "size", "part", begin.alias("begin"))
+        .withColumn("word", F.substring("part", F.col("begin"), F.col("size")))
         .join(asked_words, [*CELL, "word"])
         .groupBy(*CELL, "token")
         .agg(F.min("by_word").alias("by_token"))
     )
     named = tokens.join(hits, [*CELL, "token"]).groupBy(*title_key).agg(F.min("by_token").alias("by_name"))
 
+    # Listings without a cell have no candidate; they stay out of the joins, where their missing
+    # keys would all meet.
+    found = seen.join(cells, list(CELL), "left").join(named, title_key, "left")
     scored = (
-        seen.join(cells, list(CELL), "left")
-        .join(named, title_key, "left")
+        found.unionByName(every.where(~_has_cell()), allowMissingColumns=True)
         .withColumn("n_candidates", F.coalesce("n_candidates", F.lit(1)))
         .withColumn("best", F.coalesce("by_name", "lowest"))
         # Ordered so that the smallest is the best: a match, by name, the lowest product.

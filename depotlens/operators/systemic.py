@@ -10,36 +10,46 @@ from .scope import in_region, within
 VERY_LATE_MINUTES = 120
 
 
-def _late_routes(star, region_code: str | None, min_deliveries: int, min_pct: float) -> DataFrame:
-    very_late = F.col("delay_minutes") > VERY_LATE_MINUTES
+def _by_route(star, region_code: str | None) -> DataFrame:
+    """Sums per route in scope: deliveries are summed by route before the route is looked up."""
+    sums = star.deliveries_by_route(
+        [
+            F.count(F.lit(1)).alias("n"),
+            N.count_where(F.col("delay_minutes") > VERY_LATE_MINUTES).alias("late"),
+            F.sum("delay_minutes").alias("delay"),
+            F.count("delay_minutes").alias("n_delays"),
+        ]
+    )
     routes = in_region(star.dim_route, star.dim_region, region_code)
+    return sums.join(routes.select("route_id", "route_code", "route_name"), "route_id")
+
+
+def _by_code(by_route: DataFrame) -> DataFrame:
     return (
-        star.deliveries_by_order(["route_id"], [F.count(F.lit(1)).alias("n"), N.count_where(very_late).alias("late")])
-        .groupBy("route_id")
-        .agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
-        .join(routes.select("route_id", "route_code", "route_name"), "route_id")
-        .groupBy("route_code", "route_name")
+        by_route.groupBy("route_code", "route_name")
         .agg(F.sum("n").alias("n_deliveries"), F.sum("late").alias("n_very_late"))
         .withColumn("pct_very_late", N.share_pct(F.col("n_very_late"), F.col("n_deliveries"), 1))
-        .where((F.col("n_deliveries") >= min_deliveries) & (F.col("pct_very_late") > min_pct))
     )
 
 
+def _is_late(min_deliveries: int, min_pct: float):
+    return (F.col("n_deliveries") >= min_deliveries) & (F.col("pct_very_late") > min_pct)
+
+
 def late_routes(star, region_code: str | None = None, min_deliveries: int = 10, min_pct: float = 10.0) -> DataFrame:
     """Routes over two hours late on more than ``min_pct`` percent (as shown, one decimal) of deliveries."""
-    return _late_routes(star, region_code, min_deliveries, min_pct).orderBy(F.desc("pct_very_late"), "route_code")
+    found = _by_code(_by_route(star, region_code)).where(_is_late(min_deliveries, min_pct))
+    return found.orderBy(F.desc("pct_very_late"), "route_code")
 
 
 def late_routes_summary(star, region_code: str | None = None) -> DataFrame:
     """One row: late routes, all routes in scope, whether that is all of them, mean delay."""
-    routes = in_region(star.dim_route, star.dim_region, region_code)
-    sums = [F.sum("delay_minutes").alias("s"), F.count("delay_minutes").alias("n"), F.count(F.lit(1)).alias("all")]
-    per_order = star.deliveries_by_order(["route_id"], sums).join(routes.select("route_id"), "route_id", "left_semi")
-    delay = per_order.agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"), F.coalesce(F.sum("all"), F.lit(0)).alias("n_deliveries")
+    by_route = _by_route(star, region_code)
+    delay = by_route.agg(
+        F.sum("delay").alias("s"), F.sum("n_delays").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_deliveries")
     )
-    n_late = _late_routes(star, region_code, 10, 10.0).agg(F.count(F.lit(1))).scalar()
-    n_routes = routes.agg(F.count(F.lit(1))).scalar()
+    n_late = _by_code(by_route).where(_is_late(10, 10.0)).agg(F.count(F.lit(1))).scalar()
+    n_routes = in_region(star.dim_route, star.dim_region, region_code).agg(F.count(F.lit(1))).scalar()
     return delay.select(
         n_late.alias("n_late_routes"),
         n_routes.alias("n_routes"),

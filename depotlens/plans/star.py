@@ -8,10 +8,12 @@ a line without a product and on a repeated line id.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators import dims, facts, matching
@@ -24,6 +26,9 @@ FACT_TABLES = (
 )
 
 
+SCHEMAS = "_schemas"
+
+
 class Sources:
     """What a build reads: one attribute per operational table and feed."""
 
@@ -169,6 +174,10 @@ class LazyStar(_Star):
         per_order = raw.groupBy("order_id", *keys).agg(*aggregates)
         return per_order.join(self.landed.orders.select("order_id", "outlet_id", "region_id"), "order_id")
 
+    def deliveries_by_route(self, aggregates: list[Column]) -> DataFrame:
+        """Needs nothing of the order: that it exists is checked on the sources."""
+        return facts.delivery_columns(self.landed.deliveries, self.shift_utc).groupBy("route_id").agg(*aggregates)
+
     @cached_property
     def returns(self) -> DataFrame:
         return facts.returns(
@@ -184,9 +193,11 @@ class LazyStar(_Star):
     def inventory(self) -> DataFrame:
         return facts.inventory(self.landed.inventory_snapshots, self.dim_product)
 
-    @cached_property
-    def inventory_days(self) -> DataFrame:
-        return self.landed.inventory_snapshots.select(F.col("snapshot_date").cast("date").alias("snapshot_date"))
+    @property
+    def latest_inventory(self) -> DataFrame:
+        """Stock of the newest snapshot."""
+        days = self.landed.inventory_snapshots.select(F.col("snapshot_date").cast("date").alias("snapshot_date"))
+        return self.inventory.where(F.col("snapshot_date") == days.agg(F.max("snapshot_date")).scalar())
 
     @cached_property
     def freight(self) -> DataFrame:
@@ -204,14 +215,20 @@ class LazyStar(_Star):
 
 
 class StoredStar(_Star):
-    """Tables of a published warehouse folder. Use ``warehouse.open_checked`` to get one."""
+    """Tables of one build of a warehouse. Use ``warehouse.open_checked`` to get one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
+    @cached_property
+    def _schemas(self) -> dict[str, StructType]:
+        """The columns of every table as built; a table without rows has no file to tell them."""
+        rows = self.spark.read.parquet(f"{self.path}/{SCHEMAS}").collect()  # one row per table
+        return {r["table_name"]: StructType.fromJson(json.loads(r["schema"])) for r in rows}
+
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
 
     dim_region = cached_property(lambda self: self._read("dim_region"))
     dim_warehouse = cached_property(lambda self: self._read("dim_warehouse"))
@@ -248,10 +265,16 @@ class StoredStar(_Star):
         deliveries = period.of(self.deliveries, "dispatch_datetime")
         return deliveries.groupBy("order_id", "outlet_id", "region_id", *keys).agg(*aggregates)
 
+    def deliveries_by_route(self, aggregates: list[Column]) -> DataFrame:
+        return self.deliveries.groupBy("route_id").agg(*aggregates)
+
     @property
     def returns_core(self) -> DataFrame:
         return self.returns
 
     @property
-    def inventory_days(self) -> DataFrame:
-        return self.inventory.select("snapshot_date")
+    def latest_inventory(self) -> DataFrame:
+        """The newest month comes from the partitions' names; only that month is read."""
+        months = self.inventory.agg(F.max("snapshot_date_month")).scalar()
+        newest = self.inventory.where(F.col("snapshot_date_month") == months)
+        return newest.where(F.col("snapshot_date") == newest.agg(F.max("snapshot_date")).scalar())

@@ -1,5 +1,9 @@
 """Build, gate, publish and open a warehouse folder.
 
+Every build is a folder of its own, numbered, below ``builds``; nothing that was written
+is overwritten, so a served build stays whole while the next is made. The verdict lies
+in the build it is about. Readers get the newest build whose verdict is ok.
+
 Order lines, deliveries, returns and inventory are partitioned by month, so a period
 reads its months only. Rows are rebalanced by month before the write: adaptive execution
 splits a month that outgrows a file and merges small ones, so a month with a third of all
@@ -9,13 +13,13 @@ rows is written by many tasks.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D
 from ..operators import quality
-from .star import DIMENSION_TABLES, FACT_TABLES, LazyStar, Sources, StoredStar
+from ..session import folder_exists
+from .star import DIMENSION_TABLES, FACT_TABLES, SCHEMAS, LazyStar, Sources, StoredStar
 
 MONTH_OF = {
     "fact_order_lines": "order_date",
@@ -24,83 +28,102 @@ MONTH_OF = {
     "fact_freight": "invoice_date",
     "fact_inventory_snapshot": "snapshot_date",
 }
-META = "_warehouse_meta"
+BUILDS, VERDICT, REPORT, CLAIM = "builds", "_verdict", "_quality_report", "_claimed"
 CONCURRENT_WRITES = 4
 
 
 class WarehouseNotChecked(Exception):
-    """The warehouse never went through its gate, or failed it."""
+    """No build of the warehouse went through its gate and passed."""
 
 
 def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
-    """Overwrite one table, partitioned by the month of ``day`` if given."""
+    """Write one table, partitioned by the month of ``day`` if given."""
     if day is None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.parquet(path)
         return
     month = f"{day}_month"
     (
         df.withColumn(month, D.month_key(F.col(day)))
         .hint("rebalance", F.col(month))
-        .write.mode("overwrite")
-        .partitionBy(month)
+        .write.partitionBy(month)
         .parquet(path)
     )
 
 
+def _numbers(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the builds below ``out``, newest first."""
+    base = f"{out.rstrip('/')}/{BUILDS}"
+    if not folder_exists(spark, base):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit()), reverse=True)
+
+
+def _claimed(spark: SparkSession, out: str) -> str:
+    """The folder of a new build. Its claim file is created by one builder only; others take the next number."""
+    number = max(_numbers(spark, out), default=0)
+    while True:
+        number += 1
+        folder = f"{out.rstrip('/')}/{BUILDS}/{number:08d}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{CLAIM}")
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(p):
+            return folder
+
+
 def build(landed: Sources, out: str, **star_options) -> StoredStar:
-    """Write every table of the star below ``out``. The result is not to be served before ``gate``."""
+    """Write every table of the star as a new build below ``out``. It is not served before ``gate``."""
+    spark = landed.spark
     lazy = LazyStar(landed, **star_options)
-    base = out.rstrip("/")
+    base = _claimed(spark, out)
     names = DIMENSION_TABLES + FACT_TABLES
     frames = {name: lazy.table(name) for name in names}
     # The tables do not depend on each other; a few writes at a time keep the cluster busy
     # through the tail of each.
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
         list(pool.map(lambda n: write_table(frames[n], f"{base}/{n}", MONTH_OF.get(n)), names))
-    return StoredStar(landed.spark, base)
+    # A partitioned table without rows holds no file that could tell its columns.
+    schemas = [(n, _stored_schema(frames[n], MONTH_OF.get(n)).json()) for n in names]
+    spark.createDataFrame(schemas, "table_name string, schema string").coalesce(1).write.parquet(f"{base}/{SCHEMAS}")
+    return StoredStar(spark, base)
+
+
+def _stored_schema(df: DataFrame, day: str | None):
+    return df.schema if day is None else df.withColumn(f"{day}_month", D.month_key(F.col(day))).schema
 
 
 def tables_found(spark: SparkSession, path: str) -> tuple[str, ...]:
     """The expected tables that exist below ``path`` (a listing, no job)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for name in quality.EXPECTED_TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}/_SUCCESS")
-        if p.getFileSystem(conf).exists(p):
-            found.append(name)
-    return tuple(found)
+    return tuple(n for n in quality.EXPECTED_TABLES if folder_exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS"))
 
 
 def gate(star: StoredStar, landed: Sources | None = None, **bounds) -> DataFrame:
-    """Check the stored tables (and the sources, if given), append the verdict, return the report."""
+    """Check the tables of a build (and the sources, if given), write its verdict, return the report."""
     checks = quality.report(star, tables=tables_found(star.spark, star.path), **bounds)
     if landed is not None:
         checks = checks.unionByName(quality.source_report(landed))
-    report_path = f"{star.path}/_quality_report"
+    report_path = f"{star.path}/{REPORT}"
     checks.coalesce(1).write.mode("overwrite").parquet(report_path)  # one row per check
     checks = star.spark.read.parquet(report_path)
-    now = datetime.now(timezone.utc)
-    verdict = quality.verdict(checks).select(F.lit(now).alias("validated_at"), "*")
-    verdict.write.mode("append").parquet(f"{star.path}/{META}")
+    quality.verdict(checks).write.mode("overwrite").parquet(f"{star.path}/{VERDICT}")
     return checks
 
 
-def verdict_of(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Status and failed checks of the latest verdict; ``missing`` if there is none."""
-    meta = f"{path.rstrip('/')}/{META}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(meta)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return "missing", "the warehouse never went through its gate"
-    latest = F.max_by(F.struct("status", "failed_checks"), "validated_at").alias("v")
-    row = spark.read.parquet(meta).agg(latest).first()["v"]
-    return (row["status"], row["failed_checks"]) if row else ("missing", "the verdict is empty")
+def verdict_of(spark: SparkSession, build_path: str) -> tuple[str, str]:
+    """Status and failed checks of a build; ``missing`` if it never went through the gate."""
+    if not folder_exists(spark, f"{build_path}/{VERDICT}/_SUCCESS"):
+        return "missing", "the build never went through its gate"
+    row = spark.read.parquet(f"{build_path}/{VERDICT}").first()
+    return row["status"], row["failed_checks"]
 
 
 def open_checked(spark: SparkSession, path: str) -> StoredStar:
-    """The stored star, refused unless its latest verdict is ok."""
-    status, detail = verdict_of(spark, path)
-    if status != "ok":
-        raise WarehouseNotChecked(f"{path}: {status} ({detail})")
-    return StoredStar(spark, path)
+    """The newest build below ``path`` whose verdict is ok; refused if there is none."""
+    seen = []
+    for number in _numbers(spark, path):
+        folder = f"{path.rstrip('/')}/{BUILDS}/{number:08d}"
+        status, detail = verdict_of(spark, folder)
+        if status == "ok":
+            return StoredStar(spark, folder)
+        seen.append(f"build {number} {status} ({detail})")
+    raise WarehouseNotChecked(f"{path}: {'; '.join(seen) or 'missing'}")

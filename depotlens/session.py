@@ -53,3 +53,19 @@ def written_once(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/step-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p, store = _folder(spark, path)
+    return store.exists(p)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    p, store = _folder(spark, path)
+    store.delete(p, True)

@@ -29,9 +29,6 @@ RATED = r"^rated ([\d.]+) \((\d+)\)"
 PACK = r"(?i)^([\d.]+)\s*(g|kg|ml|l)\b"
 SEPARATOR = "&middot;"
 
-# Third-party brands; the house brand is added by the caller, usually in front.
-DISTRIBUTED_BRANDS = ("Bluepeak", "Hillfare", "Coastline", "Amrit", "Marwar")
-
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, NULL when there is no match or the group is empty."""
@@ -120,7 +117,7 @@ def _last_where(parts: Column, condition) -> Column:
     return F.try_element_at(F.filter(parts, condition), F.lit(-1))
 
 
-def extract(pages: DataFrame, brands: tuple[str, ...] = DISTRIBUTED_BRANDS) -> DataFrame:
+def extract(pages: DataFrame, brands: tuple[str, ...]) -> DataFrame:
     """Listings of ``(city, url, html)`` pages; fields that a card lacks are NULL."""
     card = F.col("card")
     base = cards(pages).select(

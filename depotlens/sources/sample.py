@@ -271,7 +271,7 @@ class SampleTables(Sources):
 
     @cached_property
     def returns_credit_notes(self) -> DataFrame:
-        """Returned lines of at most five units; the sign of the quantity is unreliable."""
+        """All returned lines; the sign of the quantity is unreliable."""
         n = _col("l_linenumber")
         reason = (
             F.when(n == 1, "RT01_NEAR_EXPIRY")
@@ -282,7 +282,7 @@ class SampleTables(Sources):
         owner = self.raw("orders").select(_col("o_orderkey").alias("l_orderkey"), _col("o_custkey").alias("outlet_id"))
         return (
             self.raw("lineitem")
-            .where((_col("l_returnflag") == "R") & (_col("l_quantity") <= 5))
+            .where(_col("l_returnflag") == "R")
             .join(owner, "l_orderkey")
             .select(
                 self._line_id().alias("return_id"),

@@ -1,8 +1,9 @@
 """Incremental invoice ingest: landed files in, each invoice once, restartable.
 
 The file source's checkpoint knows which files are done, so a killed run goes on where
-it stopped. Every micro-batch writes its own folder and overwrites it when replayed, so
-a crash between write and commit duplicates nothing. An invoice that lands again, in the
+it stopped. A checkpoint is a run; every micro-batch writes the folder of its run and
+number and overwrites only that when replayed, so a crash between write and commit
+duplicates nothing, and a new checkpoint on an old table adds to it. An invoice that lands again, in the
 same batch or years later, is dropped: within a batch by an aggregate that combines on
 the map side (a page landed a million times does not pile up in one task), across batches
 by an anti join with the ids already there. What is there is the table itself, so no
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import dates as D
+from ..session import folder_exists
 from ..sources import landed
 
 
@@ -27,10 +29,18 @@ def one_per_invoice(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("invoice_id").agg(first).select("invoice_id", "r.*").select(*invoices.columns)
 
 
-def _unseen(fresh: DataFrame, out: str, batch_id: int, months_are_final: bool) -> DataFrame:
-    if batch_id == 0:
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the checkpoint keeps for its query, through all restarts."""
+    kept = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id").alias("id"))
+    return kept.where("id IS NOT NULL").first()["id"]
+
+
+def _unseen(fresh: DataFrame, out: str, run: str, batch_id: int, months_are_final: bool) -> DataFrame:
+    """Invoices that no other batch of any run has stored."""
+    spark = fresh.sparkSession
+    if not folder_exists(spark, out):
         return fresh
-    done = fresh.sparkSession.read.schema(schemas.STORED_FREIGHT).parquet(out).where(F.col("batch_id") < batch_id)
+    done = stored(spark, out).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
     if months_are_final:  # the semi join with the batch's months becomes a partition filter
         done = done.join(fresh.select("invoice_month").distinct(), "invoice_month", "left_semi")
     # Stored ids are cut down to the batch's first: with a small batch the stored side is not shuffled.
@@ -38,19 +48,20 @@ def _unseen(fresh: DataFrame, out: str, batch_id: int, months_are_final: bool) -
     return fresh.join(again, "invoice_id", "left_anti")
 
 
-def store_batch(out: str, months_are_final: bool = False) -> Callable[[DataFrame, int], None]:
+def store_batch(out: str, checkpoint: str, months_are_final: bool = False) -> Callable[[DataFrame, int], None]:
     """The sink of one micro-batch of normalised invoices."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        run = _run_of(batch.sparkSession, checkpoint)
         month = F.coalesce(D.month_key(F.col("invoice_date")), F.lit("unknown"))
         fresh = one_per_invoice(batch).withColumn("invoice_month", month).persist()
         try:
             (
-                _unseen(fresh, out, batch_id, months_are_final)
+                _unseen(fresh, out, run, batch_id, months_are_final)
                 .hint("rebalance", F.col("invoice_month"))
                 .write.mode("overwrite")
                 .partitionBy("invoice_month")
-                .parquet(f"{out}/batch_id={batch_id}")
+                .parquet(f"{out}/run={run}/batch_id={batch_id}")
             )
         finally:
             fresh.unpersist()
@@ -67,7 +78,7 @@ def ingest(stream: DataFrame, out: str, checkpoint: str, months_are_final: bool
     """
     query = (
         landed.normalise_invoices(stream)
-        .writeStream.foreachBatch(store_batch(out.rstrip("/"), months_are_final))
+        .writeStream.foreachBatch(store_batch(out.rstrip("/"), checkpoint.rstrip("/"), months_are_final))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from depotlens.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "depotlens-tests", "6g")
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), "depotlens-tests", "6g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from depotlens.operators import privacy, profile, quality, quantiles, scope, service
+from depotlens.operators import coldchain, periods, privacy, profile, quality, quantiles, scope, service, systemic
 from depotlens.plans import questions, warehouse
 from depotlens.session import scratch_dir
 
@@ -44,17 +44,17 @@ def test_faster_email_pattern_finds_the_same(spark):
 
 
 def test_blocked_requests(spark):
-    asked = ["Show the customers' Phone Numbers", "warehouse MANAGER'S NAME?", "gstin of outlet 5", "Aadhaar list"]
-    fine = ["Which route is late?", "Highest freight cost by warehouse", "Which region has the lowest fill rate?", None]
+    asked = ["List every Mobile Number we hold", "who is called what: Salesperson's Name", "GSTIN, please", "an AADHAAR column"]
+    fine = ["Trucks that came after noon", "Cases per pallet in the north", "Rank the lanes by cost", None]
     assert of(spark, asked + fine, privacy.asks_for_personal_data) == [True] * 4 + [False] * 4
     assert len(privacy.BLOCKED_PHRASES) == len(set(privacy.BLOCKED_PHRASES)) == 43
 
 
 def test_governed_tables(mini):
     star = mini()
-    with pytest.raises(privacy.PersonalDataError, match="blocked_result_column"):
+    with pytest.raises(privacy.BlockedColumns, match="regional_manager"):
         privacy.assert_no_blocked_columns(star.dim_region)
-    with pytest.raises(privacy.PersonalDataError):
+    with pytest.raises(privacy.BlockedColumns, match="Contact_Email"):
         privacy.assert_no_blocked_columns(star.dim_outlet_plain.select(F.col("contact_email").alias("Contact_Email")))
     for name in privacy.BLOCKED_COLUMNS:
         shown = privacy.assert_no_blocked_columns(privacy.governed(star.table(name), name))
@@ -200,6 +200,35 @@ def test_build_gate_and_open(spark, tmp_path):
     assert quality.changed_counts(before.limit(13), quality.manifest(opened)).count() == 1
 
 
+    # A rebuild is not served before it passed, and nothing of the served build is touched.
+    second = warehouse.build(sources, out)
+    assert second.path != stored.path and warehouse.open_checked(spark, out).path == stored.path
+    warehouse.gate(second, first=date(1996, 1, 1), last=date(2002, 12, 31))
+    assert warehouse.open_checked(spark, out).path == stored.path
+    assert quality.changed_counts(before, quality.manifest(warehouse.open_checked(spark, out))).count() == 0
+    warehouse.gate(second, **window)
+    assert warehouse.open_checked(spark, out).path == second.path
+    # A period reads its months only; the newest snapshot its month only.
+    month = service.fill_rate(opened, "region", periods.period(month="1998-04"))
+    assert "PartitionFilters: [isnotnull(order_date_month" in plan_of(month)
+    assert "PartitionFilters: [isnotnull(snapshot_date_month" in plan_of(coldchain.near_expiry(opened))
+    assert "order_id" not in plan_of(systemic.late_routes(opened))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_missing_feed_fails_the_gate(mini, spark, order, line, tmp_path):
+    sources = mini(orders=[order(1)], order_lines=[line("a", 1, 1, 1)]).landed
+    stored = warehouse.build(sources, str(tmp_path / "w"))
+    checks = {r.check_name: r for r in warehouse.gate(stored, **WINDOW).collect()}
+    assert len(checks) == 37 and checks["required_tables_exist"].passed
+    assert not checks["nonzero_rows:fact_freight"].passed and not checks["nonzero_rows:fact_returns"].passed
+    with pytest.raises(warehouse.WarehouseNotChecked, match="nonzero_rows:fact_freight"):
+        warehouse.open_checked(spark, str(tmp_path / "w"))
+
+
 def test_scratch_folder_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch_dir(spark) == (named or scratch_dir(spark))

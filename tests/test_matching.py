@@ -62,6 +62,13 @@ def test_name_breaks_ties_but_stays_ambiguous(match):
     assert picks == {"1": ("S2", "ambiguous"), "2": ("S1", "ambiguous"), "3": ("S2", "ambiguous")}
 
 
+def test_a_very_long_title_token(match):
+    products = [product(1, name="other things"), product(2, name="needle case")]
+    token = "".join(random.Random(1).choices("abcdefg", k=100_000))
+    got = match([listing(1, title=token[:60_000] + "Needle" + token[60_000:]), listing(2, title=token)], products)
+    assert {k[1]: r.sku_code for k, r in got.items()} == {"1": "S2", "2": "S1"}
+
+
 def test_the_brand_is_not_a_name_word(match):
     products = [product(1, brand="Marwar", name="Plain"), product(2, brand="Marwar", name="Marwar Gold")]
     got = match([listing(1, brand="Marwar", title="MARWAR something")], products)
