@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from depotlens.session import scratch_dir
 
@@ -67,7 +68,14 @@ def in_pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 500_00
             yield batch.slice(begin)
 
 
-def arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+ARROW_ROWS = 2_000
+
+
+def arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of few rows, as texts make rows long: the session's limit is lowered, never raised."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return df.mapInArrow(function, schema)
 
 
@@ -95,7 +103,7 @@ def bloom_filter(keys: DataFrame) -> np.ndarray:
 
     Keys it lets through in error cost work in the join that follows, never a wrong row.
     """
-    found = keys.mapInArrow(_bloom_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = arrow(keys, _bloom_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(BLOOM_BITS // 64, np.uint64)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words
@@ -116,7 +124,7 @@ def sifted(df: DataFrame, words: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(perhaps_in(words, batch.column(0))))
 
-    return df.mapInArrow(run, df.schema)
+    return arrow(df, run, df.schema)
 
 
 def _smaller_ends(links: DataFrame, strict: bool) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from . import textops
-from .common import in_pieces
+from .common import arrow, in_pieces
 
 MARK = "▁"  # stands for a space in the vocabulary
 PIECE_BPE_32K = "/opt/tokenizers/piece_bpe_32k.model"
@@ -247,7 +247,7 @@ def encoded(
     """``docs`` (a column ``text`` and an integer ``key``) with the ids of its text."""
     plain = docs.drop("ids")
     run = _encoder(vocabulary(path), plain.columns.index(key), seed, dropout, variants)
-    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
+    return arrow(plain, run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, path: str = PIECE_BPE_32K, **settings) -> DataFrame:
@@ -261,4 +261,4 @@ def round_trip(docs: DataFrame, path: str = PIECE_BPE_32K, **settings) -> DataFr
             same = [a == b for a, b in zip(decoded(batch.column(at), spelled), batch.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], [*batch.schema.names, "lossless"])
 
-    return ids.mapInArrow(run, StructType([*ids.schema.fields, StructField("lossless", BooleanType())]))
+    return arrow(ids, run, StructType([*ids.schema.fields, StructField("lossless", BooleanType())]))

@@ -189,7 +189,7 @@ def deduplicated(docs: DataFrame, least_chars: int = 20) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), own, "text")
     joined = rows.join(places, "doc", "left").select("own", "text", "places")
     counted = [StructField("kept_text", StringType()), StructField("n_lines", LongType()), StructField("n_kept", LongType())]
-    return joined.mapInArrow(_without, StructType([*joined.schema.fields[:2], *counted]))
+    return arrow(joined, _without, StructType([*joined.schema.fields[:2], *counted]))
 
 
 def without_repeats(docs: DataFrame, least_chars: int = 20) -> DataFrame:
