@@ -60,16 +60,15 @@ def classified(found: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFram
     """``notice``, ``license``, ``cosine`` of every distinct notice that resembles a template."""
     spark = found.sparkSession
     distinct = found.groupBy("notice").agg(F.count(F.lit(1)).alias("n"))
-    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     split = lambda c: F.explode(F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))).alias("token")
     counts = distinct.select("notice", "n", split("notice")).groupBy("notice", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
-    idf = counts.groupBy("token").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(total)).select(
-        "token", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf")
-    )
+    idf = counts.groupBy("token").agg(F.sum("n").alias("df"))
+    idf = idf.select("token", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(idf, "token").select("notice", "token", (F.col("tf") * F.col("idf")).alias("w"))
     template = spark.createDataFrame(list(TEMPLATES.items()), "template string, body string").select("template", split("body"))
-    rare = F.log(1 + F.col("total")) + 1  # of a token that no notice has
-    template = template.groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token", "left").crossJoin(F.broadcast(total))
+    rare = F.log(1 + total) + 1  # of a token that no notice has
+    template = template.groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token", "left")
     template = template.select("template", "token", (F.col("tf") * F.coalesce("idf", rare)).alias("v"))
     norm = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template_norm = template.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("template_norm"))
