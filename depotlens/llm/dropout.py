@@ -250,15 +250,19 @@ def encoded(
     return arrow(plain, run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
-def round_trip(docs: DataFrame, path: str = PIECE_BPE_32K, **settings) -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str = PIECE_BPE_32K, seed: int = 20260, dropout: float = 0.1, variants: int = 4, key: str = "doc_id"
+) -> DataFrame:
     """``encoded`` with ``lossless``: whether the ids of the row decode to its text."""
-    spelled = vocabulary(path).spelled
-    ids = encoded(docs, path, **settings)
-    text, at = ids.columns.index("text"), ids.columns.index("ids")
+    plain = docs.drop("ids", "lossless")
+    vocab = vocabulary(path)
+    encode, text = _encoder(vocab, plain.columns.index(key), seed, dropout, variants), plain.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [a == b for a, b in zip(decoded(batch.column(at), spelled), batch.column(text).to_pylist())]
+        for batch in encode(batches):
+            ids = batch.column(batch.num_columns - 1)
+            same = [a == b for a, b in zip(decoded(ids, vocab.spelled), batch.column(text).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], [*batch.schema.names, "lossless"])
 
-    return arrow(ids, run, StructType([*ids.schema.fields, StructField("lossless", BooleanType())]))
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("lossless", BooleanType())]
+    return arrow(plain, run, StructType([*plain.schema.fields, *more]))
