@@ -1,9 +1,14 @@
-"""License scan: notices are matched to templates by TF-IDF cosine, files without one inherit from their directories.
+"""License scan: files, blocks and notices matched to licences by TF-IDF cosine, the rest inherit from their directories.
 
-A notice is a sentence with a word of licensing; every sentence of every text is looked at. Equal notices are matched
-once, with document frequencies over the notices of all files. A licence file, by its name or by being mostly notice,
-speaks for its directory and all below; a file without a recognised notice of its own takes the licence of its nearest
-ancestor directory that has one, found by joining each directory's ancestors with the directories that have licences.
+Three kinds of units are compared. The whole file, its leading comment block and its paragraphs meet full licence texts
+and their standard headers, whatever words they hold; a unit is compared if it shares enough rare tokens with a template
+to reach the least cosine at all, so the prefilter loses nothing. Sentences with a word of licensing, within a line and
+with line breaks joined, meet the phrases by which licences are referred to. Equal units are matched once, with document
+frequencies over all files (texts) or over the notices of all files (phrases). A full text says more than a notice.
+
+A licence file, by its name or by being mostly notice, speaks for its directory and all below; a file without a
+recognised notice of its own takes the licence of its nearest ancestor directory that has one, found by joining each
+directory's ancestors with the directories that have licences.
 
 Nulls and empties: a null or empty text has no notice; a null path has no directory and inherits nothing. Equal cosines
 go to the template, and equal licence files to the path, that comes first. Rows with equal paths are one file each.
@@ -11,8 +16,17 @@ go to the template, and equal licence files to the path, that comes first. Rows
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import written
+
+LEAST_TEXT = 0.75  # cosine of a file, block or paragraph to a full text or a header
 LEAST_COSINE = 0.5
 FILE_SHARE = 30  # percent of a text that its notices make, to be a licence file
 KEYWORDS = ("licens", "licenc", "copyright", "spdx", "public domain")
@@ -36,7 +50,39 @@ TEMPLATES = {
     "CC0-1.0": "dedicated to the public domain under cc0 1.0",
     "Unlicense": "this is free and unencumbered software released into the public domain",
 }
+# The paragraphs that licences ask to put at the head of a file, and the first ones of short licences.
+_GNU = (
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu {0}general public license "
+    "as published by the free software foundation either version {1} of the license or (at your option) any later version"
+)
+HEADERS = [
+    ("MIT", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation "
+     "files (the software) to deal in the software without restriction including without limitation the rights to use copy modify merge "
+     "publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so "
+     "subject to the following conditions"),
+    ("Apache-2.0", "licensed under the apache license version 2.0 (the license) you may not use this file except in compliance with the "
+     "license you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0"),
+    ("GPL-2.0", _GNU.format("", 2)), ("GPL-3.0", _GNU.format("", 3)), ("AGPL-3.0", _GNU.format("affero ", 3)),
+    ("LGPL-2.0", _GNU.format("library ", 2)), ("LGPL-2.1", _GNU.format("lesser ", 2.1)), ("LGPL-3.0", _GNU.format("lesser ", 3)),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v. 2.0 if a copy of the mpl was not "
+     "distributed with this file you can obtain one at https://mozilla.org/mpl/2.0/"),
+    ("BSD-3-Clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission"),
+    ("ISC", "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided "
+     "that the above copyright notice and this permission notice appear in all copies"),
+    ("Unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+     "compiled binary for any purpose commercial or non-commercial and by any means"),
+]
+TEXTS = Path(__file__).parent / "license_texts"  # a file per licence, named by its identifier
+
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+# The comments at the head of a text, after an interpreter line. Possessive, so that long blocks need no stack.
+LEADING = (
+    r"^\s*+(?:#![^\n]*+\n\s*+)?+(?:/\*[\s\S]*?\*/|<!--[\s\S]*?-->|\"\"\"[\s\S]*?\"\"\"|"
+    r"(?:[ \t]*+(?:(?://|#|--|;|%|dnl |rem )[^\n]*+)?+\n)++(?:[ \t]*+(?://|#|--|;|%|dnl |rem )[^\n]*+)?+)"
+)
+PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"  # lines without a letter or digit part them
+_WRAPPED = r"\s*\n[\s*#/;%-]*"  # a line break within a paragraph, with the comment mark after it
 _POINT = "\u0001"  # stands for a point before a digit while sentences are cut at points
 
 
@@ -48,12 +94,100 @@ def _has_keyword(text: Column) -> Column:
     return out
 
 
+def _sentences(low: Column) -> Column:
+    cut = F.split(F.regexp_replace(low, "[.]([0-9])", f"{_POINT}$1"), "[\n.!?]")
+    return F.array_distinct(F.filter(F.transform(cut, lambda s: F.trim(F.replace(s, F.lit(_POINT), F.lit(".")))), _has_keyword))
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """``path``, ``notice``: the distinct sentences of licensing of every file, in lower case."""
+    """``path``, ``notice``, ``in_line``, ``wrapped``: the distinct sentences of licensing of every file, in lower case.
+
+    A sentence ends with its line, or with its paragraph; most are found both ways.
+    """
     low = F.lower("text")
-    cut = F.split(F.regexp_replace(low, "[.]([0-9])", f"{_POINT}$1"), "[\n.!?]")
-    spoken = F.array_distinct(F.filter(F.transform(cut, lambda s: F.trim(F.replace(s, F.lit(_POINT), F.lit(".")))), _has_keyword))
-    return files.where(_has_keyword(low)).select("path", F.explode(spoken).alias("notice"))
+    paragraphs = F.split(low, PARAGRAPHS)
+    joined = F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, _WRAPPED, " ")), "\n")
+    spoken = files.where(_has_keyword(low)).select("path", _sentences(low).alias("lines"), _sentences(joined).alias("joined"))
+    each = spoken.select("path", "lines", "joined", F.explode(F.array_union("lines", "joined")).alias("notice"))
+    return each.select("path", "notice", F.array_contains("lines", F.col("notice")).alias("in_line"), F.array_contains("joined", F.col("notice")).alias("wrapped"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+
+
+@cache
+def _templates() -> list[tuple[str, str, bool, Counter]]:
+    """Name, licence, whether it is a full text, and tokens of every template of a text or header."""
+    full = [(p.stem, p.stem, True, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    heads = [(f"{name}-head{i}", name, False, body) for i, (name, body) in enumerate(HEADERS)]
+    return [(t, name, whole, Counter(re.findall(TOKEN, body.lower()))) for t, name, whole, body in full + heads]
+
+
+def _damped(n: float) -> float:
+    return 1 + math.log(n)
+
+
+def _could_match(weights: dict[str, dict[str, float]], least: float) -> str:
+    """SQL of the condition on ``unit`` that it can reach the cosine ``least`` with some template.
+
+    A unit of that cosine shares tokens that make least^2 of the template's squared norm. Of the rarest tokens, which make
+    all but half of that, it then shares the other half, and so no fewer of them than the heaviest that make it up.
+    """
+    terms, every, fewest = [], set(), 1 << 30
+    for tokens in weights.values():
+        ranked = sorted(tokens.items(), key=lambda x: (-x[1], x[0]))
+        total, need = sum(v * v for v in tokens.values()), least * least / 2
+        rare, mass, n = [], 0.0, 0
+        for token, v in ranked:
+            if mass >= (1 - need) * total:
+                break
+            n += mass < need * total * 0.999  # room for rounding
+            rare.append(token)
+            mass += v * v
+        terms.append(f"(size(h) >= {n} AND size(array_intersect(split('{' '.join(rare)}', ' '), h)) >= {n})")
+        every.update(rare)
+        fewest = min(fewest, n)
+    some = ", ".join(f"'{t}'" for t in sorted(every))
+    hits = f"filter(array_distinct(regexp_extract_all(unit, '({TOKEN})', 1)), t -> t IN ({some}))"
+    return f"exists(array({hits}), h -> size(h) >= {fewest} AND ({' OR '.join(terms)}))"
+
+
+def matched_texts(files: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
+    """``path``, ``kind`` (whole, block, paragraph), ``notice_chars``, ``license``, ``cosine``, ``full`` of every unit that resembles a text or header."""
+    spark = files.sparkSession
+    low = files.where("text IS NOT NULL").select("path", F.lower("text").alias("unit"))
+    frequency = low.select(F.explode(F.array_distinct(_tokens(F.col("unit")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequency = written(frequency, "license-tokens")
+    total = files.count()
+    vocabulary = sorted({t for *_, tokens in _templates() for t in tokens})
+    known = spark.createDataFrame([(t,) for t in vocabulary], "token string").join(frequency, "token")
+    df = {r.token: r.df for r in known.collect()}  # of the templates' tokens only
+    idf = lambda n: math.log((1 + total) / (1 + n)) + 1
+    weights = {t: {k: _damped(n) * idf(df.get(k, 0)) for k, n in tokens.items()} for t, _, _, tokens in _templates()}
+    may = F.expr(_could_match(weights, least))
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    unit = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("unit"))
+    block = F.regexp_extract("unit", LEADING, 0)
+    units = F.concat(
+        F.array(unit("whole", F.col("unit")), unit("block", block)), F.transform(F.split("unit", PARAGRAPHS), lambda p: unit("paragraph", p))
+    )
+    # A unit's tokens are among those of its file, so a file that can't match holds no unit that can.
+    each = low.where(may).select("path", F.explode(units).alias("u")).select("path", "u.kind", "u.unit").where(may)
+    each = written(each.select("path", "kind", F.length(flat(F.col("unit"))).alias("chars"), "unit").withColumn("of", F.sha2("unit", 256)), "license-units")
+    distinct = each.groupBy("of").agg(F.min("unit").alias("unit")).select("of", F.explode(_tokens(F.col("unit"))).alias("token"))
+    counts = distinct.groupBy("of", "token").agg(F.count(F.lit(1)).alias("tf")).join(frequency, "token")
+    weighted = counts.select("of", "token", ((F.log("tf") + 1) * (F.log((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = weighted.groupBy("of").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rows = [(t, name, whole, k, v) for t, name, whole, _ in _templates() for k, v in weights[t].items()]
+    template = spark.createDataFrame(rows, "template string, license string, full boolean, token string, v double")
+    template_norm = template.groupBy("template", "license", "full").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("template_norm"))
+    dots = weighted.join(template.select("template", "token", "v"), "token").groupBy("of", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 6).alias("cosine")
+    near = dots.join(norm, "of").join(template_norm, "template").select("of", "license", "full", cosine).where(F.col("cosine") >= least)
+    best = near.groupBy("of").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "license", "full")).alias("best"))
+    best = best.select("of", "best.license", (-F.col("best.far")).alias("cosine"), "best.full")
+    return each.join(best, "of").select("path", "kind", F.col("chars").alias("notice_chars"), "license", "cosine", "full")
 
 
 def classified(found: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -92,8 +226,15 @@ def scanned(files: DataFrame) -> DataFrame:
     """
     plain = files.select("path", "text")
     found = notices(plain)
-    known = found.join(classified(found), "notice")
-    own = known.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "license")).alias("best"), F.sum(F.length("notice")).alias("notice_chars"))
+    of_length = lambda c: F.when(F.col(c), F.length("notice")).otherwise(0)
+    spoken = found.join(classified(found), "notice").select(
+        "path", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), of_length(c).alias("notice_chars")) for c in ("in_line", "wrapped")])).alias("s"),
+        "license", "cosine", F.lit(False).alias("full"),
+    )
+    known = spoken.select("path", "s.kind", "s.notice_chars", "license", "cosine", "full").unionByName(matched_texts(plain))
+    best = F.min(F.struct((~F.col("full")).alias("part"), (-F.col("cosine")).alias("far"), "license")).alias("best")
+    own = known.groupBy("path", "kind").agg(best, F.sum("notice_chars").alias("notice_chars"))  # the same words count once per kind
+    own = own.groupBy("path").agg(F.min("best").alias("best"), F.max("notice_chars").alias("notice_chars"))
     own = own.select("path", F.col("best.license").alias("own_license"), (-F.col("best.far")).alias("cosine"), "notice_chars")
     sized = plain.select("path", F.length(F.trim("text")).alias("chars"))
     marked = sized.join(own, "path", "left").withColumn("dir", directory(F.col("path")))

@@ -155,6 +155,27 @@ def test_licences(spark):
     assert licenses.scanned(df).count() >= len(rows) and licenses.scanned(df.limit(0)).count() == 0
 
 
+def test_license_texts_by_their_words(spark):
+    """Bodies without a word of licensing, wrapped lines, versions told by full texts, and headers in comments."""
+    text = {p.stem: p.read_text() for p in licenses.TEXTS.glob("*.txt")}
+    assert not licenses.re.search("licen[sc]|spdx", text["BSD-3-Clause"], licenses.re.I)
+    bsd = text["BSD-3-Clause"].split("\n\n", 1)[1].replace("copyright", "(c)")
+    header = "Licensed under the Apache License,\n# Version 2.0 (the \"License\"); you may not use this file except in\n# compliance with the License.\n# You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    rows = [
+        ("bsd/LICENSE", bsd), ("bsd/x.py", "print(1)"), ("gpl2/COPYING", text["GPL-2.0"]), ("gpl2/a/x.c", "int x;"), ("gpl3/COPYING", text["GPL-3.0"]),
+        ("agpl/COPYING", text["AGPL-3.0"]), ("lgpl/COPYING", text["LGPL-2.1"]), ("mpl/LICENSE", text["MPL-2.0"]), ("mit/y.c", f"/*\n * {text['MIT']}*/\n" + "int main(void);\n" * 400),
+        ("head/z.py", f"#!/bin/sh\n# Copyright A\n#\n# {header}\n\n" + "echo more\n" * 300), ("none/n.txt", "redistribution of land and use of forms in the two provinces\n" * 40),
+        ("soft/w.c", "// Wrapped, licensed under the GNU\n// Lesser General Public License,\n// version 3.\nint y;\n"),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: (r.license, r.own) for r in licenses.scanned(df).collect()}
+    assert got["bsd/LICENSE"] == ("BSD-3-Clause", True) and got["bsd/x.py"] == ("BSD-3-Clause", False)
+    assert got["gpl2/COPYING"] == ("GPL-2.0", True) and got["gpl2/a/x.c"] == ("GPL-2.0", False) and got["gpl3/COPYING"] == ("GPL-3.0", True)
+    assert got["agpl/COPYING"] == ("AGPL-3.0", True) and got["lgpl/COPYING"] == ("LGPL-2.1", True) and got["mpl/LICENSE"] == ("MPL-2.0", True)
+    assert got["mit/y.c"] == ("MIT", True) and got["head/z.py"] == ("Apache-2.0", True) and got["soft/w.c"] == ("LGPL-3.0", True)
+    assert got["none/n.txt"] == (None, False)
+
+
 def test_tool_calls(spark):
     schema = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1}}, "additionalProperties": False}}
     calls = spark.createDataFrame(
