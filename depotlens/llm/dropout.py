@@ -5,9 +5,11 @@ wait in an agenda by rank, and the best is merged until none is left. With dropo
 if a hash of the seed, the text around it and its place says so. The same seed gives the same pieces on every run and
 every executor, another seed gives others, and every segmentation decodes to the text it came from.
 
-No piece of the vocabulary holds certain neighbours, so a text may be cut there before merging. Equal chunks of one
-variant have one segmentation and are worked out once per worker; which of the ``variants`` an occurrence gets is
-hashed from its document and place. All other work is done on arrays.
+No piece of the vocabulary holds certain neighbours, so a text may be cut there before merging. Every occurrence of a
+chunk has draws of its own, hashed from the seed, its document and place, and the candidate. What a chunk becomes
+depends on which steps of its agenda were skipped and on nothing else, so that is worked out once per worker for every
+chunk and set of skipped steps that occurs; an occurrence goes from set to set until its draws skip no further step.
+All work is done on arrays.
 
 Nulls and empties: a null text has null ids and decodes to null; an empty text has no ids. Characters without a piece,
 the word mark U+2581 among them, are spelled in bytes. Every row is encoded by itself, so ties and repeats agree.
@@ -29,7 +31,8 @@ from .common import arrow, in_pieces
 MARK = "▁"  # stands for a space in the vocabulary
 PIECE_BPE_32K = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = 1 << 30  # the rank of neighbours that make no piece
-CACHED = 400_000  # chunks that a worker remembers; then it starts anew
+CACHED = 400_000  # chunks and sets of skipped steps that a worker remembers; then it starts anew
+SHORT = 21  # characters of a chunk whose agenda has under 64 steps: one per neighbours and two per merge at most
 
 
 @dataclass
@@ -102,11 +105,14 @@ def _ranks(left: np.ndarray, right: np.ndarray, vocab: Vocabulary) -> np.ndarray
     return np.where((vocab.pairs[at] == pair) & (left >= 0) & (right >= 0), vocab.pair_ranks[at], NEVER)
 
 
-def merged(symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, vocab: Vocabulary, skip_below: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def merged(
+    symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, vocab: Vocabulary, skip_below: int = 0, trace: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of many chunks after all merges, and their number per chunk.
 
     All chunks take one step of their agenda at a time: the best rank, leftmost first, is merged or skipped. A skipped
-    candidate is gone until a neighbour changes. Chunks whose agenda is empty leave.
+    candidate is gone until a neighbour changes. Chunks whose agenda is empty leave. With ``trace`` the ``keys`` are the
+    steps to skip, as bits, and every step's chunks, ranks and places are added to it.
     """
     chunk = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -127,7 +133,12 @@ def merged(symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, vocab: Vo
                 break
         hits = np.flatnonzero(rank == np.repeat(best, size))
         hits = hits[np.append(True, chunk[hits[1:]] != chunk[hits[:-1]])]
-        if skip_below:
+        if trace is not None:
+            skip = (keys[chunk[hits]] >> np.uint64(len(trace))) & np.uint64(1) > 0
+            trace.append((chunk[hits], rank[hits], place[hits]))
+            rank[hits[skip]] = NEVER
+            hits = hits[~skip]
+        elif skip_below:
             skip = _skipped(keys[chunk[hits]], rank[hits], place[hits], skip_below)
             rank[hits[skip]] = NEVER
             hits = hits[~skip]
@@ -165,27 +176,56 @@ def spelled_out(symbols: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) ->
     return out, np.bincount(chunk, weights=wide, minlength=len(lengths)).astype(np.int64)
 
 
-def _encoder(vocab: Vocabulary, key_column: int, seed: int, dropout: float, variants: int):
+def _encoder(vocab: Vocabulary, key_column: int, seed: int, dropout: float):
     skip_below = int(dropout * (1 << 32))
-    known = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # keys, starts, lengths, ids
+    # Of every chunk with its skipped steps: key; starts and lengths of ids and of steps. Then ids, and ranks and places of steps.
+    known = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
+    pools = [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8)]
 
-    def looked_up(keys: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Starts and lengths of the ids of distinct chunks (sorted keys) in the pool, after the unknown are worked out."""
-        if len(known[0]) > CACHED:
-            known[:] = [x[:0] for x in known]
+    def looked_up(keys: np.ndarray, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, skips: np.ndarray) -> list[np.ndarray]:
+        """Starts and lengths of the ids and the steps of distinct states (sorted keys), after the unknown are worked out."""
         at = np.searchsorted(known[0], keys)
         new = np.append(known[0], np.uint64(0))[at] != keys
         new |= at == len(known[0])
         if new.any():
-            width = (ends - begins)[new]
-            symbols, count = merged(vocab.symbol[_flattened(points, begins[new], width)], width, keys[new], vocab, skip_below)
+            width, steps = (ends - begins)[new], []
+            symbols, count = merged(vocab.symbol[_flattened(points, begins[new], width)], width, skips[new], vocab, trace=steps)
             ids, count = spelled_out(symbols, count, vocab)
-            starts = len(known[3]) + np.cumsum(count) - count
-            for i, x in enumerate((keys[new], starts, count)):
+            chunk, rank, place = (np.concatenate([s[i] for s in steps] or [np.zeros(0, np.int64)]) for i in range(3))
+            order = np.argsort(chunk, kind="stable")
+            taken = np.bincount(chunk, minlength=len(width))
+            found = (keys[new], len(pools[0]) + np.cumsum(count) - count, count, len(pools[1]) + np.cumsum(taken) - taken, taken)
+            for i, x in enumerate(found):
                 known[i] = np.insert(known[i], at[new], x)
-            known[3] = np.concatenate([known[3], ids.astype(np.int32)])
+            for i, x in enumerate((ids, rank[order], place[order])):
+                pools[i] = np.concatenate([pools[i], x.astype(pools[i].dtype)])
             at = np.searchsorted(known[0], keys)
-        return known[1][at], known[2][at], known[3]
+        return [x[at] for x in known[1:]]
+
+    def short(points: np.ndarray, begins: np.ndarray, ends: np.ndarray, chunks: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths in the pool of the ids of every occurrence: ``chunks`` are hashes of the texts, ``drawn`` keys of the draws."""
+        if len(known[0]) > CACHED:
+            known[:], pools[:] = [x[:0] for x in known], [x[:0] for x in pools]
+        starts, lengths = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        skips, now = np.zeros(len(begins), np.uint64), np.arange(len(begins))
+        while len(now):
+            states = textops.mixed(chunks[now] + textops.mixed(skips[now]) * np.uint64(0xD1342543DE82EF95))
+            unique, first, again = np.unique(states, return_index=True, return_inverse=True)
+            some = now[first]
+            begin, count, step, steps = (x[again] for x in looked_up(unique, points, begins[some], ends[some], skips[some]))
+            starts[now], lengths[now] = begin, count
+            if not skip_below:
+                break
+            of = np.repeat(np.arange(len(now)), steps)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)
+            at = np.repeat(step, steps) + number
+            hit = _skipped(drawn[now][of], pools[1][at], pools[2][at], skip_below)
+            hit = np.flatnonzero(hit)
+            hit = hit[(skips[now][of[hit]] >> number[hit].astype(np.uint64)) & np.uint64(1) == 0]
+            hit = hit[np.append(True, of[hit[1:]] != of[hit[:-1]])] if len(hit) else hit
+            now, bits = now[of[hit]], np.uint64(1) << number[hit].astype(np.uint64)
+            skips[now] |= bits
+        return starts, lengths
 
     def ids_of(texts: list[str | None], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in one array, and their number per row."""
@@ -204,14 +244,19 @@ def _encoder(vocab: Vocabulary, key_column: int, seed: int, dropout: float, vari
         rows = np.searchsorted(offsets, begins, side="right") - 1
         sums, inverse = textops.running_of(textops.mixed(points.astype(np.uint64) + np.uint64(seed)))
         chunk = textops.piece_hash(sums, inverse, begins, ends) + (ends - begins).astype(np.uint64)
-        if skip_below and variants > 1:
-            drawn = textops.mixed(keys[rows] + (begins - offsets[rows]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            chunk = chunk + (drawn % np.uint64(variants)) * np.uint64(0xD1342543DE82EF95)
-        unique, first, again = np.unique(textops.mixed(chunk), return_index=True, return_inverse=True)
-        starts, lengths, pool = looked_up(unique, points, begins[first], ends[first])
-        per_chunk = lengths[again]
-        counts = np.bincount(rows, weights=per_chunk, minlength=len(texts)).astype(np.int64)
-        return _flattened(pool, starts[again], per_chunk), counts
+        drawn = textops.mixed(keys[rows] + (begins - offsets[rows]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        starts, lengths = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        few = ends - begins <= SHORT
+        starts[few], lengths[few] = short(points, begins[few], ends[few], chunk[few], drawn[few])
+        pool = pools[0]
+        if not few.all():  # long chunks seldom repeat: each is worked out with its own draws
+            width = (ends - begins)[~few]
+            symbols, count = merged(vocab.symbol[_flattened(points, begins[~few], width)], width, drawn[~few], vocab, skip_below)
+            ids, count = spelled_out(symbols, count, vocab)
+            starts[~few], lengths[~few] = len(pool) + np.cumsum(count) - count, count
+            pool = np.concatenate([pool, ids.astype(np.int32)])
+        counts = np.bincount(rows, weights=lengths, minlength=len(texts)).astype(np.int64)
+        return _flattened(pool, starts, lengths), counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in in_pieces(batches, "text"):
@@ -242,21 +287,21 @@ def decoded(ids: pa.ListArray, spelled: list[bytes]) -> list[str | None]:
 
 
 def encoded(
-    docs: DataFrame, path: str = PIECE_BPE_32K, seed: int = 20260, dropout: float = 0.1, variants: int = 4, key: str = "doc_id"
+    docs: DataFrame, path: str = PIECE_BPE_32K, seed: int = 20260, dropout: float = 0.1, key: str = "doc_id"
 ) -> DataFrame:
     """``docs`` (a column ``text`` and an integer ``key``) with the ids of its text."""
     plain = docs.drop("ids")
-    run = _encoder(vocabulary(path), plain.columns.index(key), seed, dropout, variants)
+    run = _encoder(vocabulary(path), plain.columns.index(key), seed, dropout)
     return arrow(plain, run, StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def round_trip(
-    docs: DataFrame, path: str = PIECE_BPE_32K, seed: int = 20260, dropout: float = 0.1, variants: int = 4, key: str = "doc_id"
+    docs: DataFrame, path: str = PIECE_BPE_32K, seed: int = 20260, dropout: float = 0.1, key: str = "doc_id"
 ) -> DataFrame:
     """``encoded`` with ``lossless``: whether the ids of the row decode to its text."""
     plain = docs.drop("ids", "lossless")
     vocab = vocabulary(path)
-    encode, text = _encoder(vocab, plain.columns.index(key), seed, dropout, variants), plain.columns.index("text")
+    encode, text = _encoder(vocab, plain.columns.index(key), seed, dropout), plain.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in encode(batches):

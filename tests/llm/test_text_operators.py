@@ -37,6 +37,19 @@ def test_dropout_varies_by_seed_and_is_lossless(sample, model):
     assert {len(spelled[i].decode(errors="replace")) for ids, _ in none.values() for i in ids} == {1}
 
 
+def test_every_occurrence_has_its_own_draws(spark):
+    """Each candidate of each occurrence is skipped on its own: many segmentations, those of working out each by itself."""
+    np, vocab = dropout.np, dropout.vocabulary(dropout.PIECE_BPE_32K)
+    text = "understanding"
+    df = spark.createDataFrame([(i, text) for i in range(3000)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in dropout.encoded(df, seed=3).collect()}
+    points = np.array([ord(c) for c in " " + text])
+    assert len({tuple(ids) for ids in got.values()}) > 4
+    keys = dropout.textops.mixed(dropout.textops.mixed(np.arange(3000).astype(np.uint64) + np.uint64(3)))
+    flat, counts = dropout.merged(np.tile(vocab.symbol[points], 3000), np.full(3000, len(points)), keys, vocab, int(0.1 * (1 << 32)))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [got[i] for i in range(3000)]
+
+
 def test_ids_of_awkward_rows(awkward, nothing):
     out = dropout.encoded(awkward)
     assert out.columns == [c for c in awkward.columns if c != "ids"] + ["ids"]
