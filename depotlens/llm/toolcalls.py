@@ -3,7 +3,8 @@
 Calls and results meet in a hash join on their identifier. A call may name calls that must come before it. Its place is
 the largest turn among itself and all it depends on, directly or not, and among equals the number of dependencies that
 lead up to it; both are found by rounds of joins over the calls whose place still changes, which are none if every call
-already stands after those it depends on. Calls that depend on themselves are marked. Arguments are checked against the
+already stands after those it depends on. Calls that depend on themselves, directly or not, are marked, as are calls
+between two groups of such; their dependencies on each other don't count for the order. Arguments are checked against the
 JSON schema of the tool, and every call with its result becomes one canonical JSON object: sorted keys, no white space.
 
 Nulls and empties: a null identifier is linked with nothing; null or unreadable arguments are an error of the call.
@@ -89,33 +90,67 @@ def results_of(messages: DataFrame) -> DataFrame:
     return spoken.select(asked.alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
 
 
-def _order(calls: DataFrame) -> DataFrame:
-    """``call_id``, ``order_turn``, ``order_step``, ``cyclic`` of calls (call_id, turn, after)."""
-    edges = written(
-        calls.select("call_id", F.explode("after").alias("needs")).distinct().join(calls.select(F.col("call_id").alias("needs")), "needs", "left_semi"),
-        "call-edges",
-    )
-    now = written(calls.select("call_id", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_step")), "call-order")
-    # A round hands every place on to the calls that depend on it; only late ones change anything.
-    limit = None
+def _knots(edges: DataFrame, late: DataFrame) -> DataFrame | None:
+    """Edges on cycles, or between two, among the calls ``late``: what is left when loose ends are taken off in rounds."""
+    now = written(edges.join(late, "call_id", "left_semi").join(late.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id", "needs"), "call-knots")
+    n = now.count()
+    while n:
+        asked, asking = now.select(F.col("call_id").alias("needs")).distinct(), now.select(F.col("needs").alias("call_id")).distinct()
+        left = written(now.join(asked, "needs", "left_semi").join(asking, "call_id", "left_semi").select("call_id", "needs"), "call-knots")
+        dropped(now)
+        now, before, n = left, n, left.count()
+        if n == before:
+            return now
+    dropped(now)
+    return None
+
+
+def _places(edges: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Places after all rounds and None; or, if some calls depend on themselves, any places and the edges between those.
+
+    A round hands every place on to the calls that depend on it; only late ones change anything. Without a cycle the
+    rounds end by themselves; cycles are looked for after 1, 2, 4, ... rounds among the calls that were late so far.
+    """
+    late_so_far, rounds = None, 0
     while True:
         needed = now.select(F.col("call_id").alias("needs"), F.col("order_turn").alias("t"), F.col("order_step").alias("s"))
         late = edges.join(needed, "needs").join(now, "call_id").where("t > order_turn OR (t = order_turn AND s >= order_step)")
         late = late.groupBy("call_id").agg(F.max(F.struct("t", "s")).alias("last"))
         changed = written(late.select("call_id", F.col("last.t").alias("t"), (F.col("last.s") + 1).alias("s")), "call-late")
-        n = changed.count()
-        limit = n if limit is None else limit - 1
-        if n == 0 or limit < 0:  # a chain of so many late calls settles in as many rounds; what still moves is a cycle
-            break
+        if changed.isEmpty():
+            return now, None
+        rounds += 1
+        ids = changed.select("call_id")
+        late_so_far = written(ids if late_so_far is None else late_so_far.union(ids).distinct(), "call-late-so-far")
+        if rounds & (rounds - 1) == 0 and (knots := _knots(edges, late_so_far)) is not None:
+            return now, knots
         step = now.join(changed, "call_id", "left").select(
             "call_id", F.coalesce("t", "order_turn").alias("order_turn"),
             F.when(F.col("t").isNotNull(), F.col("s")).otherwise(F.col("order_step")).alias("order_step"),
         )
         step = written(step, "call-order")
-        dropped(now, changed)
+        if rounds > 1:  # the first places are the caller's
+            dropped(now)
+        dropped(changed)
         now = step
-    moving = changed.select("call_id", F.lit(True).alias("cyclic"))
-    return now.join(moving, "call_id", "left").select("call_id", "order_turn", "order_step", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _order(calls: DataFrame) -> DataFrame:
+    """``call_id``, ``order_turn``, ``order_step``, ``cyclic`` of calls (call_id, turn, after)."""
+    edges = written(
+        calls.select("call_id", F.explode("after").alias("needs")).distinct().join(calls.select(F.col("call_id").alias("needs")), "needs", "left_semi"),
+        "call-edges",
+    )
+    start = written(calls.select("call_id", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_step")), "call-order")
+    cyclic = start.select("call_id").limit(0)
+    while True:
+        now, knots = _places(edges, start)
+        if knots is None:
+            break
+        cyclic = cyclic.union(knots.select("call_id"))
+        edges = written(edges.join(knots, ["call_id", "needs"], "left_anti"), "call-edges")
+    marked = cyclic.distinct().select("call_id", F.lit(True).alias("cyclic"))
+    return now.join(marked, "call_id", "left").select("call_id", "order_turn", "order_step", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def _formatted(schemas: dict):

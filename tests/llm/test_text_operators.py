@@ -212,6 +212,20 @@ def test_tool_calls(spark):
     assert toolcalls.linked(calls.limit(0), results, schema).count() == 0
 
 
+def test_late_chains_and_cycles(spark):
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
+    place = lambda rows: {
+        r.call_id: (r.order_turn, r.order_step, r.cyclic)
+        for r in toolcalls.linked(spark.createDataFrame([(1, i, t, "reply", "{}", a) for i, t, a in rows], schema), results).collect()
+    }
+    results = spark.createDataFrame([], "call_id string, turn long, content string")
+    chain = [("A", 10, []), ("B", 5, ["A"]), ("C", 6, ["B"]), ("D", 7, ["C"])]
+    assert place(chain) == {"A": (10, 0, False), "B": (10, 1, False), "C": (10, 2, False), "D": (10, 3, False)}
+    got = place(chain + [("x", 1, ["y"]), ("y", 2, ["z"]), ("z", 2, ["x"]), ("s", 3, ["s"]), ("w", 1, ["z", "D"])])
+    assert {k for k, v in got.items() if v[2]} == {"x", "y", "z", "s"}
+    assert got["D"] == (10, 3, False) and got["w"] == (10, 4, False)
+
+
 def test_messages_as_calls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q\n\"é\""), (1, 2, "assistant", "a"), (1, 3, "user", ""), (None, 1, "user", "x"), (2, 0, "user", None), (2, 1, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS call_id", "2 AS content")
