@@ -3,7 +3,8 @@
 Every page is read into elements. Elements that hold blocks are hashed with all they contain, bottom up, and the
 hashes are counted per host in Spark: one that recurs across many different pages of the host belongs to its template
 and is deleted from all of them. Elements that are no article by their kind (menus, forms, scripts) or by the names
-sites give them (adverts, notices, comments) go as well. What stays of the page's main part is its text: one line per
+sites give them (adverts, notices, comments) go as well; a name counts if all its words say so, and never on headings,
+paragraphs or what holds the article or most of the text. What stays of the page's main part is its text: one line per
 block, white space within a block as one space, character references decoded.
 
 Paragraphs and headings of the main part are never deleted for recurring, nor is an element that holds half of it:
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ NO_ARTICLE = set("aside button canvas datalist dialog footer form head header if
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDER = set("aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+NEVER_BY_NAME = HEADING | {"p", "html", "body", "main"}
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
@@ -46,19 +49,34 @@ NO_ARTICLE_NAMES = set("""
     notice notices outbrain overlay pager pagination paywall popup promo promotion recommended related respond share
     sharing sidebar signup social sponsor sponsored subscribe subscription taboola toolbar widget
 """.split())
+# Words that say where or of what form such an element is: with one of the above they make a name, others make another thing.
+FORM_NAMES = set("""
+    area bar block bottom box button buttons center container fixed float global group holder icon icons inner item items left
+    link links list main outer panel posts primary right row secondary section site slot sticky top unit wrap wrapper
+""".split())
+OTHERS_NAMES = set("comment comments disqus recommended related respond".split())  # these hold articles of others
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+
+
+@lru_cache(1 << 16)
+def _names_no_article(name: str) -> bool:
+    words = set(_WORD.findall(name))
+    return not words.isdisjoint(NO_ARTICLE_NAMES) and words <= NO_ARTICLE_NAMES | FORM_NAMES
+
+
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Page:
     """The elements of a page in order. An item is a text, or the number of an element that begins there.
 
-    ``tag``, ``names``, ``end`` (the item after the element), ``parent``, ``digest`` and ``size`` (characters) by element.
+    ``tag``, ``names``, ``end`` (the item after the element), ``parent``, ``digest``, ``size`` (characters) and ``net`` (without
+    those in elements that are no article by their kind) by element; ``prose`` is the ``net`` of the page.
     """
 
     def __init__(self, html: str):
@@ -72,7 +90,9 @@ class Page:
         self._open: list[int] = []
         self._open_tags: list[str] = []
         self._inside: list[list[str]] = [[]]
+        self.net: list[int] = []
         self._sizes: list[int] = [0]
+        self._nets: list[int] = [0]
         at, n = 0, len(html)
         while at < n:
             token = _TOKEN.search(html, at)
@@ -100,6 +120,7 @@ class Page:
                 self._close()
         while self._open:
             self._close()
+        self.prose = self._nets[0]
 
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -108,6 +129,7 @@ class Page:
         if plain:
             self._inside[-1].append(plain)
             self._sizes[-1] += len(plain)
+            self._nets[-1] += len(plain)
 
     def _make_room(self, tag: str) -> None:
         """Close what can't hold the new element: a paragraph before a block, an item before the next."""
@@ -130,49 +152,76 @@ class Page:
         number = len(self.tag)
         self.items.append(number)
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
-        self.tag.append(tag), self.names.append(names), self.end.append(0), self.digest.append(0), self.size.append(0)
+        self.tag.append(tag), self.names.append(names), self.end.append(0), self.digest.append(0), self.size.append(0), self.net.append(0)
         self.parent.append(self._open[-1] if self._open else -1)
         self._open.append(number)
         self._open_tags.append(tag)
         self._inside.append([])
         self._sizes.append(0)
+        self._nets.append(0)
 
     def _close(self) -> str:
         number = self._open.pop()
         self._open_tags.pop()
-        inside, size = self._inside.pop(), self._sizes.pop()
+        inside, size, net = self._inside.pop(), self._sizes.pop(), self._nets.pop()
         self.end[number] = len(self.items)
         self.size[number] = size
+        self.net[number] = net
         whole = f"{self.tag[number]} {self.names[number]}\x00" + "\x01".join(inside)
         digest = self.digest[number] = xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) >> 1
         self._inside[-1].append(str(digest))
         self._sizes[-1] += size
+        if not self._by_kind(number):
+            self._nets[-1] += net
         return self.tag[number]
 
     def main(self) -> list[int]:
         """The outermost elements that are the page's main part, else its body, else nothing in particular."""
-        removed = [self._no_article(i, False) for i in range(len(self.tag))]
+        kind, gone = [self._by_kind(i) for i in range(len(self.tag))], [self._by_name(i) for i in range(len(self.tag))]
         for i, p in enumerate(self.parent):
-            removed[i] = removed[i] or (p >= 0 and removed[p])
-        for wanted in ("main", "article", "body"):
-            found = [i for i, t in enumerate(self.tag) if t == wanted and not removed[i]]
-            outer, last = [], -1
-            for i in found:
-                if self.end[i] > last:
-                    outer.append(i)
-                    last = self.end[i]
-            if outer:
+            kind[i] = kind[i] or (p >= 0 and kind[p])
+            gone[i] = gone[i] or kind[i] or (p >= 0 and gone[p])
+        for wanted in ("main", "article"):
+            if outer := self._outermost([i for i, t in enumerate(self.tag) if t == wanted and not gone[i]]):
                 return outer
-        return []
-
-    def _no_article(self, i: int, within: bool) -> bool:
-        """Whether an element is no article by its kind or its names; ``within`` the main part a header may hold the title."""
+        # All are in elements with telling names. One that makes most of the text is the article, so is the only one if not by others.
+        inner = self._outermost([i for i, t in enumerate(self.tag) if t in ("main", "article") and not kind[i]])
+        if inner:
+            most = max(inner, key=lambda i: (self.net[i], -i))
+            if 2 * self.net[most] > self.prose or (len(inner) == 1 and not self._by_others(most)):
+                return [most]
+        return self._outermost([i for i, t in enumerate(self.tag) if t == "body" and not gone[i]])
+
+    def _outermost(self, found: list[int]) -> list[int]:
+        outer, last = [], -1
+        for i in found:
+            if self.end[i] > last:
+                outer.append(i)
+                last = self.end[i]
+        return outer
+
+    def _by_others(self, i: int) -> bool:
+        while i >= 0:
+            if self._by_name(i) and not OTHERS_NAMES.isdisjoint(_WORD.findall(self.names[i])):
+                return True
+            i = self.parent[i]
+        return False
+
+    def _by_kind(self, i: int) -> bool:
+        return self.tag[i] in NO_ARTICLE and self.tag[i] != "form"
+
+    def _by_name(self, i: int) -> bool:
+        """Whether the element's names, or its being a form, tell that it is no article; it may hold one all the same."""
         tag = self.tag[i]
-        if tag in NO_ARTICLE:
-            return not (within and tag == "header")
-        return bool(self.names[i]) and tag not in ("html", "body", "main") and not NO_ARTICLE_NAMES.isdisjoint(
-            _WORD.findall(self.names[i])
-        )
+        if tag == "form":
+            return True
+        return bool(self.names[i]) and tag not in NEVER_BY_NAME and any(map(_names_no_article, self.names[i].split()))
+
+    def _no_article(self, i: int, whole: int) -> bool:
+        """Whether an element of the main part, of ``whole`` characters, is no article; a header may hold the title."""
+        if self._by_kind(i):
+            return self.tag[i] != "header"
+        return self._by_name(i) and 2 * self.net[i] <= whole
 
     def content(self, main: list[int]) -> int:
         return xxhash.xxh64_intdigest(" ".join(str(self.digest[i]) for i in main)) >> 1
@@ -191,6 +240,7 @@ class Page:
 
     def blocks(self, main: list[int], template: set[int]) -> list[str]:
         whole = sum(self.size[i] for i in main)
+        prose = sum(self.net[i] for i in main) if main else self.prose
         out: list[str] = []
         now: list[str] = []
         ends: list[tuple[int, bool]] = []  # of open elements: the item after them, and whether only headings count there
@@ -217,7 +267,7 @@ class Page:
                     continue
                 tag = self.tag[item]
                 recurs = tag in HOLDER and self.digest[item] in template and 2 * self.size[item] < max(whole, 1)
-                if recurs or self._no_article(item, True):
+                if recurs or self._no_article(item, prose):
                     if tag in BLOCK:
                         over()
                     at = self.end[item]

@@ -79,6 +79,19 @@ def test_blocks_of_a_page():
     assert blocks("<div>" * 3000 + "deep" + "</div>" * 10) == ["deep"]
 
 
+def test_names_of_elements_with_the_article():
+    text = "<p>A long enough article to be the most of this page.</p>"
+    for page in (
+        f"<div class='layout with-sidebar'><article>{text}</article></div>", f"<article class='post has-comments'>{text}</article>",
+        f"<div class='modal'><article>{text}</article></div>", f"<body><form>{text}<div class='sidebar'>links</div></form></body>",
+        f"<body><div class='widget'>{text}</div><div id='comment-list'>bad</div></body>",
+    ):
+        assert blocks(page) == ["A long enough article to be the most of this page."], page
+    inner = "<h2 id='related-work'>One</h2><section id='notice-period'>two</section><p class='social-policy'>three</p><h3 class='banner'>four</h3>"
+    assert blocks(f"<article>{inner}<div class='related-posts'>five</div><div id='ad-1'>six</div></article>") == ["One", "two", "three", "four"]
+    assert blocks(f"<body>{text}<section id=comments><article>bad</article></section></body>") == [text[3:-4]]
+
+
 def test_templates_are_deleted_per_host(spark):
     def page(i, host, quote):
         box = f"<div class='x'><p>Read our {host} mail</p></div>"
