@@ -7,8 +7,10 @@ sites give them (adverts, notices, comments) go as well; a name counts if all it
 paragraphs or what holds the article or most of the text. What stays of the page's main part is its text: one line per
 block, white space within a block as one space, character references decoded.
 
-Paragraphs and headings of the main part are never deleted for recurring, nor is an element that holds half of it:
-articles quote each other. Pages of equal content count once, so copies of a page don't make its text a template.
+Paragraphs and headings of the main part are never deleted for recurring, nor is an element that holds the article:
+articles quote each other. Any other element goes that stands on ``MANY_PAGES`` pages of the host, however many the host
+has and whatever its share of the page. Pages of equal content count once, so copies of a page don't make its text a
+template. Only elements within the main part are counted, as no others are read.
 
 Nulls and empties: null or empty html gives the empty text; a null url is a host of its own. Rows are extracted one by
 one, so repeated page_ids stay repeated.
@@ -25,10 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow, dropped, written
+from .common import arrow, bloom_filter, dropped, perhaps_in, sifted, written
 
 MANY_PAGES = 5  # of a host, with different content
-MANY_SHARE = 0.01
 
 # Elements of HTML by what they mean for reading.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -227,19 +228,22 @@ class Page:
         return xxhash.xxh64_intdigest(" ".join(str(self.digest[i]) for i in main)) >> 1
 
     def holders(self, main: list[int]) -> set[int]:
-        """Digests of the elements that may be a template: they hold text, but not the main part or half of it."""
-        whole = sum(self.size[i] for i in main)
-        keep = set(main)
-        for i in main:
-            while (i := self.parent[i]) >= 0:
-                keep.add(i)
-        return {
-            self.digest[i] for i, t in enumerate(self.tag)
-            if t in HOLDER and i not in keep and self.size[i] and 2 * self.size[i] < max(whole, 1)
-        }
+        """Digests of the elements of the main part that may be a template: they hold text, but no article."""
+        within, article = [not main] * len(self.tag), self._articles()
+        for i, p in enumerate(self.parent):
+            within[i] = within[i] or (p >= 0 and (within[p] or p in main))
+        return {self.digest[i] for i, t in enumerate(self.tag) if within[i] and t in HOLDER and self.size[i] and not article[i]}
+
+    def _articles(self) -> list[bool]:
+        """Of every element whether it is or holds an article."""
+        out = [t in ("main", "article") for t in self.tag]
+        for i in range(len(out) - 1, -1, -1):
+            if out[i] and self.parent[i] >= 0:
+                out[self.parent[i]] = True
+        return out
 
     def blocks(self, main: list[int], template: set[int]) -> list[str]:
-        whole = sum(self.size[i] for i in main)
+        article = self._articles()
         prose = sum(self.net[i] for i in main) if main else self.prose
         out: list[str] = []
         now: list[str] = []
@@ -266,7 +270,7 @@ class Page:
                         now.append(item)
                     continue
                 tag = self.tag[item]
-                recurs = tag in HOLDER and self.digest[item] in template and 2 * self.size[item] < max(whole, 1)
+                recurs = tag in HOLDER and self.digest[item] in template and not article[item]
                 if recurs or self._no_article(item, prose):
                     if tag in BLOCK:
                         over()
@@ -286,48 +290,66 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _of_host(host: str) -> int:
+    """What turns an element's digest into its key on the host, and back."""
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")) >> 1
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page its host, its content and the digests of its holders; digest -1 stands for the page itself."""
+    """Per page (key1, key2) and holder of its main part: the page's content, and the holder's key on the host."""
     for batch in batches:
         rows = []
-        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for key1, key2, url, html in zip(*(batch.column(k).to_pylist() for k in range(4))):
             page = Page(html or "")
             main = page.main()
-            host, content = host_of(url), page.content(main)
-            rows += [(host, content, d) for d in (-1, *page.holders(main))]
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "content", "digest"])
+            host, content = _of_host(host_of(url)), page.content(main)
+            rows += [(key1, key2, content, d ^ host) for d in page.holders(main)]
+        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays(columns, ["key1", "key2", "content", "subtree"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of key1, page_id, url, html and the keys of the page's templates."""
     for batch in batches:
         found = []
-        for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            page = Page(html or "")
-            found.append("\n".join(page.blocks(page.main(), set(template or ()))))
-        columns = [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
+        for url, html, template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            page, host = Page(html or ""), _of_host(host_of(url))
+            found.append("\n".join(page.blocks(page.main(), {t ^ host for t in template or ()})))
+        columns = [batch.column(1), batch.column(2), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
-def templates(pages: DataFrame, many_pages: int = MANY_PAGES, many_share: float = MANY_SHARE) -> DataFrame:
-    """``host``, ``digests`` of the element subtrees that recur across many pages of the host.
+def _not_in(words, run):
+    """``run`` on the rows that the Bloom filter keeps out."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.filter(pa.array(~perhaps_in(words, batch.column(0)))) for batch in batches)
+
+    return rest
+
+
+def templates(pages: DataFrame, many_pages: int = MANY_PAGES) -> DataFrame:
+    """``key1``, ``key2``, ``subtrees`` of the pages (key1, key2, url, html) whose main part holds templates of their host.
 
-    A digest has to recur on a share of the pages, so a host has no more of them than its pages have elements, divided
-    by the share.
+    A template stands on ``many_pages`` different pages of the host. Pages and templates meet row by row, so no host
+    has a list; a page's list is bounded by its elements.
     """
-    each = arrow(pages.select("url", "html"), _subtrees, "host string, content long, digest long")
-    counts = each.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts, "subtrees")
-    totals = counts.where("digest = -1").select("host", F.col("n").alias("n_pages"))
-    many = counts.where(F.col("digest") != -1).join(totals, "host").where((F.col("n") >= many_pages) & (F.col("n") >= many_share * F.col("n_pages")))
-    found = written(many.groupBy("host").agg(F.collect_list("digest").alias("digests")), "templates")
-    dropped(counts)
+    each = written(arrow(pages.select("key1", "key2", "url", "html"), _subtrees, "key1 long, key2 long, content long, subtree long").distinct(), "subtrees")
+    counts = each.select("subtree", "content").distinct().groupBy("subtree").agg(F.count(F.lit(1)).alias("n"))
+    many = written(counts.where(F.col("n") >= many_pages).select("subtree"), "templates")
+    found = written(each.join(many, "subtree").groupBy("key1", "key2").agg(F.collect_list("subtree").alias("subtrees")), "page-templates")
+    dropped(each, many)
     return found
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every row of ``pages`` (page_id, url, html)."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    known = templates(pages)
-    joined = pages.select("page_id", "url", "html", host.alias("host")).join(known, "host", "left")
-    return arrow(joined.select("page_id", "url", "html", "digests"), _texts, "page_id long, url string, text string, n_chars long")
+    keys = [F.xxhash64(F.lit(k), "url", "html").alias(f"key{k}") for k in (1, 2)]  # equal rows are one page
+    keyed = pages.select(*keys, "page_id", "url", "html")
+    known = templates(keyed)
+    words = bloom_filter(known.select("key1"))
+    columns = "page_id long, url string, text string, n_chars long"
+    # Only pages with templates are shuffled to meet them.
+    without = keyed.select("key1", "page_id", "url", "html", F.lit(None).cast("array<long>").alias("subtrees"))
+    some = sifted(keyed, words).join(known, ["key1", "key2"], "left").select("key1", "page_id", "url", "html", "subtrees")
+    return arrow(without, _not_in(words, _texts), columns).unionByName(arrow(some, _texts, columns))

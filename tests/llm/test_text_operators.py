@@ -109,6 +109,17 @@ def test_templates_are_deleted_per_host(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_few_pages_and_of_short_ones(spark):
+    """A template on six pages of a host of a thousand, three times as long as the article it stands with."""
+    box = "<div class='x'><p>" + "All of this box is of the site. " * 10 + "</p></div>"
+    page = lambda i: f"<body><p>Story {i} is short.</p>{box if i < 6 else f'<p>{i}</p>'}</body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(1000)] + [(2000, "http://b.org/1", page(1))]
+    rows += [(3000 + i, f"http://c.org/{i}", f"<body><div><article><p>Same story</p></article></div><p>{i}</p></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"Story {i} is short." for i in range(6)) and got[7] == "Story 7 is short.\n7"
+    assert "of the site" in got[2000] and {got[3000 + i] for i in range(8)} == {"Same story"}
+
+
 def test_pages_of_the_sample(spark):
     import html
     import re
