@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, dropout, ledger, licenses, lines, mixing, pages, sigtree, toolcalls, toxicity
+from . import digest, dropout, ledger, licenses, lines, mixing, multiindex, negatives, pages, sigtree, toolcalls, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,21 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.linked(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row has a wrong label, every fiftieth is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fitted(vectors))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_digest": op2_digest,
@@ -82,6 +97,48 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_main_text": op10_main_text,
+    "op11_multi_index": op11_multi_index,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {}
+# Exact integer products as sums of doubles, which hold them; positives by rank, then the window below each of them.
+OP12_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
+         list_transform(embedding, c -> FLOOR(256 * CAST(c AS DOUBLE))) x
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (
+  SELECT a.vec_id anchor_id, b.vec_id, a.label = b.label same, CAST(list_dot_product(a.x, b.x) AS BIGINT) score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+positives AS (
+  SELECT anchor_id, vec_id positive_id, score positive_score FROM scores WHERE same
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) "rank",
+       s.vec_id negative_id, p.positive_score, s.score negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY "rank" <= 3
+"""
+
+# Every pair of a label; the component as the smallest row reachable. The index may miss one in a thousand of the links,
+# and does so on no table that is small enough for this.
+OP11_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, c -> CAST(c AS DOUBLE)) v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+links AS (
+  SELECT a.vec_id u, b.vec_id v FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id u, vec_id v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+least AS (SELECT u, MIN(v) component_id FROM reach GROUP BY u),
+counts AS (SELECT u, COUNT(*) n FROM links GROUP BY u)
+SELECT e.vec_id, COALESCE(c.n, 0) n_links, l.component_id, e.vec_id = l.component_id kept
+FROM embeddings e JOIN least l ON l.u = e.vec_id LEFT JOIN counts c ON c.u = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op11_multi_index": OP11_SQL, "op12_hard_negatives": OP12_SQL}
