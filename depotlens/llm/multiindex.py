@@ -304,27 +304,26 @@ def linked(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label
     )
     named = written(named.withColumn("hash", F.xxhash64("label", "embedding")), "vectors")
     usable = named.where("label IS NOT NULL AND size(embedding) > 0")
-    # Only rows that share a hash can be equal; all others are vertices as they are.
-    shared = usable.groupBy("hash").count().where("count > 1").select("hash")
-    alike = usable.join(shared, "hash", "left_semi")
-    same = written(alike.groupBy("label", "embedding").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "copies")
+    # Only rows that share a hash can be equal; all others are vertices as they are. Written, so that the planner knows
+    # how few there are and leaves the other rows where they lie.
+    shared = written(usable.groupBy("hash").count().where("count > 1").select("hash"), "shared")
+    alike = usable.join(shared, "hash", "left_semi").select("key", "label", "embedding")
+    same = alike.groupBy("label", "embedding").agg(F.min("key").alias("vertex"), F.count(F.lit(1)).alias("copies"))
+    same = written(same, "copies")
+    repeated = same.where("copies > 1")
+    members = written(alike.join(repeated, ["label", "embedding"]).select("key", "vertex", "copies"), "members")
     single = usable.join(shared, "hash", "left_anti").select("key", F.lit(1).cast("long").alias("copies"), "label", "embedding")
-    vertices = single.union(same.select("key", "copies", "label", "embedding"))
+    vertices = single.union(same.select("vertex", "copies", "label", "embedding"))
 
     index = fitted(vertices.select("key", "label", "embedding"), threshold, recall)
     filed = written(arrow(vertices, _filed(index), FILED.format(vector=kind)), "filed")
+    able = written(filed.where("copies > 1").select(F.col("key").alias("vertex")), "able")  # a class of zeros links with nothing
     blocks = _blocks(filed).groupBy("label", "d", "cell", "first", "second")
     found = written(blocks.applyInArrow(_met(threshold), FOUND), "links")
+    dropped(filed, same)
     groups = components(found.where("v IS NOT NULL").select("u", "v"), "components")
     counts = found.where("n IS NOT NULL").groupBy(F.col("u").alias("vertex")).agg(F.sum("n").alias("others"))
-
-    # Copies of a vertex: all rows of its class. A vector that is not usable is in no class of more than itself.
-    repeated = same.where("copies > 1").join(filed.select("key"), "key", "left_semi")
-    members = (
-        alike.select("key", "label", "embedding").join(repeated.withColumnRenamed("key", "vertex"), ["label", "embedding"])
-        .select("key", "vertex", "copies")
-    )
-    return _named(named.select("key", "vec_id"), members, counts, groups)
+    return _named(named.select("key", "vec_id"), members.join(able, "vertex", "left_semi"), counts, groups)
 
 
 def _named(rows: DataFrame, members: DataFrame, counts: DataFrame, groups: DataFrame) -> DataFrame:
