@@ -130,7 +130,7 @@ WEATHER = table_schema("city STRING, date DATE, temp_max_c DOUBLE, precipitation
 
 
 # What the invoice ingest stores: the feed with its partition columns.
-STORED_FREIGHT = T.StructType(FREIGHT.fields + table_schema("run STRING, batch_id BIGINT, invoice_month STRING").fields)
+STORED_FREIGHT = T.StructType(FREIGHT.fields + table_schema("run STRING, batch_id BIGINT, created_month STRING, id_bucket INT").fields)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

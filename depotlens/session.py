@@ -69,3 +69,18 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
 def remove_folder(spark: SparkSession, path: str) -> None:
     p, store = _folder(spark, path)
     store.delete(p, True)
+
+
+def text_once(spark: SparkSession, path: str, text: str) -> str:
+    """The text of a small file, which is created with ``text`` by the first who asks."""
+    p, store = _folder(spark, path)
+    if not store.exists(p):
+        try:
+            out = store.create(p, False)
+        except Exception:  # another was first
+            if not store.exists(p):
+                raise
+        else:
+            out.write(bytearray(text.encode()))
+            out.close()
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -3,24 +3,34 @@
 The file source's checkpoint knows which files are done, so a killed run goes on where
 it stopped. A checkpoint is a run; every micro-batch writes the folder of its run and
 number and overwrites only that when replayed, so a crash between write and commit
-duplicates nothing, and a new checkpoint on an old table adds to it. An invoice that lands again, in the
-same batch or years later, is dropped: within a batch by an aggregate that combines on
-the map side (a page landed a million times does not pile up in one task), across batches
-by an anti join with the ids already there. What is there is the table itself, so no
-streaming state grows with the feed.
+duplicates nothing, and a new checkpoint on an old table adds to it. An invoice that
+lands again, in the same batch or years later, is dropped: within a batch by an aggregate
+that combines on the map side (a page landed a million times does not pile up in one
+task), across batches by an anti join with the ids already there.
+
+The table is its own index of ids. It is partitioned by the month in which an invoice was
+created and by a hash of its id, and a batch reads the ids of its own partitions only: of
+its hash buckets always, and of its months if ``created_is_final``. Then a daily feed looks
+into the current month however long the history is, and an invoice that lands again years
+late is still found, in its month. There is no second copy that could fall behind, and no
+streaming state that grows or forgets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import dates as D
-from ..session import folder_exists
+from ..session import folder_exists, text_once
 from ..sources import landed
 
+ID_BUCKETS = 64
+RUN = "ingest-run"
+
 
 def one_per_invoice(invoices: DataFrame) -> DataFrame:
     """The first created record of each invoice; equal ones in column order, so reruns agree."""
@@ -29,38 +39,57 @@ def one_per_invoice(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("invoice_id").agg(first).select("invoice_id", "r.*").select(*invoices.columns)
 
 
-def _run_of(spark: SparkSession, checkpoint: str) -> str:
-    """The id that the checkpoint keeps for its query, through all restarts."""
-    kept = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id").alias("id"))
-    return kept.where("id IS NOT NULL").first()["id"]
+def id_bucket(invoice_id="invoice_id"):
+    """The hash bucket that an id is stored under. Fixed: a table keeps its buckets for good."""
+    return F.pmod(F.xxhash64(invoice_id), F.lit(ID_BUCKETS)).cast("int")
+
+
+def _placed(invoices: DataFrame) -> DataFrame:
+    month = F.coalesce(D.month_key(F.col("created_at_ist")), F.lit("unknown"))
+    return invoices.withColumns({"created_month": month, "id_bucket": id_bucket()})
+
+
+MOST_PLACES = 1_000
+
 
+def stored_ids(fresh: DataFrame, out: str, created_is_final: bool = False) -> DataFrame:
+    """What is stored in the partitions where the invoices of ``fresh`` could be: id, run and batch.
 
-def _unseen(fresh: DataFrame, out: str, run: str, batch_id: int, months_are_final: bool) -> DataFrame:
+    The partitions are listed as literals, so files of others are not even opened. Without
+    ``created_is_final`` they are the buckets of all months. Beyond ``MOST_PLACES`` months
+    (a feed of junk dates) all are read, and the join decides.
+    """
+    table = stored(fresh.sparkSession, out)
+    buckets = [r[0] for r in fresh.select("id_bucket").distinct().collect()]  # ID_BUCKETS at most
+    table = table.where(F.col("id_bucket").isin(buckets))
+    if created_is_final:
+        months = [r[0] for r in fresh.select("created_month").distinct().limit(MOST_PLACES + 1).collect()]
+        if len(months) <= MOST_PLACES:
+            table = table.where(F.col("created_month").isin(months))
+    return table.select("invoice_id", "run", "batch_id")
+
+
+def _unseen(fresh: DataFrame, out: str, run: str, batch_id: int, created_is_final: bool) -> DataFrame:
     """Invoices that no other batch of any run has stored."""
-    spark = fresh.sparkSession
-    if not folder_exists(spark, out):
+    if not folder_exists(fresh.sparkSession, out):
         return fresh
-    done = stored(spark, out).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
-    if months_are_final:  # the semi join with the batch's months becomes a partition filter
-        done = done.join(fresh.select("invoice_month").distinct(), "invoice_month", "left_semi")
+    done = stored_ids(fresh, out, created_is_final).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
     # Stored ids are cut down to the batch's first: with a small batch the stored side is not shuffled.
     again = done.select("invoice_id").join(fresh.select("invoice_id"), "invoice_id", "left_semi").distinct()
     return fresh.join(again, "invoice_id", "left_anti")
 
 
-def store_batch(out: str, checkpoint: str, months_are_final: bool = False) -> Callable[[DataFrame, int], None]:
-    """The sink of one micro-batch of normalised invoices."""
+def store_batch(out: str, run: str, *, created_is_final: bool = False) -> Callable[[DataFrame, int], None]:
+    """The sink of one micro-batch of normalised invoices, for the run of that id."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = _run_of(batch.sparkSession, checkpoint)
-        month = F.coalesce(D.month_key(F.col("invoice_date")), F.lit("unknown"))
-        fresh = one_per_invoice(batch).withColumn("invoice_month", month).persist()
+        fresh = _placed(one_per_invoice(batch)).persist()
         try:
             (
-                _unseen(fresh, out, run, batch_id, months_are_final)
-                .hint("rebalance", F.col("invoice_month"))
+                _unseen(fresh, out, run, batch_id, created_is_final)
+                .hint("rebalance", F.col("created_month"), F.col("id_bucket"))
                 .write.mode("overwrite")
-                .partitionBy("invoice_month")
+                .partitionBy("created_month", "id_bucket")
                 .parquet(f"{out}/run={run}/batch_id={batch_id}")
             )
         finally:
@@ -69,16 +98,22 @@ def store_batch(out: str, checkpoint: str, months_are_final: bool = False) -> Ca
     return write
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, months_are_final: bool = False, wait: bool = True):
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of a checkpoint's run. It lies in the checkpoint, so it goes on and ends with it."""
+    return text_once(spark, f"{checkpoint.rstrip('/')}/{RUN}", uuid4().hex)
+
+
+def ingest(stream: DataFrame, out: str, checkpoint: str, *, created_is_final: bool = False, wait: bool = True):
     """Run what has landed through to ``out`` and stop; call again for what lands later.
 
-    ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``). If an
-    invoice never changes its invoice month, ``months_are_final`` lets a batch look up
-    only its own months of the table.
+    ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``). With
+    ``created_is_final`` the caller vouches that an invoice that lands again was created in
+    the same month; a batch then looks up its own months of the table only.
     """
+    run = run_of(stream.sparkSession, checkpoint)
     query = (
         landed.normalise_invoices(stream)
-        .writeStream.foreachBatch(store_batch(out.rstrip("/"), checkpoint.rstrip("/"), months_are_final))
+        .writeStream.foreachBatch(store_batch(out.rstrip("/"), run, created_is_final=created_is_final))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

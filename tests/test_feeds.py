@@ -142,7 +142,7 @@ def test_page_coverage(spark):
     pages = spark.createDataFrame(rows, "city string, url string, html string")
     got = {r.city: (r.pages_declared, r.pages_seen, r.pages_missing) for r in listings.page_coverage(pages).collect()}
     assert got == {"pune": (3, 2, 1), "goa": (1, 1, 0)}
-    assert listings.extract(pages).count() == 0
+    assert listings.extract(pages, ("Marwar",)).count() == 0
 
 
 @pytest.mark.parametrize("text", [
@@ -178,22 +178,62 @@ def test_ingest_is_exactly_once_across_batches_and_restarts(spark, tmp_path):
     assert run() == ["a", "b", "c", "d", "e"]
 
 
-@pytest.mark.parametrize("months_are_final", [False, True])
-def test_an_invoice_that_moves_to_another_month(spark, rows_of, tmp_path, months_are_final):
-    """Found wherever it is stored, unless the caller vouches for the month."""
-    write = invoices.store_batch(str(tmp_path / "out"), months_are_final)
+MAY = "2026-05-05T20:00:00Z"
+
+
+@pytest.mark.parametrize("final", [False, True])
+def test_an_invoice_that_comes_back_changed(spark, rows_of, tmp_path, final):
+    """Its own month does not matter; if it was created anew, it is found unless the caller ruled that out."""
+    write = invoices.store_batch(str(tmp_path / "out"), "r", created_is_final=final)
     write(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice("a"), invoice("b")])), 0)
     april = "2026-04-01"
-    moved = [invoice("a", day=april), invoice("c", day=april, created="2026-03-06T00:00:00Z"), invoice("c", 5, day=april)]
+    moved = [
+        invoice("a", day=april), invoice("c", day=april, created="2026-03-06T00:00:00Z"),
+        invoice("c", 5, day=april),
+    ]
     write(landed.normalise_invoices(rows_of(schemas.INVOICE, moved)), 1)
+    write(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice("b", created=MAY)])), 2)
     rows = invoices.stored(spark, str(tmp_path / "out")).collect()
-    assert sorted(r.invoice_id for r in rows) == (["a", "a", "b", "c"] if months_are_final else ["a", "b", "c"])
+    assert sorted(r.invoice_id for r in rows) == (["a", "b", "b", "c"] if final else ["a", "b", "c"])
     assert next(r for r in rows if r.invoice_id == "c").amount_inr == Decimal("0.05")  # the first created
 
 
+def test_a_batch_reads_the_partitions_of_its_ids(spark, rows_of, tmp_path):
+    """The work of a batch does not grow with the table: months pass, it reads as many files as before."""
+    out = str(tmp_path / "out")
+    write = invoices.store_batch(out, "r", created_is_final=True)
+    files, all_files = [], []
+    for month in range(1, 7):
+        at = f"2026-{month:02d}-10T00:00:00Z"
+        batch = [invoice(f"{month}-{i}", created=at) for i in range(30)]
+        write(landed.normalise_invoices(rows_of(schemas.INVOICE, batch)), month)
+        again = landed.normalise_invoices(rows_of(schemas.INVOICE, batch[:3] + [invoice("new", created=at)]))
+        looked = invoices.stored_ids(invoices._placed(again), out, created_is_final=True)
+        files.append(looked.select(F.input_file_name()).distinct().count())
+        all_files.append(invoices.stored(spark, out).select(F.input_file_name()).distinct().count())
+        assert "PartitionFilters: [" in looked._jdf.queryExecution().toString() and looked.count() <= 30
+    assert max(files) <= 4 and all_files[-1] >= 5 * all_files[0]
+    # half a year late, and still known
+    late = [invoice("1-7", created="2026-01-10T00:00:00Z"), invoice("x", created="2026-01-11T00:00:00Z")]
+    before = invoices.stored(spark, out).count()
+    write(landed.normalise_invoices(rows_of(schemas.INVOICE, late)), 9)
+    assert invoices.stored(spark, out).count() == before + 1
+
+
+def test_a_run_is_its_checkpoint(spark, rows_of, tmp_path):
+    one, two = (invoices.run_of(spark, str(tmp_path / c)) for c in "ab")
+    assert one != two and invoices.run_of(spark, f"{tmp_path}/a/") == one
+    out = str(tmp_path / "out")
+    for run, id in ((one, "a"), (two, "a"), (two, "b")):
+        invoices.store_batch(out, run)(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice(id)])), 0)
+    assert sorted(r.invoice_id for r in invoices.stored(spark, out).collect()) == ["a", "b"]
+    with pytest.raises(TypeError):
+        invoices.store_batch(out, one, True)
+
+
 def test_a_replayed_batch_overwrites_itself(spark, rows_of, tmp_path):
     out = str(tmp_path / "out")
-    write = invoices.store_batch(out)
+    write = invoices.store_batch(out, "r")
     batch = landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice("a"), invoice("a"), invoice("b")]))
     write(batch, 0)
     write(batch, 1)
@@ -201,7 +241,7 @@ def test_a_replayed_batch_overwrites_itself(spark, rows_of, tmp_path):
     write(batch, 0)
     got = invoices.stored(spark, out)
     assert sorted(r.invoice_id for r in got.collect()) == ["a", "b"]
-    assert {r.invoice_month for r in got.collect()} == {"2026-03"}
+    assert {(r.created_month, r.batch_id) for r in got.collect()} == {("2026-03", 0)}
 
 
 def test_page_per_file(spark, tmp_path):
