@@ -66,6 +66,13 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return store.exists(p)
 
 
+def folder_names(spark: SparkSession, path: str, start: str = "") -> list[str]:
+    """Names in a folder that begin with ``start``; none if there is no folder."""
+    p, store = _folder(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(p)] if store.exists(p) else []
+    return sorted(n for n in names if n.startswith(start))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     p, store = _folder(spark, path)
     store.delete(p, True)
@@ -83,4 +90,8 @@ def text_once(spark: SparkSession, path: str, text: str) -> str:
         else:
             out.write(bytearray(text.encode()))
             out.close()
-    return spark.read.text(path, wholetext=True).first()[0]
+    kept = store.open(p)
+    try:
+        return bytes(kept.readAllBytes()).decode()
+    finally:
+        kept.close()

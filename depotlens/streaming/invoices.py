@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import dates as D
-from ..session import folder_exists, text_once
+from ..session import folder_names, text_once
 from ..sources import landed
 
-ID_BUCKETS = 64
-RUN = "ingest-run"
+RUN, LAYOUT = "ingest-run", "_id_buckets"
 
 
 def one_per_invoice(invoices: DataFrame) -> DataFrame:
@@ -39,14 +38,11 @@ def one_per_invoice(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("invoice_id").agg(first).select("invoice_id", "r.*").select(*invoices.columns)
 
 
-def id_bucket(invoice_id="invoice_id"):
-    """The hash bucket that an id is stored under. Fixed: a table keeps its buckets for good."""
-    return F.pmod(F.xxhash64(invoice_id), F.lit(ID_BUCKETS)).cast("int")
-
-
-def _placed(invoices: DataFrame) -> DataFrame:
+def placed(invoices: DataFrame, id_buckets: int) -> DataFrame:
+    """Invoices with the partition they are stored under."""
     month = F.coalesce(D.month_key(F.col("created_at_ist")), F.lit("unknown"))
-    return invoices.withColumns({"created_month": month, "id_bucket": id_bucket()})
+    bucket = F.pmod(F.xxhash64("invoice_id"), F.lit(id_buckets)).cast("int")
+    return invoices.withColumns({"created_month": month, "id_bucket": bucket})
 
 
 MOST_PLACES = 1_000
@@ -60,7 +56,7 @@ def stored_ids(fresh: DataFrame, out: str, created_is_final: bool = False) -> Da
     (a feed of junk dates) all are read, and the join decides.
     """
     table = stored(fresh.sparkSession, out)
-    buckets = [r[0] for r in fresh.select("id_bucket").distinct().collect()]  # ID_BUCKETS at most
+    buckets = [r[0] for r in fresh.select("id_bucket").distinct().collect()]  # as many as the table has, at most
     table = table.where(F.col("id_bucket").isin(buckets))
     if created_is_final:
         months = [r[0] for r in fresh.select("created_month").distinct().limit(MOST_PLACES + 1).collect()]
@@ -71,7 +67,7 @@ def stored_ids(fresh: DataFrame, out: str, created_is_final: bool = False) -> Da
 
 def _unseen(fresh: DataFrame, out: str, run: str, batch_id: int, created_is_final: bool) -> DataFrame:
     """Invoices that no other batch of any run has stored."""
-    if not folder_exists(fresh.sparkSession, out):
+    if not any_stored(fresh.sparkSession, out):
         return fresh
     done = stored_ids(fresh, out, created_is_final).where((F.col("run") != run) | (F.col("batch_id") != batch_id))
     # Stored ids are cut down to the batch's first: with a small batch the stored side is not shuffled.
@@ -79,11 +75,14 @@ def _unseen(fresh: DataFrame, out: str, run: str, batch_id: int, created_is_fina
     return fresh.join(again, "invoice_id", "left_anti")
 
 
-def store_batch(out: str, run: str, *, created_is_final: bool = False) -> Callable[[DataFrame, int], None]:
+def store_batch(
+    out: str, run: str, *, created_is_final: bool = False, id_buckets: int = 1
+) -> Callable[[DataFrame, int], None]:
     """The sink of one micro-batch of normalised invoices, for the run of that id."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = _placed(one_per_invoice(batch)).persist()
+        buckets = int(text_once(batch.sparkSession, f"{out}/{LAYOUT}", str(id_buckets)))
+        fresh = placed(one_per_invoice(batch), buckets).persist()
         try:
             (
                 _unseen(fresh, out, run, batch_id, created_is_final)
@@ -103,17 +102,21 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
     return text_once(spark, f"{checkpoint.rstrip('/')}/{RUN}", uuid4().hex)
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, *, created_is_final: bool = False, wait: bool = True):
+def ingest(
+    stream: DataFrame, out: str, checkpoint: str, *, created_is_final: bool = False, id_buckets: int = 1, wait: bool = True
+):
     """Run what has landed through to ``out`` and stop; call again for what lands later.
 
     ``stream`` is a streaming frame of partner invoices (``schemas.INVOICE``). With
     ``created_is_final`` the caller vouches that an invoice that lands again was created in
-    the same month; a batch then looks up its own months of the table only.
+    the same month; a batch then looks up its own months of the table only. A new table is
+    split into ``id_buckets`` by id within a month, and keeps that number; one for every
+    million invoices a month is about right.
     """
     run = run_of(stream.sparkSession, checkpoint)
     query = (
         landed.normalise_invoices(stream)
-        .writeStream.foreachBatch(store_batch(out.rstrip("/"), run, created_is_final=created_is_final))
+        .writeStream.foreachBatch(store_batch(out.rstrip("/"), run, created_is_final=created_is_final, id_buckets=id_buckets))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -136,6 +139,11 @@ def landed_pages(
     return landed.invoices_of_pages(pages)
 
 
+def any_stored(spark: SparkSession, out: str) -> bool:
+    """Whether a batch of any run was begun."""
+    return bool(folder_names(spark, out, "run="))
+
+
 def stored(spark: SparkSession, out: str) -> DataFrame:
     """All invoices ingested so far."""
     return spark.read.schema(schemas.STORED_FREIGHT).parquet(out.rstrip("/"))

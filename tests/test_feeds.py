@@ -201,14 +201,14 @@ def test_an_invoice_that_comes_back_changed(spark, rows_of, tmp_path, final):
 def test_a_batch_reads_the_partitions_of_its_ids(spark, rows_of, tmp_path):
     """The work of a batch does not grow with the table: months pass, it reads as many files as before."""
     out = str(tmp_path / "out")
-    write = invoices.store_batch(out, "r", created_is_final=True)
+    write = invoices.store_batch(out, "r", created_is_final=True, id_buckets=4)
     files, all_files = [], []
     for month in range(1, 7):
         at = f"2026-{month:02d}-10T00:00:00Z"
         batch = [invoice(f"{month}-{i}", created=at) for i in range(30)]
         write(landed.normalise_invoices(rows_of(schemas.INVOICE, batch)), month)
         again = landed.normalise_invoices(rows_of(schemas.INVOICE, batch[:3] + [invoice("new", created=at)]))
-        looked = invoices.stored_ids(invoices._placed(again), out, created_is_final=True)
+        looked = invoices.stored_ids(invoices.placed(again, 4), out, created_is_final=True)
         files.append(looked.select(F.input_file_name()).distinct().count())
         all_files.append(invoices.stored(spark, out).select(F.input_file_name()).distinct().count())
         assert "PartitionFilters: [" in looked._jdf.queryExecution().toString() and looked.count() <= 30
@@ -225,8 +225,11 @@ def test_a_run_is_its_checkpoint(spark, rows_of, tmp_path):
     assert one != two and invoices.run_of(spark, f"{tmp_path}/a/") == one
     out = str(tmp_path / "out")
     for run, id in ((one, "a"), (two, "a"), (two, "b")):
-        invoices.store_batch(out, run)(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice(id)])), 0)
+        invoices.store_batch(out, run, id_buckets=4)(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice(id)])), 0)
     assert sorted(r.invoice_id for r in invoices.stored(spark, out).collect()) == ["a", "b"]
+    # the split of a table is that of its first batch
+    invoices.store_batch(out, one, id_buckets=50)(landed.normalise_invoices(rows_of(schemas.INVOICE, [invoice(c) for c in "abc"])), 1)
+    assert sorted((r.invoice_id, r.id_bucket < 4) for r in invoices.stored(spark, out).collect()) == [(c, True) for c in "abc"]
     with pytest.raises(TypeError):
         invoices.store_batch(out, one, True)
 
