@@ -23,7 +23,7 @@ from depotlens.operators import (
     coldchain, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
     skew, systemic,
 )
-from depotlens.plans import questions, warehouse
+from depotlens.plans import monthly, questions, warehouse
 from depotlens.plans.star import LazyStar, StoredStar
 from depotlens.session import scratch_dir
 from depotlens.sources import landed, listings
@@ -75,6 +75,11 @@ def _on_stored(build: Callable[[StoredStar], DataFrame]) -> Query:
     return run
 
 
+def _on_months(build: Callable[[StoredStar], DataFrame]) -> Query:
+    """A query on the sums by month that the build of the warehouse keeps."""
+    return _on_stored(lambda star: build(monthly.of(star)))
+
+
 def _on_sample(build: Callable[[SampleTables], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(_star(spark, sf_dir).landed)
 
@@ -341,6 +346,13 @@ STORED: dict[str, Callable[[StoredStar], DataFrame]] = {
 }
 
 
+# Metrics that read the sums by month; their SQL, over facts, is that of the query of the same name.
+MONTHLY = (
+    "fill_rate_region", "fill_rate_outlet_month", "otif_region", "otif_region_quarter", "freight_per_case",
+    "freight_per_case_quarter", "freight_by_carrier", "returns_leakage", "returns_leakage_quarter", "network_kpis",
+)
+
+
 def queries() -> dict[str, Query]:
     P = periods.period
     star, sample = _on_star, _on_sample
@@ -474,6 +486,8 @@ def queries() -> dict[str, Query]:
     }
     for name, build in STORED.items():
         out[f"stored_{name}"] = _on_stored(build)
+    for name in MONTHLY:
+        out[f"monthly_{name}"] = _on_months(STORED[name])
     if llm is not None:
         out |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     return out
@@ -481,7 +495,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     out = oracles.registry(TEST_OUTLETS_SQL, str(FIRST_DAY), str(LAST_DAY), privacy.BLOCKED_PHRASES)
-    out |= {f"stored_{name}": out[name] for name in STORED}
+    out |= {f"stored_{name}": out[name] for name in STORED} | {f"monthly_{name}": out[name] for name in MONTHLY}
     out |= {"invoice_stream_second_run": out["invoice_stream"], "match_rate_any_family": out["match_rate"]}
     if llm is not None:
         out |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import numeric as N
 from .periods import ALL_DATA, Period
-from .scope import fulfilled, in_region, one_of, ranked
+from .scope import in_region, one_of, ranked
 
 
 def _freight_in_scope(star, period: Period, region_code: str | None, on_region: str = "route_region_id") -> DataFrame:
-    return in_region(period.of(star.freight, "invoice_date"), star.dim_region, region_code, on_region)
+    return in_region(star.freight_rows(period), star.dim_region, region_code, on_region)
 
 
 def freight_and_cases(star, period: Period = ALL_DATA, region_code: str | None = None) -> DataFrame:
@@ -25,9 +25,8 @@ def freight_and_cases(star, period: Period = ALL_DATA, region_code: str | None =
         .groupBy("warehouse_code")
         .agg(F.sum("freight").alias("freight"))
     )
-    lines = period.of(star.order_lines_core.where(fulfilled()), "order_date")
     cases = (
-        in_region(lines, star.dim_region, region_code)
+        in_region(star.fulfilled_lines(period, "place"), star.dim_region, region_code)
         .groupBy("warehouse_id")
         .agg(F.sum("delivered_cases").alias("delivered_cases"))
         .join(warehouse, "warehouse_id")
@@ -60,7 +59,7 @@ def freight_by_carrier(
     out = (
         _freight_in_scope(star, period, region_code)
         .groupBy(F.col("carrier_id").alias("dim_code"), F.col("carrier_name").alias("dim_label"))
-        .agg(F.sum("amount_inr").alias("s"), F.count(F.lit(1)).alias("n_invoices"), F.count("amount_inr").alias("n"))
+        .agg(F.sum("amount_inr").alias("s"), F.sum("n").alias("n_invoices"), F.sum("n_amount").alias("n"))
         .select(
             "dim_code",
             "dim_label",
@@ -74,9 +73,8 @@ def freight_by_carrier(
 
 def dispatch_by_category(star, period: Period = ALL_DATA, region_code: str | None = None) -> DataFrame:
     """Line value of fulfilled orders per category, summed per product before the product is joined."""
-    lines = period.of(star.order_lines_core.where(fulfilled()), "order_date")
     return (
-        in_region(lines, star.dim_region, region_code)
+        in_region(star.fulfilled_lines(period, "product"), star.dim_region, region_code)
         .groupBy("product_id")
         .agg(F.sum("line_value_inr").alias("v"))
         .join(star.dim_product.select("product_id", "category"), "product_id")
@@ -87,9 +85,9 @@ def dispatch_by_category(star, period: Period = ALL_DATA, region_code: str | Non
 
 def returns_by_category(star, period: Period = ALL_DATA, region_code: str | None = None) -> DataFrame:
     """Value, count and leading reason of returns per category, from one pass per (category, reason)."""
-    returns = in_region(period.of(star.returns_core, "return_date"), star.dim_region, region_code)
+    returns = in_region(star.return_rows(period), star.dim_region, region_code)
     per_reason = returns.groupBy("category", "return_reason_code").agg(
-        F.sum("credit_note_value_inr").alias("v"), F.count(F.lit(1)).alias("n")
+        F.sum("credit_note_value_inr").alias("v"), F.sum("n").alias("n")
     )
     lead = F.min(
         F.when(

@@ -21,6 +21,13 @@ class Period:
     start: date | Column | None
     end: date | Column | None  # exclusive
     label: str
+    months: bool = False  # bounds that are columns are known to be first days of months
+
+    @property
+    def whole_months(self) -> bool:
+        if self.start is None or self.months:
+            return True
+        return all(isinstance(b, date) and b.day == 1 for b in (self.start, self.end))
 
     def covers(self, day: Column) -> Column:
         if self.start is None:
@@ -109,12 +116,12 @@ def last_quarter_of(as_of: DataFrame) -> Period:
     Fiscal quarters start where calendar quarters do, so truncation finds them.
     """
     end = F.trunc(F.date_add(as_of.scalar(), 1), "quarter")
-    return Period(F.add_months(end, -3), end, "last complete fiscal quarter")
+    return Period(F.add_months(end, -3), end, "last complete fiscal quarter", True)
 
 
 def last_month_of(as_of: DataFrame) -> Period:
     end = F.trunc(F.date_add(as_of.scalar(), 1), "month")
-    return Period(F.add_months(end, -1), end, "last complete month")
+    return Period(F.add_months(end, -1), end, "last complete month", True)
 
 
 def reporting_periods(as_of: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ id instead of one per order line, and a hot id collapses on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric as N
 from .periods import ALL_DATA, Period
@@ -27,8 +27,7 @@ def fill_rate(
     """Delivered over ordered eaches of fulfilled orders, in percent, per group."""
     one_of("group_by", group_by, DIMENSIONS)
     id_col, code, label = DIMENSIONS[group_by]
-    lines = period.of(star.order_lines_core.where(fulfilled()), "order_date")
-    lines = in_region(lines, star.dim_region, region_code)
+    lines = in_region(star.fulfilled_lines(period, "place"), star.dim_region, region_code)
 
     needs_outlet = group_by == "outlet" or exclude_test_outlets or exclude_closed_outlets or exclude_deleted_outlets
     keys = list(dict.fromkeys(["outlet_id", id_col] if needs_outlet else [id_col]))
@@ -79,30 +78,38 @@ def otif_base(
     Deliveries are counted per order first; the join with the order totals is then one
     row per order and group on either side.
     """
-    orders = period.of(order_fulfilment(star), "order_date")
-    on_time = F.col("delay_minutes") <= on_time_threshold_minutes
-    counts = [F.count(F.lit(1)).alias("n"), N.count_where(on_time).alias("n_on_time")]
-    per_order = in_region(star.deliveries_by_order(["route_id", "warehouse_id"], counts), star.dim_region, region_code)
+    kept = star.otif_rows(period, on_time_threshold_minutes)
+    if kept is None:
+        kept = otif_by_order(star, period, on_time_threshold_minutes)
+    kept = in_region(kept, star.dim_region, region_code)
     if exclude_test_outlets:
         plain = star.dim_outlet_plain.where(~F.col("is_test_outlet")).select("outlet_id")
-        per_order = per_order.join(plain, "outlet_id", "left_semi")
+        kept = kept.join(plain, "outlet_id", "left_semi")
+    return kept.groupBy(*id_cols).agg(*[F.sum(c).alias(c) for c in OTIF_SUMS])
+
+
+def otif_by_order(
+    star, period: Period = ALL_DATA, on_time_threshold_minutes: int = 0, only: Column | None = None
+) -> DataFrame:
+    """The sums of ``otif_base`` per order and place of its deliveries, with the order's date, for orders that meet ``only``."""
+    orders = star.order_totals(fulfilled() if only is None else only, period)
+    on_time = F.col("delay_minutes") <= on_time_threshold_minutes
+    counts = [F.count(F.lit(1)).alias("n"), N.count_where(on_time).alias("n_on_time")]
+    per_order = star.deliveries_by_order(["route_id", "warehouse_id"], counts)
     in_full = F.col("delivered_eaches") >= F.col("ordered_eaches")
     fulfilment = F.try_divide(
         F.lit(100.0) * F.col("delivered_eaches").cast("double"), F.col("ordered_eaches").cast("double")
     )
-    n = F.col("n")
-    return (
-        per_order.join(orders, "order_id")
-        .groupBy(*id_cols)
-        .agg(
-            F.sum(n).alias("n_deliveries"),
-            F.sum("n_on_time").alias("n_on_time"),
-            N.sum_where(in_full, n).alias("n_in_full"),
-            N.sum_where(in_full, F.col("n_on_time")).alias("n_otif"),
-            F.sum(fulfilment * n).alias("fulfilment_sum"),
-            N.sum_where(fulfilment.isNotNull(), n).alias("fulfilment_n"),
-        )
-    )
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    return per_order.join(orders, "order_id").select(
+        "order_date", "outlet_id", "region_id", "route_id", "warehouse_id",
+        n.alias("n_deliveries"),
+        "n_on_time",
+        F.when(in_full, n).otherwise(none).alias("n_in_full"),
+        F.when(in_full, F.col("n_on_time")).otherwise(none).alias("n_otif"),
+        (fulfilment * n).alias("fulfilment_sum"),
+        F.when(fulfilment.isNotNull(), n).otherwise(none).alias("fulfilment_n"),
+    )
 
 
 OTIF_SUMS = ("n_deliveries", "n_on_time", "n_in_full", "n_otif", "fulfilment_sum", "fulfilment_n")

@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
+from ..session import folder_exists
 from ..operators import dims, facts, matching
 from ..operators.periods import ALL_DATA, Period
+from ..operators.scope import fulfilled
+from . import copartition
 
 DIMENSION_TABLES = ("dim_region", "dim_warehouse", "dim_route", "dim_salesperson", "dim_outlet", "dim_product", "dim_date")
 FACT_TABLES = (
@@ -27,6 +30,8 @@ FACT_TABLES = (
 
 
 SCHEMAS = "_schemas"
+LAYOUT = "_layout"
+BUCKETED = {"fact_order_lines": "order_date", "fact_deliveries": "dispatch_datetime"}
 
 
 class Sources:
@@ -66,8 +71,28 @@ def _eaches() -> list[Column]:
 
 
 class _Star:
+    """Metric operators read facts through the methods here; what they return is summed, so a row may stand for many.
+
+    ``n`` and ``n_amount`` count the rows, and those with an amount, that a row stands for.
+    """
+
     spark: SparkSession
 
+    def fulfilled_lines(self, period: Period, grain: str) -> DataFrame:
+        """Lines of fulfilled orders: eaches and cases by place (outlet, region, route, warehouse), or line value by product."""
+        return period.of(self.order_lines_core.where(fulfilled()), "order_date")
+
+    def freight_rows(self, period: Period) -> DataFrame:
+        counted = {"n": F.lit(1), "n_amount": F.col("amount_inr").isNotNull().cast("int")}
+        return period.of(self.freight, "invoice_date").withColumns(counted)
+
+    def return_rows(self, period: Period) -> DataFrame:
+        return period.of(self.returns_core, "return_date").withColumn("n", F.lit(1))
+
+    def otif_rows(self, period: Period, on_time_threshold_minutes: int) -> DataFrame | None:
+        """Sums of on-time-in-full by place, if they are kept for such a period and threshold."""
+        return None
+
     def dimension(self, name: str) -> DataFrame:
         return {
             "outlet": lambda: self.dim_outlet_plain,
@@ -153,15 +178,16 @@ class LazyStar(_Star):
     def deliveries(self) -> DataFrame:
         return facts.deliveries(self.landed.deliveries, self.landed.orders, self.shift_utc)
 
-    def order_totals(self, only: Column) -> DataFrame:
-        """Eaches per order, for orders that meet ``only``.
+    def order_totals(self, only: Column, period: Period = ALL_DATA) -> DataFrame:
+        """Eaches per order, for orders of the period that meet ``only``.
 
         Lines are summed before their order is looked up, so an order with very many
         lines reaches the join as one row per map task.
         """
         units = facts.line_units(self.landed.order_lines)
         sums = units.groupBy("order_id").agg(*_eaches())
-        return sums.join(facts.order_attributes(self.landed.orders).where(only), "order_id").select(
+        orders = period.of(facts.order_attributes(self.landed.orders).where(only), "order_date")
+        return sums.join(orders, "order_id").select(
             "order_id", "order_date", "ordered_eaches", "delivered_eaches"
         )
 
@@ -227,8 +253,19 @@ class StoredStar(_Star):
         rows = self.spark.read.parquet(f"{self.path}/{SCHEMAS}").collect()  # one row per table
         return {r["table_name"]: StructType.fromJson(json.loads(r["schema"])) for r in rows}
 
+    @cached_property
+    def buckets(self) -> int:
+        """Buckets by order, 0 if the build has none or an order outweighs them."""
+        if not folder_exists(self.spark, f"{self.path}/{LAYOUT}"):
+            return 0
+        row = self.spark.read.parquet(f"{self.path}/{LAYOUT}").agg(F.max("buckets"), F.max("share")).first()
+        return row[0] if row[1] is None or row[1] <= copartition.MOST_SHARE else 0
+
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")
+        path, schema = f"{self.path}/{name}", self._schemas[name]
+        if name in BUCKETED and self.buckets:
+            return copartition.read(self.spark, path, schema, BUCKETED[name], self.buckets)
+        return self.spark.read.schema(schema).parquet(path)
 
     dim_region = cached_property(lambda self: self._read("dim_region"))
     dim_warehouse = cached_property(lambda self: self._read("dim_warehouse"))
@@ -257,8 +294,9 @@ class StoredStar(_Star):
     def order_line_keys(self) -> DataFrame:
         return self.order_lines.select("order_id", "product_id")
 
-    def order_totals(self, only: Column) -> DataFrame:
-        lines = self.order_lines.where(only)
+    def order_totals(self, only: Column, period: Period = ALL_DATA) -> DataFrame:
+        """All lines of an order have its date, so a period reads its months only."""
+        lines = period.of(self.order_lines.where(only), "order_date")
         return lines.groupBy("order_id").agg(F.min("order_date").alias("order_date"), *_eaches())
 
     def deliveries_by_order(self, keys: list, aggregates: list[Column], period: Period = ALL_DATA) -> DataFrame:

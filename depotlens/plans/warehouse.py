@@ -7,7 +7,8 @@ in the build it is about. Readers get the newest build whose verdict is ok.
 Order lines, deliveries, returns and inventory are partitioned by month, so a period
 reads its months only. Rows are rebalanced by month before the write: adaptive execution
 splits a month that outgrows a file and merges small ones, so a month with a third of all
-rows is written by many tasks.
+rows is written by many tasks. Order lines and deliveries are bucketed by order as well
+(``copartition``), and sums by month are kept for the metrics (``monthly``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import dates as D
 from ..operators import quality
 from ..session import folder_exists
-from .star import DIMENSION_TABLES, FACT_TABLES, SCHEMAS, LazyStar, Sources, StoredStar
+from . import copartition, monthly
+from .star import BUCKETED, DIMENSION_TABLES, FACT_TABLES, LAYOUT, SCHEMAS, LazyStar, Sources, StoredStar
 
 MONTH_OF = {
     "fact_order_lines": "order_date",
@@ -50,6 +52,13 @@ def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
     )
 
 
+def write_fact(df: DataFrame, path: str, name: str, order_buckets: int) -> None:
+    if name in BUCKETED and order_buckets:
+        copartition.write(df, path, BUCKETED[name], order_buckets)
+    else:
+        write_table(df, path, MONTH_OF.get(name))
+
+
 def _numbers(spark: SparkSession, out: str) -> list[int]:
     """Numbers of the builds below ``out``, newest first."""
     base = f"{out.rstrip('/')}/{BUILDS}"
@@ -71,8 +80,11 @@ def _claimed(spark: SparkSession, out: str) -> str:
             return folder
 
 
-def build(landed: Sources, out: str, **star_options) -> StoredStar:
-    """Write every table of the star as a new build below ``out``. It is not served before ``gate``."""
+def build(landed: Sources, out: str, order_buckets: int = 4, **star_options) -> StoredStar:
+    """Write every table of the star as a new build below ``out``. It is not served before ``gate``.
+
+    ``order_buckets`` should be about the number of tasks that a join of all lines deserves; 0 leaves the buckets out.
+    """
     spark = landed.spark
     lazy = LazyStar(landed, **star_options)
     base = _claimed(spark, out)
@@ -81,11 +93,18 @@ def build(landed: Sources, out: str, **star_options) -> StoredStar:
     # The tables do not depend on each other; a few writes at a time keep the cluster busy
     # through the tail of each.
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
-        list(pool.map(lambda n: write_table(frames[n], f"{base}/{n}", MONTH_OF.get(n)), names))
+        list(pool.map(lambda n: write_fact(frames[n], f"{base}/{n}", n, order_buckets), names))
     # A partitioned table without rows holds no file that could tell its columns.
     schemas = [(n, _stored_schema(frames[n], MONTH_OF.get(n)).json()) for n in names]
     spark.createDataFrame(schemas, "table_name string, schema string").coalesce(1).write.parquet(f"{base}/{SCHEMAS}")
-    return StoredStar(spark, base)
+    star = StoredStar(spark, base)
+    if order_buckets:
+        shares = [copartition.largest_share(star.table(n), order_buckets).withColumn("table_name", F.lit(n)) for n in BUCKETED]
+        shares = shares[0].unionByName(shares[1]).withColumn("buckets", F.lit(order_buckets))
+        shares.coalesce(1).write.parquet(f"{base}/{LAYOUT}")  # one row per table
+        star = StoredStar(spark, base)
+    monthly.refresh(star, f"{out.rstrip('/')}/{monthly.FOLDER}")
+    return star
 
 
 def _stored_schema(df: DataFrame, day: str | None):
