@@ -3,8 +3,9 @@ import re
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from depotlens.operators.lineage import lineage
 from depotlens.operators import coldchain, periods, privacy, profile, quality, quantiles, scope, service, systemic
 from depotlens.plans import questions, warehouse
 from depotlens.session import scratch_dir
@@ -61,6 +62,53 @@ def test_governed_tables(mini):
         assert len(shown.columns) == len(star.table(name).columns) - len(privacy.BLOCKED_COLUMNS[name])
 
 
+@pytest.fixture(scope="module")
+def people(spark):
+    kind = "id int, full_name string, Contact_Email string, city string, card struct<manager_name: string, shelf: int>"
+    spark.createDataFrame([(1, "A", "a@b.co", "Pune", ("M", 1))], kind).createOrReplaceTempView("people")
+    spark.sql("CREATE OR REPLACE TEMP VIEW mail AS SELECT id, lower(contact_email) AS m, city FROM people")
+    return spark.table("people")
+
+
+REFUSED = {
+    "alias": lambda s, p: p.select(F.col("contact_email").alias("x")),
+    "expression": lambda s, p: p.select(F.upper("full_name").alias("x")),
+    "two steps": lambda s, p: p.select(F.concat("city", "full_name").alias("a")).select(F.length("a").alias("x")),
+    "struct": lambda s, p: p.select(F.struct("city", F.col("full_name").alias("f")).alias("x")),
+    "field of a struct": lambda s, p: p.select(F.col("card.manager_name").alias("x")),
+    "join": lambda s, p: p.select("id").join(p.select("id", F.col("contact_email").alias("x")), "id"),
+    "view": lambda s, p: s.sql("SELECT v.m AS x FROM mail v JOIN people p ON v.id = p.id"),
+    "aggregate": lambda s, p: p.groupBy("city").agg(F.max("full_name").alias("x")),
+    "union": lambda s, p: p.select(F.col("city").alias("x")).union(p.select("full_name")),
+    "window": lambda s, p: p.select(F.max("full_name").over(Window.partitionBy("city")).alias("x")),
+    "explode": lambda s, p: p.select(F.explode(F.split("contact_email", "@")).alias("x")),
+    "subquery": lambda s, p: s.sql("SELECT id, (SELECT max(full_name) FROM people) AS x FROM people"),
+    "python": lambda s, p: p.mapInPandas(lambda batches: batches, p.schema).select(F.col("city").alias("x")),
+    "borrowed name": lambda s, p: p.select(F.col("full_name").alias("is_duplicate_outlet")),
+    "case": lambda s, p: p.select("id", "FULL_NAME"),
+}
+
+
+@pytest.mark.parametrize("way", REFUSED)
+def test_blocked_columns_are_followed_through_the_plan(spark, people, way):
+    with pytest.raises(privacy.BlockedColumns) as refused:
+        privacy.assert_no_blocked_columns(REFUSED[way](spark, people))
+    assert [c.lower() for c in refused.value.columns] in (["x"], ["full_name"], ["is_duplicate_outlet"])
+
+
+def test_what_blocked_columns_only_decide_is_shown(spark, people):
+    """A filter, an order, a join key or a flag that is released does not show them."""
+    shown = people.where("contact_email IS NOT NULL").orderBy("full_name").select("id", F.col("city").alias("x"))
+    assert privacy.assert_no_blocked_columns(shown) is shown
+    assert lineage(shown) == {"id": {"id"}, "x": {"city", "x"}}
+    flagged = people.select("id", F.col("full_name").isNull().alias("is_duplicate_outlet"))
+    assert privacy.assert_no_blocked_columns(flagged) is flagged
+    both = spark.sql("SELECT city AS a, id + 1 AS b FROM mail UNION ALL SELECT city, id FROM people")
+    assert privacy.blocked_lineage(both) == {} and lineage(both)["b"] == {"b", "id"}
+    rows = privacy.lineage_profile(shown).collect()
+    assert [tuple(r) for r in rows] == [("id", "", 1), ("x", "city", 1)]
+
+
 def test_profile_counts_texts_without_findings(spark):
     df = spark.createDataFrame([("s", "a@b.co"), ("s", "x"), ("t", None)], "source string, text string")
     got = {(r.source, r.pii_category): r.n_texts for r in privacy.profile(df, "source").collect()}
