@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import oracles
 from depotlens import schemas
+from depotlens.functions import dates as D
 from depotlens.operators import (
     coldchain, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
     skew, systemic,
@@ -267,6 +268,61 @@ def _freight_from_csv(star: LazyStar) -> DataFrame:
     return _doubles(again, "amount_inr", "detention_charge_inr")
 
 
+def _spoilt_freight(star: LazyStar) -> str:
+    """The freight feed as CSV in the shared folder, with bad amounts, bad dates and lines cut short."""
+    paise = F.col("amount_inr") * 100
+    texts = star.landed.freight.select(*[F.col(c).cast("string") for c in schemas.FREIGHT.names], F.pmod(paise, F.lit(97)).cast("int").alias("k"))
+    spoilt = texts.withColumns(
+        {
+            "amount_inr": F.when(F.col("k").isin(0, 1), "n/a").otherwise(F.col("amount_inr")),
+            "invoice_date": F.when(F.col("k").isin(1, 2), "31-31-98").otherwise(F.col("invoice_date")),
+        }
+    )
+    line = F.when(F.col("k") == 3, F.concat("invoice_id", F.lit(",cut"))).otherwise(F.to_csv(F.struct(*schemas.FREIGHT.names)))
+    path = f"{scratch_dir(star.spark)}/spoilt-{uuid4().hex}"
+    spoilt.select(line.alias("value")).write.text(path)
+    return path
+
+
+def _rejected_records(star: LazyStar) -> DataFrame:
+    """Good records and the quarantine of a feed with planted faults, by reason."""
+    read = landed.read_checked(star.spark, _spoilt_freight(star), schemas.FREIGHT, "freight", header=False)
+    kept = landed.quarantined(read, f"{scratch_dir(star.spark)}/quarantine-{uuid4().hex}")
+    per_reason = kept.rejected.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n_records"), F.count("file").alias("n_with_file"))
+    good = read.rows.agg(F.lit("freight").alias("source"), F.lit("good").alias("reason"), F.count(F.lit(1)).alias("n_records"))
+    return per_reason.unionByName(good.withColumn("n_with_file", F.lit(0).cast("bigint")))
+
+
+def _landed_star(spark: SparkSession, sf_dir: str) -> LazyStar:
+    """The sample sources written as landed folders and read back under their declared schemas."""
+    sources, base = _star(spark, sf_dir).landed, f"{scratch_dir(spark)}/landed-{uuid4().hex}"
+    for name, schema in schemas.OPERATIONAL.items():
+        _as_feed(getattr(sources, name), schema).write.parquet(f"{base}/{name}")
+    for name, (folder, schema) in landed.FEEDS.items():
+        _as_feed(sources.optional(name, schema), schema).write.option("header", True).csv(f"{base}/{folder}")
+    return LazyStar(landed.read_sources(spark, base, quarantine=f"{base}/quarantine"))
+
+
+def _unchanged_counts(star: StoredStar) -> DataFrame:
+    """Row counts of the served build before and after its metrics are read: nothing may be written."""
+    before = warehouse.counts(star)
+    service.otif(star, "region").collect()
+    changed = quality.changed_counts(before, quality.manifest(star))
+    return changed.agg(F.count(F.lit(1)).alias("n_changed"), before.agg(F.sum("n_rows")).scalar().alias("n_rows"))
+
+
+def _feed_times(t: SampleTables) -> DataFrame:
+    """The time of an order written the way each feed writes, and read back; the sixth feed is unknown."""
+    key = F.col("o_orderkey")
+    minutes = F.make_dt_interval(mins=(key % 1440).cast("int"))
+    at = F.col("o_orderdate").cast("date").cast("timestamp_ntz") + minutes
+    feeds = list(D.FEED_FORMATS.items()) + [("OTHER", D.DEFAULT_FORMAT)]
+    choice = [F.struct(F.lit(feed).alias("feed"), F.date_format(at, fmt).alias("text")) for feed, fmt in feeds]
+    written = t.raw("orders").select(key.alias("order_id"), F.element_at(F.array(*choice), (key % len(feeds) + 1).cast("int")).alias("w"))
+    parsed = D.feed_timestamp(F.col("w.text"), F.col("w.feed"))
+    return written.select("order_id", F.col("w.feed").alias("feed"), F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 def _match_rate_from_csv(star: LazyStar) -> DataFrame:
     read = _csv_feed(star.spark, _as_feed(star.landed.listings, schemas.LISTINGS), schemas.LISTINGS)
     return matching.match_profile(matching.price_position(read, star.dim_product))
@@ -424,6 +480,11 @@ def queries() -> dict[str, Query]:
         "answer_otif_by_region": star(questions.otif_by_region),
         "answer_returns_by_category": star(questions.returns_by_category),
         "answer_freight_per_case": star(questions.freight_per_case_by_warehouse),
+        "answer_temperature_excursions": star(questions.temperature_excursions),
+        "answer_late_routes": star(questions.late_routes),
+        "answer_price_gap": star(questions.price_gap_top_skus),
+        "answer_discontinued_orders": star(questions.discontinued_sku_orders),
+        "returns_by_carrier": star(lambda s: money.returns_leakage(s, "carrier")),
         "question_routing": sample(lambda t: questions.route(_question_log(t)).drop("text")),
         # dimensions, facts, periods
         "date_spine": star(lambda s: s.dim_date),
@@ -471,11 +532,16 @@ def queries() -> dict[str, Query]:
             lambda t: t.raw("conversations").select("conv_id", "turn", privacy.redacted(F.col("text")).alias("redacted"))
         ),
         "governed_outlets": star(_governed_outlets),
+        "governed_lineage": star(lambda s: privacy.lineage_profile(_governed_outlets(s))),
         # landed feeds
         "listing_extract": sample(_listings),
         "listing_page_coverage": sample(lambda t: listings.page_coverage(t.listing_pages())),
         "listing_unparsed_prices": sample(lambda t: listings.unparsed_prices(_listings(t))),
         "invoice_normalise": sample(_normalised_invoices),
+        "rejected_records": star(_rejected_records),
+        "feed_times": sample(_feed_times),
+        "landed_fill_rate_region": lambda spark, sf_dir: service.fill_rate(_landed_star(spark, sf_dir), "region"),
+        "unchanged_counts": _on_stored(_unchanged_counts),
         "invoice_stream": _invoice_stream,
         "invoice_stream_second_run": _invoice_stream_second_run,
         "carrier_flatten": sample(_carriers),
@@ -496,7 +562,13 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out = oracles.registry(TEST_OUTLETS_SQL, str(FIRST_DAY), str(LAST_DAY), privacy.BLOCKED_PHRASES)
     out |= {f"stored_{name}": out[name] for name in STORED} | {f"monthly_{name}": out[name] for name in MONTHLY}
-    out |= {"invoice_stream_second_run": out["invoice_stream"], "match_rate_any_family": out["match_rate"]}
+    same = {
+        "invoice_stream_second_run": "invoice_stream", "match_rate_any_family": "match_rate",
+        "answer_temperature_excursions": "excursions_by_month", "answer_late_routes": "late_routes",
+        "answer_price_gap": "price_gap_top_skus", "answer_discontinued_orders": "discontinued_orders",
+        "landed_fill_rate_region": "fill_rate_region",
+    }
+    out |= {name: out[other] for name, other in same.items()}
     if llm is not None:
         out |= llm.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return out

@@ -15,6 +15,7 @@ from ..plans.star import DIMENSION_TABLES, FACT_TABLES
 from .skew import orphan_count, repeated_key_count
 
 OPTIONAL_TABLES = ("fact_weather",)
+FEEDS = ("freight", "listings", "weather")
 EXPECTED_TABLES = DIMENSION_TABLES + FACT_TABLES
 
 # The keys, references, date columns and domains that are checked.
@@ -151,6 +152,23 @@ def source_report(landed) -> DataFrame:
     return _union(frames)
 
 
+REJECTED_PER_MILLE = 10
+
+
+def rejected_report(landed, most_per_mille: int = REJECTED_PER_MILLE) -> DataFrame | None:
+    """A soft check per feed: bad records put aside, at most so many of a thousand. None if the read put none aside."""
+    if landed.rejected is None:
+        return None
+    frames = []
+    for feed in FEEDS:
+        bad = landed.rejected.where(F.col("source") == feed).agg(F.count(F.lit(1)).alias("bad"))
+        good = getattr(landed, feed).agg(F.count(F.lit(1)).alias("good"))
+        one = bad.select("bad", good.scalar().alias("good"))
+        ok = F.col("bad") * 1000 <= (F.col("bad") + F.col("good")) * most_per_mille
+        frames.append(_rows(one, [_check(f"rejected_records:{feed}", ok, F.col("bad"), hard=False)]))
+    return _union(frames)
+
+
 def verdict(checks: DataFrame) -> DataFrame:
     """One row: ``ok`` unless a hard check failed, the counts, and the names of the failed ones."""
     failed = F.col("hard") & ~F.col("passed")

@@ -38,6 +38,7 @@ class Sources:
     """What a build reads: one attribute per operational table and feed."""
 
     spark: SparkSession
+    rejected: DataFrame | None = None
 
     def optional(self, name: str, schema) -> DataFrame:
         """A feed, or an empty frame of its schema where it is missing."""
@@ -64,6 +65,7 @@ class Landed(Sources):
     freight: DataFrame | None = None
     listings: DataFrame | None = None
     weather: DataFrame | None = None
+    rejected: DataFrame | None = None  # bad records of the feeds, if they were put aside
 
 
 def _eaches() -> list[Column]:

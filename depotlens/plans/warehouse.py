@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dates as D
 from ..operators import quality
-from ..session import folder_exists
+from ..session import folder_exists, written_once
 from . import copartition, monthly
 from .star import BUCKETED, DIMENSION_TABLES, FACT_TABLES, LAYOUT, SCHEMAS, LazyStar, Sources, StoredStar
 
@@ -121,6 +121,8 @@ def gate(star: StoredStar, landed: Sources | None = None, **bounds) -> DataFrame
     checks = quality.report(star, tables=tables_found(star.spark, star.path), **bounds)
     if landed is not None:
         checks = checks.unionByName(quality.source_report(landed))
+        rejected = quality.rejected_report(landed)
+        checks = checks if rejected is None else checks.unionByName(rejected)
     report_path = f"{star.path}/{REPORT}"
     checks.coalesce(1).write.mode("overwrite").parquet(report_path)  # one row per check
     checks = star.spark.read.parquet(report_path)
@@ -146,3 +148,8 @@ def open_checked(spark: SparkSession, path: str) -> StoredStar:
             return StoredStar(spark, folder)
         seen.append(f"build {number} {status} ({detail})")
     raise WarehouseNotChecked(f"{path}: {'; '.join(seen) or 'missing'}")
+
+
+def counts(star: StoredStar) -> DataFrame:
+    """The manifest of a build as it is now, written beside nothing: rows that a later manifest can be compared with."""
+    return written_once(quality.manifest(star))

@@ -1,7 +1,16 @@
-"""Reading and normalising what upstream systems land: operational tables, partner feeds, weather."""
+"""Reading and normalising what upstream systems land: operational tables, partner feeds, weather.
+
+A bad record either stops the read (``read_table``) or goes into quarantine (``read_checked``):
+good records are kept, rejected ones are named by file and reason, and the gate of the build
+warns where a feed lost more than a stated share.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
@@ -27,6 +36,62 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet", **o
     )
 
 
+REJECTED = schemas.table_schema("source STRING, file STRING, reason STRING, record STRING")
+_RECORD = "_corrupt_record"
+
+
+@dataclass(frozen=True)
+class Checked:
+    """Records that fit the schema, and those that don't: ``source``, ``file``, ``reason``, ``record``."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def _reason(schema, fmt: str, options: dict) -> Column:
+    """Fields whose text does not fit their type, or what else is wrong with a record."""
+    texts = ", ".join(f"`{f.name}` STRING" for f in schema.fields)
+    record = F.col(_RECORD)
+    read = F.from_csv(record, texts, options) if fmt == "csv" else F.from_json(record, texts, options)
+    # A field was read if it has a value as a text; it was refused if it has none as its own type.
+    bad = [F.when(read[f.name].isNotNull() & F.col(f"`{f.name}`").isNull(), F.lit(f.name)) for f in schema.fields]
+    names = F.array_join(F.array_compact(F.array(*bad)), ", ")
+    return F.when(names != "", F.concat(F.lit("bad value: "), names)).otherwise("not a whole record")
+
+
+def read_checked(spark: SparkSession, path: str, schema, source: str, fmt: str = "csv", **options) -> Checked:
+    """A landed CSV or JSON table, its bad records apart. Nothing is inferred, and one scan serves either side.
+
+    A record is bad if a field does not fit its type, or if it is cut short, has too many fields or is no JSON.
+    A missing folder, or one without files, gives empty frames.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError("records are checked in csv and json only; other formats carry types of their own")
+    if not _has_data(spark, path):
+        return Checked(schemas.empty(spark, schema), schemas.empty(spark, REJECTED))
+    options = ({"header": True} if fmt == "csv" else {}) | options
+    wide = schemas.T.StructType([*schema.fields, schemas.T.StructField(_RECORD, schemas.T.StringType())])
+    reader = spark.read.options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD)
+    read = reader.schema(wide).format(fmt).load(path)
+    plain = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k != "header"}
+    # A parser that is asked for few columns checks only those: every column takes part in either side's condition.
+    parsed = F.xxhash64(*[F.col(f"`{f.name}`") for f in schema.fields]) >= F.lit(-(2**63))
+    rejected = read.where(F.col(_RECORD).isNotNull() & parsed).select(
+        F.lit(source).alias("source"), F.input_file_name().alias("file"), _reason(schema, fmt, plain).alias("reason"),
+        F.col(_RECORD).alias("record"),
+    )
+    good = read.where(F.col(_RECORD).isNull() & parsed)
+    return Checked(good.select(*[F.col(f"`{f.name}`") for f in schema.fields]), rejected)
+
+
+def quarantined(checked: Checked, folder: str) -> Checked:
+    """Write the rejected records below ``folder``, a new part of it each time, and go on with what was written."""
+    path = f"{folder.rstrip('/')}/{uuid4().hex}"
+    checked.rejected.write.partitionBy("source").parquet(path)
+    spark = checked.rows.sparkSession
+    return Checked(checked.rows, spark.read.schema(REJECTED).parquet(path).select(*REJECTED.names))
+
+
 def read_jdbc_table(spark: SparkSession, url: str, table: str, schema, split_on: str | None = None,
                     bounds: tuple[int, int] | None = None, splits: int = 1, **options) -> DataFrame:
     """An operational table over JDBC, read in ``splits`` key ranges when a split column is given."""
@@ -59,17 +124,22 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     return summary.getLength() > 0
 
 
-def read_sources(spark: SparkSession, path: str, fmt: str = "parquet") -> Landed:
-    """All operational tables and normalised feeds below one folder."""
+FEEDS = {"freight": ("freight_invoices", schemas.FREIGHT), "listings": ("listings", schemas.LISTINGS), "weather": ("weather", schemas.WEATHER)}
+
+
+def read_sources(spark: SparkSession, path: str, fmt: str = "parquet", quarantine: str | None = None) -> Landed:
+    """All operational tables and normalised feeds below one folder.
+
+    With ``quarantine``, bad records of the CSV feeds are written there instead of stopping the read, and the gate
+    of a build counts them.
+    """
     base = path.rstrip("/")
     tables = {n: read_table(spark, f"{base}/{n}", s, fmt) for n, s in schemas.OPERATIONAL.items()}
-    return Landed(
-        spark,
-        **tables,
-        freight=read_optional(spark, f"{base}/freight_invoices", schemas.FREIGHT),
-        listings=read_optional(spark, f"{base}/listings", schemas.LISTINGS),
-        weather=read_optional(spark, f"{base}/weather", schemas.WEATHER),
-    )
+    if quarantine is None:
+        return Landed(spark, **tables, **{n: read_optional(spark, f"{base}/{f}", s) for n, (f, s) in FEEDS.items()})
+    feeds = {n: quarantined(read_checked(spark, f"{base}/{f}", s, n), f"{quarantine.rstrip('/')}/{n}") for n, (f, s) in FEEDS.items()}
+    rejected = reduce(DataFrame.unionByName, [c.rejected for c in feeds.values()])
+    return Landed(spark, **tables, **{n: c.rows for n, c in feeds.items()}, rejected=rejected)
 
 
 # -- partner feed ---------------------------------------------------------------------

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens import schemas
+from depotlens.operators import quality
 from depotlens.sources import landed, listings
 from depotlens.streaming import invoices
 
@@ -154,6 +155,48 @@ def test_unescape_agrees_with_the_standard_library(spark, text):
     assert got == unescape(text)
 
 
+# -- rejected records ---------------------------------------------------------------------
+
+
+def test_bad_records_go_into_quarantine(spark, tmp_path):
+    folder = tmp_path / "weather"
+    folder.mkdir()
+    (folder / "a.csv").write_text('city,date,temp_max_c,precipitation_mm\nPune,2026-01-01,30.5,0.0\nPune,2026-01-02,hot,0.0\nGoa\n')
+    (folder / "b.csv").write_text('city,date,temp_max_c,precipitation_mm\n"Big, Bay",2026-01-01,,\nGoa,01.02.26,x,1.0,9\n,,,\n')
+    read = landed.quarantined(landed.read_checked(spark, str(folder), schemas.WEATHER, "weather"), str(tmp_path / "q"))
+    good = sorted((r.city or "", r.temp_max_c) for r in read.rows.collect())
+    assert good == [("", None), ("Big, Bay", None), ("Pune", 30.5)] and read.rows.schema == schemas.WEATHER
+    bad = sorted((r.file.rsplit("/", 1)[1], r.reason, r.record) for r in read.rejected.collect())
+    assert bad == [
+        ("a.csv", "bad value: temp_max_c", "Pune,2026-01-02,hot,0.0"), ("a.csv", "not a whole record", "Goa"),
+        ("b.csv", "bad value: date, temp_max_c", "Goa,01.02.26,x,1.0,9"),
+    ]
+    assert read.rows.select("city").count() == 3 and read.rejected.select("source").count() == 3
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "x.json").write_text('{"city": "Pune", "date": "2026-01-01", "temp_max_c": 1}\n{"city": "Goa", "temp_max_c": "warm"}\n{broken\n')
+    read = landed.read_checked(spark, str(tmp_path / "j"), schemas.WEATHER, "weather", "json")
+    assert [r.city for r in read.rows.collect()] == ["Pune"]
+    assert sorted(r.reason for r in read.rejected.collect()) == ["bad value: temp_max_c", "not a whole record"]
+    none = landed.read_checked(spark, str(tmp_path / "none"), schemas.WEATHER, "weather")
+    assert none.rows.count() == none.rejected.count() == 0
+    with pytest.raises(ValueError, match="csv and json"):
+        landed.read_checked(spark, str(folder), schemas.WEATHER, "weather", "parquet")
+
+
+def test_the_gate_warns_of_rejected_records(spark, mini):
+    from dataclasses import replace
+
+    bad = spark.createDataFrame([("weather", "f", "r", "x")] * 2 + [("freight", "f", "r", "x")], landed.REJECTED)
+    days = spark.createDataFrame([("Pune", date(2026, 1, 1), 1.0, 0.0)] * 198, schemas.WEATHER)
+    sources = replace(mini(weather=days).landed, rejected=bad)
+    sources = replace(sources, freight=schemas.empty(spark, schemas.FREIGHT), listings=schemas.empty(spark, schemas.LISTINGS))
+    got = {r.check_name: (r.hard, r.passed, r.observed) for r in quality.rejected_report(sources).collect()}
+    assert got == {
+        "rejected_records:weather": (False, True, 2), "rejected_records:freight": (False, False, 1), "rejected_records:listings": (False, True, 0),
+    }
+    assert quality.rejected_report(mini().landed) is None
+
+
 # -- incremental ingest -------------------------------------------------------------------
 
 
