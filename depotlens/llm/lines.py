@@ -78,17 +78,23 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, place, line = [], [], []
+        doc, place, line, head, tail = [], [], [], [], []
         for i, text, places in zip(*(batch.column(k).to_pylist() for k in range(3))):
             lines = (text or "").split("\n")
             for p in places:
-                if p < len(lines):
-                    doc.append(i), place.append(p), line.append(lines[p])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64()), pa.array(line, pa.string())], ["doc", "place", "line"])
+                if p["place"] < len(lines):
+                    doc.append(i), place.append(p["place"]), line.append(lines[p["place"]])
+                    head.append(p["head"]), tail.append(p["tail"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+        columns = [pa.array(c, kind) for c, kind in zip((doc, place, line, head, tail), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "place", "line", "head", "tail"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per line one key for itself (place -1) and one for each deleted character."""
+    """Per line one key for itself (cut -1) and one for each deleted character that may be where a candidate differs.
+
+    Lines that share their first half differ behind it, and the other way round; with both shared, anywhere.
+    """
     for piece in in_pieces(batches, "line", 200_000):
         data, offsets = textops.text_bytes(piece.column(2))
         sums, inverse = textops.running(data)
@@ -97,14 +103,20 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.append(starts[1:], len(data))
         begin, end = offsets[row], offsets[row + 1]
         width = after - starts
+        at = np.arange(len(row)) - np.searchsorted(row, np.arange(len(piece)))[row]
+        chars = np.bincount(row, minlength=len(piece))[row]
+        head, tail = (piece.column(k).to_numpy(zero_copy_only=False)[row] for k in (3, 4))
+        half = (chars - 1) // 2
+        meant = (head & (at >= half)) | (tail & (at < chars - half))
+        starts, row, after, at = starts[meant], row[meant], after[meant], at[meant]
+        begin, end, width = begin[meant], end[meant], width[meant]
         # What follows the deleted character moves ahead by its bytes.
         moved = (sums[end] - sums[after]) * inverse[begin] * inverse[width]
         shorter = textops.piece_hash(sums, inverse, begin, starts) + moved
         size = (end - begin - width).astype(np.uint64)
         own = textops.piece_hash(sums, inverse, offsets[:-1], offsets[1:])
         key = textops.mixed(np.concatenate([own + np.diff(offsets).astype(np.uint64), shorter + size])).view(np.int64)
-        first = np.searchsorted(row, np.arange(len(piece)))
-        cut = np.concatenate([np.full(len(piece), -1), np.arange(len(row)) - first[row]])
+        cut = np.concatenate([np.full(len(piece), -1), at]).astype(np.int32)
         take = pa.array(np.concatenate([np.arange(len(piece)), row]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(key), pa.array(cut), piece.column(0).take(take), piece.column(1).take(take)], ["key", "cut", "doc", "place"]
@@ -136,17 +148,18 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, texts: DataFrame, least_chars: int) -> DataFrame:
     """``spot`` of the distinct ``lines`` that have an earlier line within one edit."""
-    keys = F.array("even_head", "even_tail", "odd_head", "odd_tail")
-    met = lines.where(F.col("chars") >= least_chars).select("spot", F.explode(keys).alias("key"))
+    keys = [F.struct(F.col(f"{n}_{end}").alias("key"), F.lit(end == "head").alias("head")) for n in ("even", "odd") for end in ("head", "tail")]
+    met = lines.where(F.col("chars") >= least_chars).select("spot", F.explode(F.array(*keys)).alias("k")).select("spot", "k.*")
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = met.join(shared.hint("shuffle_hash"), "key", "left_semi").select("spot").distinct()
-    wanted = written(wanted.select(*[c.alias(n) for n, c in _doc_and_place("spot").items()]), "lines-wanted")
-    places = wanted.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    wanted = met.join(shared.hint("shuffle_hash"), "key", "left_semi").groupBy("spot")
+    wanted = wanted.agg(F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail"))
+    wanted = written(wanted.select(*[c.alias(n) for n, c in _doc_and_place("spot").items()], "head", "tail"), "lines-wanted")
+    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("place", "head", "tail")).alias("places"))
     with_order = texts.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
     some = sifted(with_order, bloom_filter(wanted.select("doc"))).join(places, "doc").select("doc", "text", "places")
-    near = written(arrow(some, _wanted_lines, "doc long, place long, line string"), "lines-near")
-    variants = arrow(near, _variants, "key long, cut long, doc long, place long").select("key", "cut", _spot().alias("spot"))
-    variants = written(variants, "variants")
+    near = written(arrow(some, _wanted_lines, "doc long, place long, line string, head boolean, tail boolean"), "lines-near")
+    # Made twice from the written lines: they take far less room than their variants.
+    variants = arrow(near, _variants, "key long, cut int, doc long, place long").select("key", "cut", _spot().alias("spot"))
     # Under a key: the line that is the key itself, the earliest of those cut down to it, and the earliest per place cut.
     per_cut = variants.groupBy("key", "cut").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n"))
     whole, part = F.when(F.col("cut") < 0, F.col("first")), F.when(F.col("cut") >= 0, F.col("first"))
@@ -158,7 +171,7 @@ def near_lines(lines: DataFrame, texts: DataFrame, least_chars: int) -> DataFram
     at = near.select(_spot().alias("spot"), "line")
     checked = pairs.join(at, "spot").join(at.select(F.col("spot").alias("other"), F.col("line").alias("earlier")), "other")
     found = written(checked.where(F.levenshtein("line", "earlier", 1) >= 0).select("spot").distinct(), "lines-dropped")
-    dropped(wanted, near, variants)
+    dropped(wanted, near)
     return found
 
 
