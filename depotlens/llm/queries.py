@@ -106,10 +106,10 @@ QUERIES: dict[str, Query] = {
 OP12_SQL = """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label,
-         list_transform(embedding, c -> FLOOR(256 * CAST(c AS DOUBLE))) x
+         list_transform(embedding, lambda c: FLOOR(256 * CAST(c AS DOUBLE))) x
   FROM embeddings
   WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 scores AS (
   SELECT a.vec_id anchor_id, b.vec_id, a.label = b.label same, CAST(list_dot_product(a.x, b.x) AS BIGINT) score
   FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
@@ -128,9 +128,9 @@ QUALIFY "rank" <= 3
 # and does so on no table that is small enough for this.
 OP11_SQL = """
 WITH RECURSIVE usable AS (
-  SELECT vec_id, label, list_transform(embedding, c -> CAST(c AS DOUBLE)) v FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-    AND len(list_filter(embedding, c -> c <> 0)) > 0),
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 links AS (
   SELECT a.vec_id u, b.vec_id v FROM usable a JOIN usable b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
