@@ -38,7 +38,7 @@ NO_ARTICLE = set("aside button canvas datalist dialog footer form head header if
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDER = set("aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-NEVER_BY_NAME = HEADING | {"p", "html", "body", "main"}
+NEVER_BY_NAME = HEADING | {"html", "body", "main"}
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"},
@@ -58,7 +58,7 @@ FORM_NAMES = set("""
 OTHERS_NAMES = set("comment comments disqus recommended related respond".split())  # these hold articles of others
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>""", re.S
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")

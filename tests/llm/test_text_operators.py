@@ -79,6 +79,16 @@ def test_blocks_of_a_page():
     assert blocks("<div>" * 3000 + "deep" + "</div>" * 10) == ["deep"]
 
 
+def test_named_paragraphs_and_stray_quotes():
+    text = "<p>Article text one, long enough.</p><p>And two.</p>"
+    want = ["Article text one, long enough.", "And two."]
+    assert blocks(f"<article>{text}<p class='ad'>Buy now</p><p class=advert>Or now</p></article>") == want
+    assert blocks(f"<article>{text}<p class='social-policy'>Kept</p></article>") == [*want, "Kept"]
+    assert blocks("<p data-x=it's>Article text one.</p><p>Text two, it's here > end.</p>") == ["Article text one.", "Text two, it's here > end."]
+    assert blocks("<!--><p>B</p><p>C -->") == ["B", "C -->"] and blocks("<!-- a --><p>D</p><!--->x") == ["D", "x"]
+    assert blocks('<p title="a>b" lang=en">E</p>') == ["E"]
+
+
 def test_names_of_elements_with_the_article():
     text = "<p>A long enough article to be the most of this page.</p>"
     for page in (
