@@ -3,9 +3,10 @@
 Every page is read into elements. Elements that hold blocks are hashed with all they contain, bottom up, and the
 hashes are counted per host in Spark: one that recurs across many different pages of the host belongs to its template
 and is deleted from all of them. Elements that are no article by their kind (menus, forms, scripts) or by the names
-sites give them (adverts, notices, comments) go as well; a name counts if all its words say so, and never on headings,
-paragraphs or what holds the article or most of the text. What stays of the page's main part is its text: one line per
-block, white space within a block as one space, character references decoded.
+sites give them (adverts, notices, comments) go as well, however much of the page they make; a name counts if all its
+words say so, and never on headings. A form, or an element named as a frame (popup, widget), stays if it holds an article
+or if there is no prose outside such. What stays of the page's main part is its text: one line per block, white space
+within a block as one space, character references decoded. A page is read in time proportional to its length.
 
 Paragraphs and headings of the main part are never deleted for recurring, nor is an element that holds the article:
 articles quote each other. Any other element goes that stands on ``MANY_PAGES`` pages of the host, however many the host
@@ -19,6 +20,7 @@ one, so repeated page_ids stay repeated.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -34,7 +36,7 @@ MANY_PAGES = 5  # of a host, with different content
 # Elements of HTML by what they mean for reading.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("iframe noembed noframes noscript script style template textarea title xmp".split())
-NO_ARTICLE = set("aside button canvas datalist dialog footer form head header iframe label menu nav noscript object script select style svg template title video audio".split())
+NO_ARTICLE = set("aside button canvas datalist dialog footer form head header iframe menu nav noscript object script select style svg template title video audio".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDER = set("aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -56,6 +58,8 @@ FORM_NAMES = set("""
     link links list main outer panel posts primary right row secondary section site slot sticky top unit wrap wrapper
 """.split())
 OTHERS_NAMES = set("comment comments disqus recommended related respond".split())  # these hold articles of others
+FRAME_NAMES = set("banner header masthead modal overlay paywall popup widget".split())  # these may be put around an article
+LISTS = ("ul", "ol", "dl", "table", "select")  # an item closes no item outside its list
 
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>""", re.S
@@ -70,33 +74,42 @@ def _names_no_article(name: str) -> bool:
     return not words.isdisjoint(NO_ARTICLE_NAMES) and words <= NO_ARTICLE_NAMES | FORM_NAMES
 
 
+@lru_cache(1 << 16)
+def _names_frame(name: str) -> bool:
+    return set(_WORD.findall(name)) <= FRAME_NAMES | FORM_NAMES
+
+
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Page:
     """The elements of a page in order. An item is a text, or the number of an element that begins there.
 
-    ``tag``, ``names``, ``end`` (the item after the element), ``parent``, ``digest``, ``size`` (characters) and ``net`` (without
-    those in elements that are no article by their kind) by element; ``prose`` is the ``net`` of the page.
+    ``tag``, ``names``, ``named`` (its names or its being a form tell that it is no article), ``begin`` and ``end`` (the items
+    of the element and after it), ``parent``, ``digest``, ``size`` (characters) and ``own`` (it has text that is no heading
+    and in no element that is no article by its kind or names) by element; ``prose`` is the ``own`` of the page.
     """
 
     def __init__(self, html: str):
         self.items: list[str | int] = []
         self.tag: list[str] = []
         self.names: list[str] = []
+        self.named: list[bool] = []
+        self.begin: list[int] = []
         self.end: list[int] = []
         self.parent: list[int] = []
         self.digest: list[int] = []
         self.size: list[int] = []
         self._open: list[int] = []
-        self._open_tags: list[str] = []
+        self._depths: dict[str, list[int]] = {}  # of the open elements of a tag
         self._inside: list[list[str]] = [[]]
-        self.net: list[int] = []
+        self.own: list[bool] = []
         self._sizes: list[int] = [0]
-        self._nets: list[int] = [0]
-        at, n = 0, len(html)
+        self._owns: list[bool] = [False]
+        self._headings = 0  # that are open
+        at, n, last = 0, len(html), html.rfind(">")
         while at < n:
-            token = _TOKEN.search(html, at)
+            token = _TOKEN.search(html, at) if at <= last or html.find("<!", at) >= 0 or html.find("<?", at) >= 0 else None
             if token is None:
                 self._text(html[at:])
                 break
@@ -107,7 +120,7 @@ class Page:
                 continue
             tag = token[2].lower()
             if token[1]:
-                if tag in self._open_tags:
+                if self._depths.get(tag):
                     while self._close() != tag:
                         pass
                 continue
@@ -121,7 +134,7 @@ class Page:
                 self._close()
         while self._open:
             self._close()
-        self.prose = self._nets[0]
+        self.prose = self._owns[0]
 
     def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -130,68 +143,79 @@ class Page:
         if plain:
             self._inside[-1].append(plain)
             self._sizes[-1] += len(plain)
-            self._nets[-1] += len(plain)
+            self._owns[-1] = self._owns[-1] or not self._headings
 
     def _make_room(self, tag: str) -> None:
         """Close what can't hold the new element: a paragraph before a block, an item before the next."""
-        shut = CLOSED_BY.get(tag)
-        if shut:
-            tags = self._open_tags
-            fence = max((i for i, t in enumerate(tags) if t in ("ul", "ol", "dl", "table", "select")), default=-1)
-            depth = next((i for i in range(len(tags) - 1, fence, -1) if tags[i] in shut), None)
-            if depth is not None:
-                while len(self._open) > depth:
-                    self._close()
+        if tag in CLOSED_BY:
+            depth = self._deepest(CLOSED_BY[tag])
+            if depth > self._deepest(LISTS):
+                self._close_to(depth)
         if tag in BLOCK:
-            tags = self._open_tags
-            depth = next((i for i in range(len(tags) - 1, -1, -1) if tags[i] == "p" or tags[i] in HOLDER), None)
-            if depth is not None and tags[depth] == "p":
-                while len(self._open) > depth:
-                    self._close()
+            depth = self._deepest(("p",))
+            if depth > self._deepest(HOLDER):
+                self._close_to(depth)
+
+    def _deepest(self, tags) -> int:
+        """The depth of the last open element of one of ``tags``, or -1."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=-1)
+
+    def _close_to(self, depth: int) -> None:
+        while len(self._open) > depth:
+            self._close()
 
     def _begin(self, tag: str, attributes: str) -> None:
         number = len(self.tag)
         self.items.append(number)
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if "=" in attributes else ""
-        self.tag.append(tag), self.names.append(names), self.end.append(0), self.digest.append(0), self.size.append(0), self.net.append(0)
+        named = tag == "form" or (bool(names) and tag not in NEVER_BY_NAME and any(map(_names_no_article, names.split())))
+        self.tag.append(tag), self.names.append(names), self.named.append(named), self.begin.append(len(self.items) - 1), self.end.append(0)
+        self.digest.append(0), self.size.append(0), self.own.append(False)
         self.parent.append(self._open[-1] if self._open else -1)
+        self._depths.setdefault(tag, []).append(len(self._open))
         self._open.append(number)
-        self._open_tags.append(tag)
+        self._headings += tag in HEADING
         self._inside.append([])
         self._sizes.append(0)
-        self._nets.append(0)
+        self._owns.append(False)
 
     def _close(self) -> str:
         number = self._open.pop()
-        self._open_tags.pop()
-        inside, size, net = self._inside.pop(), self._sizes.pop(), self._nets.pop()
+        self._depths[self.tag[number]].pop()
+        self._headings -= self.tag[number] in HEADING
+        inside, size, own = self._inside.pop(), self._sizes.pop(), self._owns.pop()
         self.end[number] = len(self.items)
         self.size[number] = size
-        self.net[number] = net
+        self.own[number] = own
         whole = f"{self.tag[number]} {self.names[number]}\x00" + "\x01".join(inside)
         digest = self.digest[number] = xxhash.xxh64_intdigest(whole.encode("utf-8", "surrogatepass")) >> 1
         self._inside[-1].append(str(digest))
         self._sizes[-1] += size
-        if not self._by_kind(number):
-            self._nets[-1] += net
+        self._owns[-1] = self._owns[-1] or (own and not self._by_kind(number) and not self.named[number])
         return self.tag[number]
 
     def main(self) -> list[int]:
         """The outermost elements that are the page's main part, else its body, else nothing in particular."""
-        kind, gone = [self._by_kind(i) for i in range(len(self.tag))], [self._by_name(i) for i in range(len(self.tag))]
+        n = len(self.tag)
+        kind, gone = [self._by_kind(i) for i in range(n)], list(self.named)
+        others, hidden = [False] * n, [False] * n  # in elements of others' texts, in elements that are no frames
         for i, p in enumerate(self.parent):
             kind[i] = kind[i] or (p >= 0 and kind[p])
             gone[i] = gone[i] or kind[i] or (p >= 0 and gone[p])
+            hidden[i] = (p >= 0 and hidden[p]) or (self.named[i] and not self._is_frame(i))
+            others[i] = (p >= 0 and others[p]) or (self.named[i] and not OTHERS_NAMES.isdisjoint(_WORD.findall(self.names[i])))
         for wanted in ("main", "article"):
             if outer := self._outermost([i for i, t in enumerate(self.tag) if t == wanted and not gone[i]]):
                 return outer
-        # All are in elements with telling names. One that makes most of the text is the article, so is the only one if not by others.
-        inner = self._outermost([i for i, t in enumerate(self.tag) if t in ("main", "article") and not kind[i]])
-        if inner:
-            most = max(inner, key=lambda i: (self.net[i], -i))
-            if 2 * self.net[most] > self.prose or (len(inner) == 1 and not self._by_others(most)):
-                return [most]
-        return self._outermost([i for i, t in enumerate(self.tag) if t == "body" and not gone[i]])
+        # All are in elements with telling names. One alone in frames is the article; others are if there is no prose besides.
+        inner = [i for i, t in enumerate(self.tag) if t in ("main", "article") and not kind[i]]
+        framed, ours = (self._outermost([i for i in inner if not no[i]]) for no in (hidden, others))
+        body = self._outermost([i for i, t in enumerate(self.tag) if t == "body" and not gone[i]])
+        if len(framed) == 1:
+            return framed
+        if any(self.own[i] for i in body) if body else self.prose:
+            return body
+        return ours or self._outermost([i for i in inner if self.parent[i] < 0 or not others[self.parent[i]]]) or body
 
     def _outermost(self, found: list[int]) -> list[int]:
         outer, last = [], -1
@@ -201,37 +225,46 @@ class Page:
                 last = self.end[i]
         return outer
 
-    def _by_others(self, i: int) -> bool:
-        while i >= 0:
-            if self._by_name(i) and not OTHERS_NAMES.isdisjoint(_WORD.findall(self.names[i])):
-                return True
-            i = self.parent[i]
-        return False
-
     def _by_kind(self, i: int) -> bool:
         return self.tag[i] in NO_ARTICLE and self.tag[i] != "form"
 
-    def _by_name(self, i: int) -> bool:
-        """Whether the element's names, or its being a form, tell that it is no article; it may hold one all the same."""
-        tag = self.tag[i]
-        if tag == "form":
-            return True
-        return bool(self.names[i]) and tag not in NEVER_BY_NAME and any(map(_names_no_article, self.names[i].split()))
+    def _is_frame(self, i: int) -> bool:
+        return all(_names_frame(x) for x in self.names[i].split() if _names_no_article(x))
 
-    def _no_article(self, i: int, whole: int) -> bool:
-        """Whether an element of the main part, of ``whole`` characters, is no article; a header may hold the title."""
-        if self._by_kind(i):
-            return self.tag[i] != "header"
-        return self._by_name(i) and 2 * self.net[i] <= whole
+    def _framed(self, main: list[int], article: list[bool]) -> set[int]:
+        """Forms and frames that stay: no prose of the main part is outside such, or they hold an article that it is not itself."""
+        n, roots = len(self.tag), set(main)
+        alive, bare, stay = [False] * n, [False] * n, set()
+        all_bare = not (any(self.own[i] for i in main) if main else self.prose)
+        for i, p in enumerate(self.parent):
+            if i in roots or (not main and p < 0):
+                inside, lacking = True, all_bare
+            else:
+                inside, lacking = p >= 0 and alive[p], p >= 0 and bare[p]
+            if i not in roots and inside and (self.named[i] or self._by_kind(i)):
+                if self.named[i] and not self._by_kind(i):
+                    inside = self._is_frame(i) and ((lacking and self.size[i] > 0) or (article[i] and not self._in_article(i, main)))
+                    lacking = not self.own[i]
+                    if inside:
+                        stay.add(i)
+                else:
+                    inside = self.tag[i] == "header"
+            alive[i], bare[i] = inside, lacking
+        return stay
+
+    def _in_article(self, i: int, main: list[int]) -> bool:
+        """Whether ``i`` is in a part of ``main`` that is an article itself."""
+        at = bisect_right(main, i) - 1
+        return at >= 0 and self.tag[main[at]] == "article"
 
     def content(self, main: list[int]) -> int:
         return xxhash.xxh64_intdigest(" ".join(str(self.digest[i]) for i in main)) >> 1
 
     def holders(self, main: list[int]) -> set[int]:
         """Digests of the elements of the main part that may be a template: they hold text, but no article."""
-        within, article = [not main] * len(self.tag), self._articles()
+        within, article, roots = [not main] * len(self.tag), self._articles(), set(main)
         for i, p in enumerate(self.parent):
-            within[i] = within[i] or (p >= 0 and (within[p] or p in main))
+            within[i] = within[i] or (p >= 0 and (within[p] or p in roots))
         return {self.digest[i] for i, t in enumerate(self.tag) if within[i] and t in HOLDER and self.size[i] and not article[i]}
 
     def _articles(self) -> list[bool]:
@@ -244,7 +277,7 @@ class Page:
 
     def blocks(self, main: list[int], template: set[int]) -> list[str]:
         article = self._articles()
-        prose = sum(self.net[i] for i in main) if main else self.prose
+        framed = self._framed(main, article)
         out: list[str] = []
         now: list[str] = []
         ends: list[tuple[int, bool]] = []  # of open elements: the item after them, and whether only headings count there
@@ -255,7 +288,7 @@ class Page:
                 out.append(block)
             now.clear()
 
-        roots = [(self.items.index(i) + 1, self.end[i]) for i in main] if main else [(0, len(self.items))]
+        roots = [(self.begin[i] + 1, self.end[i]) for i in main] if main else [(0, len(self.items))]
         for at, stop in roots:
             over()
             ends.clear()
@@ -271,7 +304,9 @@ class Page:
                     continue
                 tag = self.tag[item]
                 recurs = tag in HOLDER and self.digest[item] in template and not article[item]
-                if recurs or self._no_article(item, prose):
+                # A header may hold the title.
+                no_article = tag != "header" if self._by_kind(item) else self.named[item] and item not in framed
+                if recurs or no_article:
                     if tag in BLOCK:
                         over()
                     at = self.end[item]

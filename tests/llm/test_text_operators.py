@@ -102,6 +102,32 @@ def test_names_of_elements_with_the_article():
     assert blocks(f"<body>{text}<section id=comments><article>bad</article></section></body>") == [text[3:-4]]
 
 
+def test_comments_and_notices_go_whatever_their_share():
+    many = "".join(f"<p>A reader's long comment, number {i}.</p>" for i in range(5))
+    for name in ("class='comments'", "id='comments'", "class=cookie-notice"):
+        assert blocks(f"<article><p>One line.</p><div {name}>{many}</div></article>") == ["One line."]
+        assert blocks(f"<body><p>One line.</p><div {name}><article>{many}</article></div></body>") == ["One line."]
+    frames = "<div class='cookie-notice'>We use a lot of cookies here.</div><div class='widget'><p>Story</p></div>"
+    assert blocks(f"<body>{frames}</body>") == ["Story"] and blocks(f"<body><p>Text</p>{frames}</body>") == ["Text"]
+    assert blocks("<body><h1>T</h1><form><p>Story</p><div class='sidebar'>links</div></form></body>") == ["T", "Story"]
+    assert blocks("<main><p>a</p><label>b</label><div class=modal><article>c</article></div></main>") == ["a", "b", "c"]
+    assert blocks("<article><p>a</p><div class=popup><article>teaser</article></div></article>") == ["a"]
+
+
+def test_pages_take_time_by_their_length():
+    """Ten times the elements, open or side by side, in far less than a hundred times the time."""
+    from time import process_time
+
+    def took(html):
+        at = process_time()
+        page = pages.Page(html)
+        page.holders(page.main()), blocks(html)
+        return process_time() - at
+
+    for part in ("<article><p>x</p></article>", "<span>", "<li>x", "<div><p>", "<a ", "<div class=comments><article>y</article>"):
+        assert took(part * 20_000) < 40 * max(took(part * 2_000), 0.02), part
+
+
 def test_templates_are_deleted_per_host(spark):
     def page(i, host, quote):
         box = f"<div class='x'><p>Read our {host} mail</p></div>"
