@@ -1,15 +1,17 @@
 """Chat formatting: tool calls linked to their results, put in order, checked against schemas, written canonically.
 
-Calls and results meet in a hash join on their identifier. A call may name calls that must come before it. Its place is
-the largest turn among itself and all it depends on, directly or not, and among equals the number of dependencies that
-lead up to it; both are found by rounds of joins over the calls whose place still changes, which are none if every call
-already stands after those it depends on. Calls that depend on themselves, directly or not, are marked, as are calls
-between two groups of such; their dependencies on each other don't count for the order. Arguments are checked against the
-JSON schema of the tool, and every call with its result becomes one canonical JSON object: sorted keys, no white space.
-
-Nulls and empties: a null identifier is linked with nothing; null or unreadable arguments are an error of the call.
-Calls (or results) that repeat an identifier are one, the one with the smallest turn and content, with their number;
-so an identifier that holds a large part of all rows is summed up before it is joined.
+Calls and results meet in a hash join on their conversation and identifier. A call may name calls of its conversation that
+must come before it. Its place is the largest turn among itself and all it depends on, directly or not, and among equals
+the number of dependencies that lead up to it; both are found by rounds of joins over the calls whose place still changes,
+which are none if every call already stands after those it depends on. Calls that depend on themselves, directly or not,
+are marked, as are calls between two groups of such; their dependencies on each other don't count for the order. Arguments
+are checked against the JSON schema of the tool, and every call with its first result becomes one canonical JSON object:
+sorted keys, no white space. Results without a call, and further results of a call, are rows of their own.
+
+Nulls and empties: a null identifier is linked with nothing and left out; a null conversation is one of its own; null or
+unreadable arguments are an error of the call, a null result is a result. Calls that repeat an identifier within their
+conversation are one, the one with the smallest turn and content, with their number, as are equal results; so an
+identifier that holds a large part of all rows is summed up before it is joined.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow, dropped, written
 
@@ -84,10 +86,13 @@ def calls_of(messages: DataFrame) -> DataFrame:
 
 
 def results_of(messages: DataFrame) -> DataFrame:
-    """Results of a table of messages: an assistant's turn answers the turn before it."""
+    """Results of a table of messages: an assistant's turn answers the turn before it.
+
+    One that follows no user's turn is a result without a call.
+    """
     asked = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
     spoken = messages.where("role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL")
-    return spoken.select(asked.alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
+    return spoken.select("conv_id", asked.alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
 
 
 def _knots(edges: DataFrame, late: DataFrame) -> DataFrame | None:
@@ -153,50 +158,82 @@ def _order(calls: DataFrame) -> DataFrame:
     return now.join(marked, "call_id", "left").select("call_id", "order_turn", "order_step", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
+_COLUMNS = (
+    "kind string, conv_id long, call_id string, turn long, n_copies long, n_results long, linked boolean, n_missing long, order_turn long, "
+    "order_step long, cyclic boolean, valid boolean, errors string, record string"
+)
+_PLAIN = [c.split()[0] for c in _COLUMNS.split(", ")][:-3]
+
+
 def _formatted(schemas: dict):
-    names = ["conv_id", "call_id", "turn", "n_copies", "linked", "n_missing", "order_turn", "order_step", "cyclic", "valid", "errors", "record"]
+    """Checks and records of calls and results; a result's row has the errors that are known of it."""
+
+    def of(r: dict) -> tuple[list[str], dict]:
+        if r["kind"] != "call":
+            return [r["kind"].replace("_", " ")], {"id": r["call_id"], "result": r["content"]}
+        try:
+            arguments = json.loads(r["arguments"])
+            schema = schemas.get(r["name"])
+            found = ["no such tool"] if schema is None else problems(arguments, schema)
+        except (TypeError, ValueError):
+            arguments, found = r["arguments"], ["arguments are no JSON"]
+        return found, {"id": r["call_id"], "name": r["name"], "arguments": arguments, "after": r["after"], "result": r["content"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                try:
-                    arguments = json.loads(r["arguments"])
-                    schema = schemas.get(r["name"])
-                    found = ["no such tool"] if schema is None else problems(arguments, schema)
-                except (TypeError, ValueError):
-                    arguments, found = r["arguments"], ["arguments are no JSON"]
-                record = {"id": r["call_id"], "name": r["name"], "arguments": arguments, "after": r["after"], "result": r["content"]}
-                plain = [r[k] for k in names[:9]]
-                rows.append((*plain, not found, "; ".join(found), canonical(record)))
-            kinds = [batch.schema.field(k).type for k in names[:9]] + [pa.bool_(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            done = [of(r) for r in batch.to_pylist()]
+            ends = [pa.array([not e for e, _ in done], pa.bool_()), pa.array(["; ".join(e) for e, _ in done], pa.string()),
+                    pa.array([canonical(r) for _, r in done], pa.string())]
+            plain = [batch.column(batch.schema.get_field_index(k)) for k in _PLAIN]
+            yield pa.RecordBatch.from_arrays([*plain, *ends], [*_PLAIN, "valid", "errors", "record"])
 
     return run
 
 
+def _key(call_id: Column) -> Column:
+    """What a call is known by: its conversation and its identifier."""
+    return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("/"), call_id)
+
+
+def _further(each: DataFrame, first: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the results that no call carries: those besides a call's first, and all of identifiers without a call."""
+    carried = first.join(known, "key", "left_semi").select("key", F.col("r.turn").alias("t"), F.col("r.content").alias("c"))
+    rest = each.join(carried, (each["key"] == carried["key"]) & each["turn"].eqNullSafe(F.col("t")) & each["content"].eqNullSafe(F.col("c")), "left_anti")
+    rest = rest.join(known.withColumn("known", F.lit(True)), "key", "left")
+    linked_, zero = F.coalesce("known", F.lit(False)), F.lit(0).cast("long")
+    return rest.select(
+        F.when(linked_, "further_result").otherwise("result_without_call").alias("kind"), "conv_id", "call_id", "turn", "n_copies", zero.alias("n_results"),
+        linked_.alias("linked"), zero.alias("n_missing"), F.col("turn").alias("order_turn"), zero.alias("order_step"), F.lit(False).alias("cyclic"),
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("array<string>").alias("after"), "content",
+    )
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: dict = REPLY) -> DataFrame:
-    """One row per call identifier: whether it is linked, its place, what is wrong with its arguments, and its record.
+    """One row per call and per result that no call carries, told apart by ``kind``.
 
-    ``calls`` (conv_id, call_id, turn, name, arguments, after) and ``results`` (call_id, turn, content).
+    A ``call`` has its place, its first result, the number of different results, what is wrong with its arguments, and its
+    record; a ``further_result`` or ``result_without_call`` stands at its own turn and is not valid.
+    ``calls`` (conv_id, call_id, turn, name, arguments, after) and ``results`` (conv_id, call_id, turn, content).
     """
-    once = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(
-        F.min(F.struct("turn", "name", "arguments", "after", "conv_id")).alias("c"), F.count(F.lit(1)).alias("n_copies")
+    keyed = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", "turn", "name", "arguments", F.coalesce("after", F.array()).alias("after"))
+    once = keyed.withColumn("key", _key(F.col("call_id"))).groupBy("key", "conv_id", "call_id").agg(
+        F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("n_copies")
     )
-    once = written(once.select("c.conv_id", "call_id", "c.turn", "c.name", "c.arguments", F.coalesce("c.after", F.array()).alias("after"), "n_copies"), "calls")
-    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    answer = answer.select("call_id", "r.content", F.lit(True).alias("answered"))
-    known = once.select(F.col("call_id").alias("needs"), F.lit(1).alias("known"))
-    missing = once.select("call_id", F.explode("after").alias("needs")).join(known, "needs", "left_anti").groupBy("call_id").agg(
-        F.count(F.lit(1)).alias("n_missing")
-    )
-    joined = once.join(answer, "call_id", "left").join(missing, "call_id", "left").join(_order(once), "call_id")
+    once = written(once.select("key", "conv_id", "call_id", "c.turn", "c.name", "c.arguments", "c.after", "n_copies"), "calls")
+    each = results.where("call_id IS NOT NULL").select("conv_id", "call_id", "turn", "content", _key(F.col("call_id")).alias("key"))
+    each = each.groupBy("key", "conv_id", "call_id", "turn", "content").agg(F.count(F.lit(1)).alias("n_copies"))
+    first = each.groupBy("key").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    answer = first.select("key", "r.content", "n_results")
+    # The keys of what a call names, in its own conversation.
+    graph = once.select(F.col("key").alias("call_id"), "turn", F.transform("after", _key).alias("after"))
+    known = once.select("key")
+    missing = graph.select("call_id", F.explode("after").alias("needs")).join(known.withColumnRenamed("key", "needs"), "needs", "left_anti")
+    missing = missing.groupBy(F.col("call_id").alias("key")).agg(F.count(F.lit(1)).alias("n_missing"))
+    order = _order(graph).withColumnRenamed("call_id", "key")
+    joined = once.join(answer, "key", "left").join(missing, "key", "left").join(order, "key")
     ready = joined.select(
-        "conv_id", "call_id", "turn", "n_copies", F.coalesce("answered", F.lit(False)).alias("linked"),
-        F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"), "order_turn", "order_step", "cyclic", "name", "arguments", "after", "content",
+        F.lit("call").alias("kind"), "conv_id", "call_id", "turn", "n_copies", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        F.col("n_results").isNotNull().alias("linked"), F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"),
+        "order_turn", "order_step", "cyclic", "name", "arguments", "after", "content",
     )
-    columns = (
-        "conv_id long, call_id string, turn long, n_copies long, linked boolean, n_missing long, order_turn long, order_step long, "
-        "cyclic boolean, valid boolean, errors string, record string"
-    )
-    return arrow(ready, _formatted(schemas), columns)
+    return arrow(ready.unionByName(_further(each, first, known)), _formatted(schemas), _COLUMNS)

@@ -259,9 +259,14 @@ def test_tool_calls(spark):
         ],
         "conv_id long, call_id string, turn long, name string, arguments string, after array<string>",
     )
-    results = spark.createDataFrame([("c1", 9, "late"), ("c1", 6, "first"), ("c9", 1, "orphan"), (None, 1, "")], "call_id string, turn long, content string")
-    got = {r.call_id: r for r in toolcalls.linked(calls, results, schema).collect()}
-    assert set(got) == {"c1", "c2", "c3", "c4", "c5", "x", "y"}
+    results = spark.createDataFrame([(1, "c1", 9, "late"), (1, "c1", 9, "late"), (1, "c1", 6, "first"), (1, "c9", 1, "orphan"), (1, None, 1, "")], "conv_id long, call_id string, turn long, content string")
+    out = toolcalls.linked(calls, results, schema).collect()
+    got, rest = {r.call_id: r for r in out if r.kind == "call"}, [r for r in out if r.kind != "call"]
+    assert sorted((r.kind, r.call_id, r.turn, r.n_copies, r.linked, r.valid, r.errors, r.record) for r in rest) == [
+        ("further_result", "c1", 9, 2, True, False, "further result", '{"id":"c1","result":"late"}'),
+        ("result_without_call", "c9", 1, 1, False, False, "result without call", '{"id":"c9","result":"orphan"}'),
+    ]
+    assert got["c1"].n_results == 2 and got["c2"].n_results == 0 and set(got) == {"c1", "c2", "c3", "c4", "c5", "x", "y"}
     place = {k: (r.order_turn, r.order_step, r.cyclic) for k, r in got.items()}
     assert place["c1"] == (5, 0, False) and place["c2"] == (5, 1, False) and place["c3"] == (5, 2, False) and place["c5"] == (6, 0, False)
     assert place["x"][2] and place["y"][2]
@@ -269,7 +274,67 @@ def test_tool_calls(spark):
     assert got["c1"].valid and got["c2"].errors == "$.b: unknown; $.a: too small" and got["y"].errors == "$.a: not integer"
     assert got["c3"].errors == got["x"].errors == "arguments are no JSON" and got["c4"].errors == "no such tool"
     assert got["c1"].record == '{"after":[],"arguments":{"a":2},"id":"c1","name":"add","result":"first"}'
-    assert toolcalls.linked(calls.limit(0), results, schema).count() == 0
+    assert toolcalls.linked(calls.limit(0), results, schema).count() == 3 and toolcalls.linked(calls.limit(0), results.limit(0), schema).count() == 0
+
+
+def test_calls_of_conversations_with_equal_identifiers(spark):
+    """Identifiers count within a conversation; null turns and contents, and a very long text."""
+    long = "word " * 200_000
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
+    calls = [(c, f"call_{i}", 2 * i, "reply", json.dumps({"text": f"{c} {i}"}), [f"call_{i - 1}"] if i else None) for c in (1, 2, None) for i in (0, 1)]
+    calls += [(3, "call_0", None, "reply", json.dumps({"text": long}), ["call_1"])]
+    results = [(1, "call_0", 1, "one"), (2, "call_0", 1, "two"), (2, "call_0", None, None), (None, "call_1", 3, long), (3, "call_1", 3, "none asked")]
+    results = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string").selectExpr("*", "1 AS key", "2 AS kind")
+    out = toolcalls.linked(spark.createDataFrame(calls, schema), results).collect()
+    got = {(r.conv_id, r.call_id): (json.loads(r.record)["result"], r.n_copies, r.n_results, r.n_missing, r.valid) for r in out if r.kind == "call"}
+    assert got == {
+        (1, "call_0"): ("one", 1, 1, 0, True), (1, "call_1"): (None, 1, 0, 0, True), (2, "call_0"): (None, 1, 2, 0, True),
+        (2, "call_1"): (None, 1, 0, 0, True), (None, "call_0"): (None, 1, 0, 0, True), (None, "call_1"): (long, 1, 1, 0, True),
+        (3, "call_0"): (None, 1, 0, 1, True),
+    }
+    assert sorted((r.kind, r.conv_id, r.call_id, r.turn) for r in out if r.kind != "call") == [
+        ("further_result", 2, "call_0", 1), ("result_without_call", 3, "call_1", 3)
+    ]
+
+
+def test_random_calls_against_brute_force(spark):
+    """Places, cycles and missing calls of random graphs over several conversations, by following every dependency."""
+    from random import Random
+
+    draw = Random(7)
+    calls = {(c, f"i{i}"): (draw.randrange(6), [f"i{draw.randrange(11)}" for _ in range(draw.choice((0, 0, 1, 1, 2)))]) for c in range(12) for i in range(10)}
+    rows = [(c, i, t, "reply", '{"text":"x"}', a) for (c, i), (t, a) in calls.items()]
+    edges = {k: {(k[0], a) for a in v[1] if (k[0], a) in calls} for k, v in calls.items()}
+
+    def above(k):
+        seen, todo = set(), list(edges[k])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += edges[x]
+        return seen
+
+    over = {k: above(k) for k in calls}
+    loops = {k for k in calls if k in over[k]}
+    # On a cycle, or between two: below one and above one.
+    cyclic = loops | {k for k in calls if over[k] & loops and any(k in over[x] for x in loops)}
+
+    def place(k):
+        free = [x for x in edges[k] if not (k in cyclic and x in cyclic)]
+        return max([(calls[k][0], 0)] + [(t, s + 1) for t, s in map(place, free)])
+
+    schema = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    out = toolcalls.linked(spark.createDataFrame(rows, schema), results).collect()
+    assert len(out) == len(calls)
+    late_only = {}
+    for r in out:
+        k = (r.conv_id, r.call_id)
+        late_only[k] = (r.cyclic, r.n_missing)
+        if k not in cyclic and not over[k] & cyclic:
+            assert (r.order_turn, r.order_step) == place(k), k
+    assert late_only == {k: (k in cyclic, sum((k[0], a) not in calls for a in calls[k][1])) for k in calls}
 
 
 def test_late_chains_and_cycles(spark):
@@ -278,7 +343,7 @@ def test_late_chains_and_cycles(spark):
         r.call_id: (r.order_turn, r.order_step, r.cyclic)
         for r in toolcalls.linked(spark.createDataFrame([(1, i, t, "reply", "{}", a) for i, t, a in rows], schema), results).collect()
     }
-    results = spark.createDataFrame([], "call_id string, turn long, content string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
     chain = [("A", 10, []), ("B", 5, ["A"]), ("C", 6, ["B"]), ("D", 7, ["C"])]
     assert place(chain) == {"A": (10, 0, False), "B": (10, 1, False), "C": (10, 2, False), "D": (10, 3, False)}
     got = place(chain + [("x", 1, ["y"]), ("y", 2, ["z"]), ("z", 2, ["x"]), ("s", 3, ["s"]), ("w", 1, ["z", "D"])])
@@ -288,8 +353,9 @@ def test_late_chains_and_cycles(spark):
 
 def test_messages_as_calls(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q\n\"é\""), (1, 2, "assistant", "a"), (1, 3, "user", ""), (None, 1, "user", "x"), (2, 0, "user", None), (2, 1, "assistant", None)]
+    rows += [(2, 2, "assistant", "on its own")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS call_id", "2 AS content")
     got = {r.call_id: r for r in toolcalls.linked(toolcalls.calls_of(df), toolcalls.results_of(df)).collect()}
-    assert set(got) == {"1:1", "1:3", "2:0"} and json.loads(got["1:1"].record)["arguments"]["text"] == 'q\n"é"'
+    assert set(got) == {"1:1", "1:3", "2:0", "2:1"} and got["2:1"].kind == "result_without_call" and json.loads(got["1:1"].record)["arguments"]["text"] == 'q\n"é"'
     assert got["1:1"].linked and got["1:1"].valid and not got["1:3"].linked and got["1:3"].errors == "$.text: too short"
     assert got["2:0"].linked and json.loads(got["2:0"].record)["result"] == ""
