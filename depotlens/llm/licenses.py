@@ -10,8 +10,9 @@ A licence file, by its name or by being mostly notice, speaks for its directory
 recognised notice of its own takes the licence of its nearest ancestor directory that has one, found by joining each
 directory's ancestors with the directories that have licences.
 
-Nulls and empties: a null or empty text has no notice; a null path has no directory and inherits nothing. Equal cosines
-go to the template, and equal licence files to the path, that comes first. Rows with equal paths are one file each.
+Nulls and empties: a null or empty text has no notice; a null path has no directory, so it inherits nothing and keeps the
+notice of its own text. Equal cosines go to the template, and equal licence files to the path, that comes first. Every
+row is a file: rows of one path with different texts have the licences of their own texts, equal rows have equal results.
 """
 
 from __future__ import annotations
@@ -100,16 +101,17 @@ def _sentences(low: Column) -> Column:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """``path``, ``notice``, ``in_line``, ``wrapped``: the distinct sentences of licensing of every file, in lower case.
+    """``file``, ``of`` (the notice's key), ``notice``, ``in_line``, ``wrapped``: the distinct sentences of licensing of every file (file, text), in lower case.
 
     A sentence ends with its line, or with its paragraph; most are found both ways.
     """
     low = F.lower("text")
     paragraphs = F.split(low, PARAGRAPHS)
     joined = F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, _WRAPPED, " ")), "\n")
-    spoken = files.where(_has_keyword(low)).select("path", _sentences(low).alias("lines"), _sentences(joined).alias("joined"))
-    each = spoken.select("path", "lines", "joined", F.explode(F.array_union("lines", "joined")).alias("notice"))
-    return each.select("path", "notice", F.array_contains("lines", F.col("notice")).alias("in_line"), F.array_contains("joined", F.col("notice")).alias("wrapped"))
+    spoken = files.where(_has_keyword(low)).select("file", _sentences(low).alias("lines"), _sentences(joined).alias("joined"))
+    each = spoken.select("file", "lines", "joined", F.explode(F.array_union("lines", "joined")).alias("notice"))
+    found = each.select("file", F.sha2("notice", 256).alias("of"), "notice", F.array_contains("lines", F.col("notice")).alias("in_line"), F.array_contains("joined", F.col("notice")).alias("wrapped"))
+    return found.distinct()  # equal rows are one file here
 
 
 def _tokens(text: Column) -> Column:
@@ -154,9 +156,9 @@ def _could_match(weights: dict[str, dict[str, float]], least: float) -> str:
 
 
 def matched_texts(files: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
-    """``path``, ``kind`` (whole, block, paragraph), ``notice_chars``, ``license``, ``cosine``, ``full`` of every unit that resembles a text or header."""
+    """``file``, ``kind`` (whole, block, paragraph), ``notice_chars``, ``license``, ``cosine``, ``full`` of every unit that resembles a text or header."""
     spark = files.sparkSession
-    low = files.where("text IS NOT NULL").select("path", F.lower("text").alias("unit"))
+    low = files.where("text IS NOT NULL").select("file", F.lower("text").alias("unit"))
     frequency = low.select(F.explode(F.array_distinct(_tokens(F.col("unit")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     frequency = written(frequency, "license-tokens")
     total = files.count()
@@ -173,8 +175,8 @@ def matched_texts(files: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
         F.array(unit("whole", F.col("unit")), unit("block", block)), F.transform(F.split("unit", PARAGRAPHS), lambda p: unit("paragraph", p))
     )
     # A unit's tokens are among those of its file, so a file that can't match holds no unit that can.
-    each = low.where(may).select("path", F.explode(units).alias("u")).select("path", "u.kind", "u.unit").where(may)
-    each = written(each.select("path", "kind", F.length(flat(F.col("unit"))).alias("chars"), "unit").withColumn("of", F.sha2("unit", 256)), "license-units")
+    each = low.where(may).select("file", F.posexplode(units).alias("place", "u")).select("file", "place", "u.kind", "u.unit").where(may)
+    each = written(each.select("file", "place", "kind", F.length(flat(F.col("unit"))).alias("chars"), "unit").withColumn("of", F.sha2("unit", 256)), "license-units")
     distinct = each.groupBy("of").agg(F.min("unit").alias("unit")).select("of", F.explode(_tokens(F.col("unit"))).alias("token"))
     counts = distinct.groupBy("of", "token").agg(F.count(F.lit(1)).alias("tf")).join(frequency, "token")
     weighted = counts.select("of", "token", ((F.log("tf") + 1) * (F.log((1 + total) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -187,32 +189,36 @@ def matched_texts(files: DataFrame, least: float = LEAST_TEXT) -> DataFrame:
     near = dots.join(norm, "of").join(template_norm, "template").select("of", "license", "full", cosine).where(F.col("cosine") >= least)
     best = near.groupBy("of").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "license", "full")).alias("best"))
     best = best.select("of", "best.license", (-F.col("best.far")).alias("cosine"), "best.full")
-    return each.join(best, "of").select("path", "kind", F.col("chars").alias("notice_chars"), "license", "cosine", "full")
+    found = each.select("file", "place", "kind", "of", F.col("chars").alias("notice_chars")).distinct()  # equal rows are one file here
+    return found.join(best, "of").select("file", "kind", "notice_chars", "license", "cosine", "full")
 
 
 def classified(found: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """``notice``, ``license``, ``cosine`` of every distinct notice that resembles a template."""
+    """``of``, ``license``, ``cosine`` of every distinct notice that resembles a template.
+
+    Tokens carry the notice's key, as a notice may be a very long sentence.
+    """
     spark = found.sparkSession
-    distinct = found.groupBy("notice").agg(F.count(F.lit(1)).alias("n"))
+    distinct = found.groupBy("of").agg(F.min("notice").alias("notice"), F.count(F.lit(1)).alias("n"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     split = lambda c: F.explode(F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1))).alias("token")
-    counts = distinct.select("notice", "n", split("notice")).groupBy("notice", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = distinct.select("of", "n", split("notice")).groupBy("of", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
     idf = counts.groupBy("token").agg(F.sum("n").alias("df"))
     idf = idf.select("token", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(idf, "token").select("notice", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = counts.join(idf, "token").select("of", "token", (F.col("tf") * F.col("idf")).alias("w"))
     template = spark.createDataFrame(list(TEMPLATES.items()), "template string, body string").select("template", split("body"))
     rare = F.log(1 + total) + 1  # of a token that no notice has
     template = template.groupBy("template", "token").agg(F.count(F.lit(1)).alias("tf")).join(idf, "token", "left")
     template = template.select("template", "token", (F.col("tf") * F.coalesce("idf", rare)).alias("v"))
-    norm = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = weighted.groupBy("of").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template_norm = template.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("template_norm"))
-    dots = weighted.join(template, "token").groupBy("notice", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = weighted.join(template, "token").groupBy("of", "template").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 6)
-    near = dots.join(norm, "notice").join(template_norm, "template").select("notice", "template", cosine.alias("cosine"))
-    best = near.where(F.col("cosine") >= least_cosine).groupBy("notice").agg(
+    near = dots.join(norm, "of").join(template_norm, "template").select("of", "template", cosine.alias("cosine"))
+    best = near.where(F.col("cosine") >= least_cosine).groupBy("of").agg(
         F.min(F.struct((-F.col("cosine")).alias("far"), "template")).alias("best")
     )
-    return best.select("notice", F.regexp_replace("best.template", "-header$", "").alias("license"), (-F.col("best.far")).alias("cosine"))
+    return best.select("of", F.regexp_replace("best.template", "-header$", "").alias("license"), (-F.col("best.far")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -224,20 +230,22 @@ def scanned(files: DataFrame) -> DataFrame:
 
     ``own`` tells a notice of the file itself; ``inherited_from`` is the directory whose licence file spoke otherwise.
     """
-    plain = files.select("path", "text")
-    found = notices(plain)
+    # What a text says of itself is found by path and text; equal rows share it.
+    file = F.sha2(F.concat(F.coalesce("path", F.lit("")), F.lit("\u0000"), F.coalesce("text", F.lit(""))), 256)
+    plain = files.select("path", "text").withColumn("file", file)
+    found = written(notices(plain), "license-notices")
     of_length = lambda c: F.when(F.col(c), F.length("notice")).otherwise(0)
-    spoken = found.join(classified(found), "notice").select(
-        "path", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), of_length(c).alias("notice_chars")) for c in ("in_line", "wrapped")])).alias("s"),
+    spoken = found.join(classified(found), "of").select(
+        "file", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), of_length(c).alias("notice_chars")) for c in ("in_line", "wrapped")])).alias("s"),
         "license", "cosine", F.lit(False).alias("full"),
     )
-    known = spoken.select("path", "s.kind", "s.notice_chars", "license", "cosine", "full").unionByName(matched_texts(plain))
+    known = spoken.select("file", "s.kind", "s.notice_chars", "license", "cosine", "full").unionByName(matched_texts(plain))
     best = F.min(F.struct((~F.col("full")).alias("part"), (-F.col("cosine")).alias("far"), "license")).alias("best")
-    own = known.groupBy("path", "kind").agg(best, F.sum("notice_chars").alias("notice_chars"))  # the same words count once per kind
-    own = own.groupBy("path").agg(F.min("best").alias("best"), F.max("notice_chars").alias("notice_chars"))
-    own = own.select("path", F.col("best.license").alias("own_license"), (-F.col("best.far")).alias("cosine"), "notice_chars")
-    sized = plain.select("path", F.length(F.trim("text")).alias("chars"))
-    marked = sized.join(own, "path", "left").withColumn("dir", directory(F.col("path")))
+    own = known.groupBy("file", "kind").agg(best, F.sum("notice_chars").alias("notice_chars"))  # the same words count once per kind
+    own = own.groupBy("file").agg(F.min("best").alias("best"), F.max("notice_chars").alias("notice_chars"))
+    own = own.select("file", F.col("best.license").alias("own_license"), (-F.col("best.far")).alias("cosine"), "notice_chars")
+    sized = plain.select("path", "file", F.length(F.trim("text")).alias("chars"))
+    marked = sized.join(own, "file", "left").withColumn("dir", directory(F.col("path")))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     speaks = marked.where("own_license IS NOT NULL AND dir IS NOT NULL").where(
         (100 * F.col("notice_chars") >= FILE_SHARE * F.col("chars")) | name.rlike(FILE_NAMES)

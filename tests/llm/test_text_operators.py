@@ -225,7 +225,22 @@ def test_licences(spark):
     assert got["a/b/c/main.py"] == got["a/b/d/e.py"] == ("GPL-3.0", False, "a/b")
     assert got["a/z.py"] == ("CC-BY-NC-4.0", True, None) and got["a/q.py"] == ("MIT", False, "a")
     assert got["top.py"] == got["x/y.py"] == (None, False, None)
-    assert licenses.scanned(df).count() >= len(rows) and licenses.scanned(df.limit(0)).count() == 0
+    assert got[None] == ("CC-BY-NC-4.0", True, None)
+    assert licenses.scanned(df).count() == len(rows) and licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_licences_of_rows_with_one_path(spark):
+    """Every row has the licence of its own text; equal rows say no more than one; a very long text is read to its end."""
+    mit, plain, long = "Licensed under the MIT License.", "plain words of no one", "more of it " * 100_000 + "\nLicensed under the MIT License."
+    part = mit + "\n" + "w " * 60  # less than a licence file's share once, more if it counted twice
+    rows = [("a/x.py", mit), ("a/x.py", plain), ("b/y.py", part), ("b/y.py", part), ("b/z.py", ""), (None, None), (None, plain), (None, mit), ("c/l.py", long)]
+    df = spark.createDataFrame(rows, "path string, text string").selectExpr("*", "'k' AS file", "1 AS place", "2 AS notice")
+    got = sorted(((str(r.path), str(r.license), r.own, r.inherited_from) for r in licenses.scanned(df).collect()), key=repr)
+    assert got == sorted([
+        ("a/x.py", "MIT", True, None), ("a/x.py", "MIT", False, "a"), ("b/y.py", "MIT", True, None), ("b/y.py", "MIT", True, None),
+        ("b/z.py", "None", False, None), ("None", "None", False, None), ("None", "None", False, None), ("None", "MIT", True, None),
+        ("c/l.py", "MIT", True, None),
+    ], key=repr)
 
 
 def test_license_texts_by_their_words(spark):
