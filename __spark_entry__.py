@@ -21,7 +21,7 @@ import oracles
 from depotlens import schemas
 from depotlens.functions import dates as D
 from depotlens.operators import (
-    coldchain, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
+    coldchain, entities, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
     skew, systemic,
 )
 from depotlens.plans import monthly, questions, warehouse
@@ -492,6 +492,7 @@ def queries() -> dict[str, Query]:
         "reporting_periods": star(_reporting),
         "active_regions": star(lambda s: scope.active_regions(s.dim_region)),
         "outlet_conform": star(_outlets),
+        "outlet_entities": _on_sample(lambda s: entities.outlet_entities(s.outlets)),
         "product_conform": star(_products),
         "order_lines_conform": star(_order_lines),
         "deliveries_conform": star(_deliveries),

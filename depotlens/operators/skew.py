@@ -31,6 +31,23 @@ def mark_repeated_keys(df: DataFrame, key: str, row_id: str, flag: str) -> DataF
     )
 
 
+def looked_up(df: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``values``, which has one row per ``key`` at most; NULL where there is none.
+
+    Rows of heavy keys meet their values through a broadcast of at most HEAVY_SHARE rows; rows of other keys are joined
+    by key, and so are rows without one or with a heavy one, under a hash of the whole row that no key has.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    heavy = counts.where((F.col("_n") > 1) & (F.col("_n") * HEAVY_SHARE >= total)).select(key)
+    names = [c for c in values.columns if c != key]
+    hot = heavy.join(values, key, "left").select(key, F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_hot_{c}") for c in names])
+    spread = F.when(F.col("_heavy") | F.col(key).isNull(), F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))).otherwise(F.col(key).cast("string"))
+    cold = values.select(F.col(key).cast("string").alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    joined = df.join(F.broadcast(hot), key, "left").withColumn("_spread", spread).join(cold, "_spread", "left")
+    return joined.select(*df.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
+
+
 def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """One row ``(n)``: child rows whose non-NULL key has no parent.
 
