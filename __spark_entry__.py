@@ -198,12 +198,17 @@ def _line_keys(t: SampleTables) -> DataFrame:
     )
 
 
+def _bounds() -> dict:
+    return {"first": FIRST_DAY, "last": LAST_DAY, "expected_test_outlets": _test_outlets()}
+
+
 def _built(spark: SparkSession, sf_dir: str) -> StoredStar:
     """The warehouse of the sample, built in the shared folder, gated and opened."""
     out = f"{scratch_dir(spark)}/warehouse-{uuid4().hex}"
     sources = _star(spark, sf_dir).landed
-    stored = warehouse.build(sources, out)
-    warehouse.gate(stored, sources, first=FIRST_DAY, last=LAST_DAY, expected_test_outlets=_test_outlets())
+    bounds = _bounds()
+    stored = warehouse.build(sources, out, bounds=bounds)
+    warehouse.gate(stored, sources, **bounds)
     return warehouse.open_checked(spark, out)
 
 
@@ -543,6 +548,7 @@ def queries() -> dict[str, Query]:
         "feed_times": sample(_feed_times),
         "landed_fill_rate_region": lambda spark, sf_dir: service.fill_rate(_landed_star(spark, sf_dir), "region"),
         "unchanged_counts": _on_stored(_unchanged_counts),
+        "observed_report": _on_stored(lambda s: warehouse.report(s, **_bounds())),
         "invoice_stream": _invoice_stream,
         "invoice_stream_second_run": _invoice_stream_second_run,
         "carrier_flatten": sample(_carriers),
@@ -567,7 +573,7 @@ def oracle_sql() -> dict[str, str]:
         "invoice_stream_second_run": "invoice_stream", "match_rate_any_family": "match_rate",
         "answer_temperature_excursions": "excursions_by_month", "answer_late_routes": "late_routes",
         "answer_price_gap": "price_gap_top_skus", "answer_discontinued_orders": "discontinued_orders",
-        "landed_fill_rate_region": "fill_rate_region",
+        "landed_fill_rate_region": "fill_rate_region", "observed_report": "quality_report",
     }
     out |= {name: out[other] for name, other in same.items()}
     if llm is not None:

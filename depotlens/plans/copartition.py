@@ -14,6 +14,7 @@ name made of their path, by the session that opens it; the files stay where they
 from __future__ import annotations
 
 from hashlib import sha256
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -34,13 +35,17 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.hash(key), F.lit(buckets))
 
 
-def write(df: DataFrame, path: str, day: str, buckets: int, key: str = KEY) -> None:
-    """Write ``df`` below ``path``, partitioned by the month of ``day`` and bucketed by ``key``."""
+def write(
+    df: DataFrame, path: str, day: str, buckets: int, key: str = KEY, seen: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> None:
+    """Write ``df`` below ``path``, partitioned by the month of ``day`` and bucketed by ``key``.
+
+    ``seen`` may observe the rows as the writing tasks get them.
+    """
     month = f"{day}_month"
     placed = df.withColumns({month: D.month_key(F.col(day)), "_bucket": bucket_of(key, buckets)})
     (
-        placed.hint("rebalance", F.col(month), F.col("_bucket"))
-        .drop("_bucket")
+        seen(placed.hint("rebalance", F.col(month), F.col("_bucket")).drop("_bucket"))
         .write.partitionBy(month)
         .bucketBy(buckets, key)
         .option("path", path)

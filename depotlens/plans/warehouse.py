@@ -14,8 +14,9 @@ rows is written by many tasks. Order lines and deliveries are bucketed by order
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import dates as D
 from ..operators import quality
@@ -30,7 +31,8 @@ MONTH_OF = {
     "fact_freight": "invoice_date",
     "fact_inventory_snapshot": "snapshot_date",
 }
-BUILDS, VERDICT, REPORT, CLAIM = "builds", "_verdict", "_quality_report", "_claimed"
+BUILDS, VERDICT, REPORT, CLAIM, OBSERVED = "builds", "_verdict", "_quality_report", "_claimed", "_observed"
+OBSERVED_COLUMNS = "table_name string, aggregates string, observed map<string, bigint>"
 CONCURRENT_WRITES = 4
 
 
@@ -38,25 +40,31 @@ class WarehouseNotChecked(Exception):
     """No build of the warehouse went through its gate and passed."""
 
 
-def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
-    """Write one table, partitioned by the month of ``day`` if given."""
+def write_table(df: DataFrame, path: str, day: str | None = None, seen: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+    """Write one table, partitioned by the month of ``day`` if given; ``seen`` may observe the rows as they are written."""
     if day is None:
-        df.write.parquet(path)
+        seen(df).write.parquet(path)
         return
     month = f"{day}_month"
-    (
-        df.withColumn(month, D.month_key(F.col(day)))
-        .hint("rebalance", F.col(month))
-        .write.partitionBy(month)
-        .parquet(path)
-    )
+    placed = df.withColumn(month, D.month_key(F.col(day))).hint("rebalance", F.col(month))
+    seen(placed).write.partitionBy(month).parquet(path)
 
 
-def write_fact(df: DataFrame, path: str, name: str, order_buckets: int) -> None:
+def write_observed(df: DataFrame, path: str, name: str, order_buckets: int, **bounds) -> quality.Observed:
+    """Write one table of the star; what the gate counts in it is counted by the writing tasks.
+
+    The rows are observed behind the last shuffle, where Spark takes the count of each task once, however often it ran.
+    """
+    aggregates, observation = quality.table_aggregates(name, **bounds), Observation()
+
+    def seen(placed: DataFrame) -> DataFrame:
+        return placed.observe(observation, *aggregates)
+
     if name in BUCKETED and order_buckets:
-        copartition.write(df, path, BUCKETED[name], order_buckets)
+        copartition.write(df, path, BUCKETED[name], order_buckets, seen=seen)
     else:
-        write_table(df, path, MONTH_OF.get(name))
+        write_table(df, path, MONTH_OF.get(name), seen)
+    return quality.Observed(quality.text_of(aggregates), observation.get)
 
 
 def _numbers(spark: SparkSession, out: str) -> list[int]:
@@ -80,10 +88,11 @@ def _claimed(spark: SparkSession, out: str) -> str:
             return folder
 
 
-def build(landed: Sources, out: str, order_buckets: int = 4, **star_options) -> StoredStar:
+def build(landed: Sources, out: str, order_buckets: int = 4, bounds: dict | None = None, **star_options) -> StoredStar:
     """Write every table of the star as a new build below ``out``. It is not served before ``gate``.
 
     ``order_buckets`` should be about the number of tasks that a join of all lines deserves; 0 leaves the buckets out.
+    ``bounds`` are those the gate will be given; under others it counts again the tables that they concern.
     """
     spark = landed.spark
     lazy = LazyStar(landed, **star_options)
@@ -93,7 +102,9 @@ def build(landed: Sources, out: str, order_buckets: int = 4, **star_options) ->
     # The tables do not depend on each other; a few writes at a time keep the cluster busy
     # through the tail of each.
     with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
-        list(pool.map(lambda n: write_fact(frames[n], f"{base}/{n}", n, order_buckets), names))
+        seen = list(pool.map(lambda n: write_observed(frames[n], f"{base}/{n}", n, order_buckets, **(bounds or {})), names))
+    observed = [(n, o.aggregates, o.values) for n, o in zip(names, seen)]
+    spark.createDataFrame(observed, OBSERVED_COLUMNS).coalesce(1).write.parquet(f"{base}/{OBSERVED}")  # one row per table
     # A partitioned table without rows holds no file that could tell its columns.
     schemas = [(n, _stored_schema(frames[n], MONTH_OF.get(n)).json()) for n in names]
     spark.createDataFrame(schemas, "table_name string, schema string").coalesce(1).write.parquet(f"{base}/{SCHEMAS}")
@@ -116,9 +127,22 @@ def tables_found(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(n for n in quality.EXPECTED_TABLES if folder_exists(spark, f"{path.rstrip('/')}/{n}/_SUCCESS"))
 
 
+def observed_of(star: StoredStar) -> dict[str, quality.Observed]:
+    """What was counted of each table while the build was written; nothing for builds that did not count."""
+    if not folder_exists(star.spark, f"{star.path}/{OBSERVED}/_SUCCESS"):
+        return {}
+    rows = star.spark.read.parquet(f"{star.path}/{OBSERVED}").collect()  # one row per table
+    return {r["table_name"]: quality.Observed(r["aggregates"], r["observed"]) for r in rows}
+
+
+def report(star: StoredStar, **bounds) -> DataFrame:
+    """The checks of a build. Counts, NULL keys, ranges and domains are those its writes observed."""
+    return quality.report(star, tables=tables_found(star.spark, star.path), observed=observed_of(star), **bounds)
+
+
 def gate(star: StoredStar, landed: Sources | None = None, **bounds) -> DataFrame:
     """Check the tables of a build (and the sources, if given), write its verdict, return the report."""
-    checks = quality.report(star, tables=tables_found(star.spark, star.path), **bounds)
+    checks = report(star, **bounds)
     if landed is not None:
         checks = checks.unionByName(quality.source_report(landed))
         rejected = quality.rejected_report(landed)

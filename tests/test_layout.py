@@ -3,11 +3,13 @@
 import re
 from dataclasses import replace
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from depotlens.operators import money, overview, periods, service
+from depotlens import schemas
+from depotlens.operators import money, overview, periods, quality, service
 from depotlens.plans import copartition, monthly, warehouse
 from depotlens.plans.star import LazyStar, StoredStar
 from depotlens.sources.sample import SampleTables
@@ -59,7 +61,10 @@ def test_a_build_is_read_by_another_session(spark, built):
 
 def test_a_hot_order(mini, spark, order, line, tmp_path):
     """It is written as many files, and a star that it would unbalance does not read by bucket."""
-    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    conf = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.autoBroadcastJoinThreshold": "50k",  # lines stay the streamed side, as at any real size
+    }
     before = {k: spark.conf.get(k) for k in conf}
     rows = [line(i, 1, 10, 9) for i in range(6000)] + [line(9000 + i, 2 + i % 40, 5, 5) for i in range(200)]
     sources = mini(orders=[order(i) for i in range(1, 42)], order_lines=rows).landed
@@ -136,3 +141,65 @@ def test_one_changed_month_is_rewritten(spark, mini, order, line, tmp_path):
         for p in (periods.ALL_DATA, periods.period(month="2026-04")):
             assert service.fill_rate(monthly.of(star), "region", p).collect() == service.fill_rate(star, "region", p).collect()
             assert service.otif(monthly.of(star), "region", p).collect() == service.otif(star, "region", p).collect()
+
+
+BOUNDS = {"first": date(1994, 1, 1), "last": date(2002, 12, 31), "expected_test_outlets": 3}
+
+
+def files_read(df):
+    """Tables of the build that a plan scans."""
+    return {m for f in df.inputFiles() for m in re.findall(r"/builds/\d+/(\w+)/", f)}
+
+
+def test_the_gate_reads_no_fact_for_what_the_writes_counted(spark, mini, rows_of, order, line, tmp_path):
+    outlets = [{"outlet_id": 1, "outlet_code": "O1", "outlet_name": "ZZ"}, {"outlet_id": None, "outlet_code": "O2", "outlet_name": "Shop"}]
+    freight = [{"invoice_id": str(i), "invoice_date": date(1999, i, 1), "amount_inr": Decimal(1)} for i in (1, 2)]
+    orders = [order(1, "1970-01-01"), order(2, "1998-03-04"), order(3, "1998-05-04", outlet=9)]
+    lines = [line(i, 1 + i % 3, 10, 9) for i in range(50)]
+    deliveries = [
+        {"delivery_id": i, "order_id": i, "route_id": 1, "warehouse_id": 1, "dispatch_datetime": f"20{i:02d}-05-11 08:00:00", "delay_minutes": 0}
+        for i in (1, 2, 3)
+    ]
+    sources = mini(outlets=outlets, orders=orders, order_lines=lines, deliveries=deliveries).landed
+    sources = replace(sources, freight=rows_of(schemas.FREIGHT, freight))
+    for buckets in (0, 4):
+        star = warehouse.build(sources, str(tmp_path / "w"), buckets, BOUNDS)
+        tables = warehouse.tables_found(spark, star.path)
+        plain = quality.report(star, tables=tables, **BOUNDS)
+        got = warehouse.report(star, **BOUNDS)
+        assert len(got.collect()) == 37 and sorted(got.collect()) == sorted(plain.collect())
+        rows = {r.check_name: r.observed for r in got.collect()}
+        assert rows["nonzero_rows:fact_order_lines"] == 50 and rows["nonzero_rows:fact_weather"] == 0
+        assert rows["date_range:fact_order_lines.order_date"] == 17 and rows["date_range:fact_deliveries.dispatch_datetime"] == 1
+        assert rows["no_null_key:dim_outlet.outlet_id"] == 1
+        # Only unique keys and references are still read; other bounds read again the tables they concern.
+        keyed = {t for t, _ in quality.PRIMARY_KEYS} | {t for fk in quality.FOREIGN_KEYS for t in (fk[0], fk[2])}
+        assert files_read(got) <= keyed and "fact_freight" in files_read(plain) and "fact_freight" not in files_read(got)
+        only = quality.table_checks("fact_order_lines", star.order_lines, warehouse.observed_of(star)["fact_order_lines"], **BOUNDS)
+        assert not only.inputFiles()
+        other = BOUNDS | {"first": date(1960, 1, 1)}
+        assert {r.check_name: r.observed for r in warehouse.report(star, **other).collect()}["date_range:fact_order_lines.order_date"] == 0
+
+
+def test_a_failed_write_leaves_no_verdict(spark, mini, order, line, tmp_path):
+    landed = mini(orders=[order(1)], order_lines=[line(1, 1, 1, 1)]).landed
+    broken = replace(landed, outlets=landed.outlets.withColumn("outlet_name", F.raise_error(F.lit("lost")).cast("string")))
+    out = str(tmp_path / "w")
+    with pytest.raises(Exception, match="lost"):
+        warehouse.build(broken, out)
+    with pytest.raises(warehouse.WarehouseNotChecked, match="missing"):
+        warehouse.open_checked(spark, out)
+    star = StoredStar(spark, f"{out}/builds/00000001")
+    assert warehouse.observed_of(star) == {}  # a report of it would read the tables
+
+
+def test_observed_rows_of_a_split_month_count_once(spark, mini, order, line, tmp_path):
+    """Rows are observed where they are written, so a month that is dealt to many tasks counts once."""
+    orders = [order(1, "1998-03-04"), order(2, "1998-04-04")]
+    lines = [line(i, 1 if i % 3 else 2, 10, 9) for i in range(3000)]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        star = warehouse.build(mini(orders=orders, order_lines=lines).landed, str(tmp_path / "w"), 4, BOUNDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert warehouse.observed_of(star)["fact_order_lines"].values["n"] == 3000 == star.order_lines.count()
