@@ -21,7 +21,7 @@ import oracles
 from depotlens import schemas
 from depotlens.functions import dates as D
 from depotlens.operators import (
-    coldchain, entities, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service,
+    coldchain, entities, facts, matching, money, overview, periods, price, privacy, profile, quality, scope, service, spread,
     skew, systemic,
 )
 from depotlens.plans import monthly, questions, warehouse
@@ -561,6 +561,8 @@ def queries() -> dict[str, Query]:
         out[f"stored_{name}"] = _on_stored(build)
     for name in MONTHLY:
         out[f"monthly_{name}"] = _on_months(STORED[name])
+    out["monthly_quantiles"] = _on_months(spread.accuracy)
+    out["monthly_quantiles_quarter"] = _on_months(lambda s: spread.accuracy(s, P(2000, 4)))
     if llm is not None:
         out |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
     return out

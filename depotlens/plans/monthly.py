@@ -22,7 +22,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D
-from ..operators import service
+from ..operators import service, spread
 from ..operators.periods import Period
 from ..operators.scope import fulfilled
 from ..session import folder_exists
@@ -90,9 +90,19 @@ def tables() -> dict[str, Sums]:
             lambda s: [_lines(s, "order_id", "ordered_eaches", "delivered_eaches"), _deliveries_by_order_month(s)],
             lambda s, only: _monthed(service.otif_by_order(s, only=fulfilled() & only), "order_date"), _sum(*service.OTIF_SUMS),
         ),
+        "delay_sketch": _sketches("delay", lambda s: [s.deliveries.select("dispatch_datetime_month", "region_id", "delay_minutes")]),
+        "fulfilment_sketch": _sketches("fulfilment", lambda s: [_lines(s, "order_id", "region_id", "ordered_eaches", "delivered_eaches")]),
     }
 
 
+def _sketches(measure: str, facts: Callable[[StoredStar], list[DataFrame]]) -> Sums:
+    """Mergeable sketches of a measure; they add up as sums do."""
+    day = spread.DAY_OF[measure]
+    return Sums(
+        day, ("region_id",), facts, lambda s, only: _monthed(spread.values(s, measure, only=only), day), spread.sketch_sums()
+    )
+
+
 def _monthed(df: DataFrame, day: str) -> DataFrame:
     return df.withColumn(f"{day}_month", D.month_key(F.col(day)))
 
@@ -188,6 +198,9 @@ class MonthlyStar(StoredStar):
             return None
         return self.sums("otif_by_place", period)
 
+    def sketch_rows(self, measure: str, period: Period) -> DataFrame | None:
+        return self.sums(f"{measure}_sketch", period) if period.whole_months else None
+
 
 def of(star: StoredStar) -> MonthlyStar:
     return MonthlyStar(star.spark, star.path)

@@ -95,6 +95,10 @@ class _Star:
         """Sums of on-time-in-full by place, if they are kept for such a period and threshold."""
         return None
 
+    def sketch_rows(self, measure: str, period: Period) -> DataFrame | None:
+        """Sketches of a measure by region, if they are kept for such a period."""
+        return None
+
     def dimension(self, name: str) -> DataFrame:
         return {
             "outlet": lambda: self.dim_outlet_plain,

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens import schemas
-from depotlens.operators import money, overview, periods, quality, service
+from depotlens.operators import money, overview, periods, quality, service, spread
 from depotlens.plans import copartition, monthly, warehouse
 from depotlens.plans.star import LazyStar, StoredStar
 from depotlens.sources.sample import SampleTables
@@ -129,14 +129,14 @@ def test_one_changed_month_is_rewritten(spark, mini, order, line, tmp_path):
 
     first, folders = build(lines, deliveries)
     same, again = build(lines[::-1], deliveries)
-    assert again == folders and len(folders) == 3 * 3  # three tables have rows, in three months
+    assert again == folders and len(folders) == 4 * 3 + 1  # four tables have rows in three months, delays in the month of dispatch
     changed, other = build([*lines[:1], line(2, 2, 10, 4), lines[2]], deliveries)
-    assert {k for k in folders if folders[k] != other[k]} == {(t, "2026-04") for t in ("lines_by_place", "otif_by_place")}
+    assert {k for k in folders if folders[k] != other[k]} == {(t, "2026-04") for t in ("lines_by_place", "otif_by_place", "fulfilment_sketch")}
     written = [f for f in {*other.values()} - {*folders.values()}]
     assert all([r[0] for r in spark.read.parquet(f).select("order_date_month").distinct().collect()] == ["2026-04"] for f in written)
     late = [*deliveries[:2], {**deliveries[2], "delay_minutes": 5}]
     _, third = build([*lines[:1], line(2, 2, 10, 4), lines[2]], late)
-    assert {k for k in other if other[k] != third[k]} == {("otif_by_place", "2026-05")}
+    assert {k for k in other if other[k] != third[k]} == {("otif_by_place", "2026-05"), ("delay_sketch", "2026-05")}
     for star in (first, same, changed):  # each build keeps its own sums
         for p in (periods.ALL_DATA, periods.period(month="2026-04")):
             assert service.fill_rate(monthly.of(star), "region", p).collect() == service.fill_rate(star, "region", p).collect()
@@ -203,3 +203,37 @@ def test_observed_rows_of_a_split_month_count_once(spark, mini, order, line, tmp
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert warehouse.observed_of(star)["fact_order_lines"].values["n"] == 3000 == star.order_lines.count()
+
+
+def test_quantiles_from_sketches_of_months(spark, built):
+    sums = monthly.of(built)
+    for period in (periods.ALL_DATA, QUARTER):
+        for measure in spread.MEASURES:
+            got = spread.quantiles(sums, measure, period)
+            assert "/fact_" not in plan_of(got)
+            facts = spread.values(built, measure, period).toPandas().groupby("region_id")["value"]
+            rows = {r.region_id: r for r in got.collect()}
+            assert rows.keys() == facts.groups.keys() and all(rows[k].n_values == len(v) for k, v in facts)
+            for k, v in facts:
+                for q in spread.QUANTILES:
+                    e = rows[k][f"p{round(100 * q)}"]
+                    assert (v < e).mean() - spread.RANK_ERROR <= q <= (v <= e).mean() + spread.RANK_ERROR
+        assert all(r.within_bound for r in spread.accuracy(sums, period).collect())
+    one = spread.quantiles(sums, "delay", QUARTER, "ASI").collect()
+    assert [r.region_code for r in one] == ["ASI"] and spread.quantiles(sums, "delay", QUARTER, "NONE").collect() == []
+    odd = periods.Period(date(1998, 4, 3), date(1998, 6, 9), "odd")
+    assert "/monthly/" not in plan_of(spread.quantiles(sums, "delay", odd))
+    with pytest.raises(ValueError):
+        spread.quantiles(sums, "weight")
+
+
+def test_sketches_of_a_hot_region(spark):
+    """A million values, two thirds of them one value, merged of a hundred sketches."""
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") % 3 < 2, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("value"), (F.col("id") % 100).alias("part")
+    )
+    parts = rows.groupBy("part").agg(*spread.sketch_sums())
+    at = F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("sketch"), F.array(F.lit(0.5), F.lit(0.9)))
+    half, high = parts.agg(at.alias("q")).first()["q"]
+    assert half == 7.0 and abs((rows.where(F.col("value") <= high).count() / 1e6) - 0.9) <= spread.RANK_ERROR
+    assert parts.agg(F.max(F.length("sketch"))).first()[0] < 8 * 4 * spread.SKETCH_SIZE
