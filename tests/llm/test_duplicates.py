@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from depotlens.llm import digest, lines, sigtree
 from depotlens.llm.common import components
 
@@ -130,6 +133,34 @@ def test_small_fans_make_deep_trees(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == expected_components(rows)
 
 
+def test_equal_sets_have_equal_hashes_wherever_they_stand():
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abacadae"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"])
+    told = next(sigtree._signatures(iter([batch])))
+    hashes = list(zip(told.column(3).to_pylist(), told.column(4).to_pylist()))
+    assert len(set(hashes[::2])) == 1 and len(set(hashes)) == 5
+
+
+def test_wide_bitmaps_bound_the_overlap():
+    """No linked pair is given up, whatever its sizes, and unlike ones of many tokens are."""
+    rng = np.random.default_rng(5)
+    columns, linked = [[] for _ in range(6)], []
+    for k in range(300):
+        n = int(rng.choice([1, 5, 250, 260, 1100, 5000]))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[int(n * rng.choice([0, 0.1, 0.2, 0.9])) :], rng.integers(0, 1 << 63, int(n * rng.choice([0, 0.1, 0.2, 0.9])), dtype=np.uint64)]))
+        if not len(y):
+            continue
+        shared = len(np.intersect1d(x, y))
+        linked.append((k, 100 * shared >= 80 * (len(x) + len(y) - shared), shared, max(len(x), len(y))))
+        for column, value in zip(columns, (k, k, len(x), sigtree._wide_bitmap(x), len(y), sigtree._wide_bitmap(y))):
+            column.append(value)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "n", "x", "m", "y"])
+    kept = set(next(sigtree._perhaps_linked(80)(iter([batch]))).column(0).to_pylist())
+    assert all(k in kept for k, link, _, _ in linked if link) and any(link for _, link, _, _ in linked)
+    assert not any(k in kept for k, _, shared, n in linked if n > 250 and 3 * shared < n)
+
+
 def test_components_of_the_sample(sample):
     df, rows = sample
     assert found_components(df) == expected_components([(i, r["text"]) for i, r in rows.items()])
