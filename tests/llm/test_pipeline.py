@@ -1,7 +1,10 @@
 """The pipeline's stages on the sample, and its result against the stages' brute-force counterparts."""
 
+import re
+
 import corpus_pipeline
-from depotlens.llm import dropout, mixing
+from depotlens.llm import dropout, lines, mixing, sigtree
+from depotlens.llm.common import written
 
 from .conftest import SF
 from .test_duplicates import expected_components, kept_lines
@@ -38,3 +41,44 @@ def test_stages_return_the_columns_of_documents(spark, awkward):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             out.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF).columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+
+
+def python_steps_in_one_stage(df):
+    """The most Python steps that one task of ``df`` runs, by its plan before it is run."""
+    above, most = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = re.search(r"\w", line).start()
+        above = [(d, name) for d, name in above if d < depth] + [(depth, re.match(r"\W*(\w+)", line)[1])]
+        names = [name for _, name in above]
+        last = max((i for i, name in enumerate(names) if "Exchange" in name), default=0)
+        most = max(most, names[last:].count("MapInArrow"))
+    return most
+
+
+def test_no_stage_has_workers_of_two_python_steps(spark, monkeypatch):
+    """Small tables are sent to all tasks, which must not put two steps with Python workers into one stage."""
+    base = [f"line {i} of a text with its own words {i * 7} and {i * 13}" for i in range(60)]
+    docs = [(i, "\n".join([*base[:40], f"line {i} stands here alone"]), "en", "a", 0) for i in range(6)]
+    docs += [(i, "\n".join(x[:-1] + "x" for x in base), "en", "b", 0) for i in range(6, 9)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = written(docs, "few-docs")
+    seen = {}
+
+    def noted(df, name):
+        seen.setdefault(name, []).append(python_steps_in_one_stage(df))
+        return written(df, name)
+
+    monkeypatch.setattr(lines, "written", noted)
+    monkeypatch.setattr(sigtree, "written", noted)
+    assert python_steps_in_one_stage(lines.without_repeats(docs)) == 1
+    assert python_steps_in_one_stage(sigtree.without_copies(docs)) <= 1
+    assert max(seen["lines-near"]) == max(seen["sets"]) == max(seen["sifted-pairs"]) == 1, seen
+    assert all(most <= 1 for found in seen.values() for most in found), seen
+
+
+def test_budgets_need_no_python_worker(spark):
+    sized = spark.createDataFrame([("a", 10), (None, 4)], "source string, size long")
+    budget = mixing.budget_table(sized, (3, 1, 2), 150, 2)
+    assert budget.dtypes == [("source", "string"), ("source_size", "bigint"), ("target", "double")]
+    assert "PythonRDD" not in budget._jdf.queryExecution().toRdd().toDebugString()
+    assert sorted(map(tuple, budget.collect()), key=str) == [("a", 10, 15.75), (None, 4, 5.25)]
