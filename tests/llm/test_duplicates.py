@@ -7,8 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
-from depotlens.llm import digest, lines, sigtree
-from depotlens.llm.common import components
+from depotlens.llm import common, digest, lines, sigtree
+from depotlens.llm.common import components, contracted, written
 
 from .conftest import SPACE, words
 
@@ -185,6 +185,30 @@ def test_star_contraction_follows_long_chains(spark):
     assert got == {i: 0 for i in range(301)} | {999: 999, 1000: 999, 1001: 999}
 
 
+def test_contraction_ends_at_stars_and_may_end_before(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(name) or written(df, name))
+    stars = spark.createDataFrame([(10 * k + i, 10 * k) for k in range(4) for i in range(1, 5)], "u long, v long")
+    assert {r.vertex: r.component for r in components(stars).collect()} == {10 * k + i: 10 * k for k in range(4) for i in range(5)}
+    assert len(made) == 1  # finished stars need no further round
+    chains = [(i, i + 1) for i in range(40) if i != 20]
+    some = contracted(spark.createDataFrame(chains, "u long, v long"), "some", 1)
+    assert len(made) == 3 and all((r.u <= 20) == (r.v <= 20) and r.u > r.v for r in some.collect())
+    assert {r.vertex: r.component for r in components(some).collect()} == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def test_sets_are_fetched_without_a_shuffle_of_texts(sample, monkeypatch):
+    plans = defaultdict(list)
+
+    def noted(df, name):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(sigtree, "written", noted)
+    sigtree.jaccard_components(sample[0])
+    assert plans["sets"] and not any("Exchange" in p for p in plans["sets"])
+
+
 def test_digests_of_the_sample(sample):
     df, rows = sample
     got = {r.doc_id: r for r in digest.neighbours(df).collect()}
