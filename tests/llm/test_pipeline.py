@@ -1,6 +1,9 @@
 """The pipeline's stages on the sample, and its result against the stages' brute-force counterparts."""
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 from depotlens.llm import dropout, lines, mixing, sigtree
@@ -10,6 +13,8 @@ from .conftest import SF
 from .test_duplicates import expected_components, kept_lines
 from .test_ledger_and_mixing import measures
 
+ROOT = Path(__file__).parents[2]
+
 
 def quality_kept(text):
     n, chars, symbols, dup, repeats = measures(text)
@@ -82,3 +87,34 @@ def test_budgets_need_no_python_worker(spark):
     assert budget.dtypes == [("source", "string"), ("source_size", "bigint"), ("target", "double")]
     assert "PythonRDD" not in budget._jdf.queryExecution().toRdd().toDebugString()
     assert sorted(map(tuple, budget.collect()), key=str) == [("a", 10, 15.75), (None, 4, 5.25)]
+
+
+KEPT_BY_A_WORKER = """
+import random, re
+from types import SimpleNamespace
+import pyarrow as pa
+from depotlens.llm import common, dropout
+
+class Docs:
+    sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda name: "2000"))
+    def mapInArrow(self, function, schema):
+        return function
+
+def held():
+    return int(re.search(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+draw = random.Random(3)
+words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 12))) for _ in range(60_000)]
+batches = [pa.record_batch({"doc_id": [i], "text": [" ".join(draw.choices(words, k=50_000))]}) for i in range(6)]
+run = common.arrow(Docs(), dropout._encoder(dropout.vocabulary(dropout.PIECE_BPE_32K), 0, 1, 0.1), "")
+before = held()
+assert sum(len(out) for out in run(iter(batches))) == 6
+print(held() - before)
+"""
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends():
+    """Workers wait for later tasks, while the JVM beside them needs the room."""
+    done = subprocess.run([sys.executable, "-c", KEPT_BY_A_WORKER], capture_output=True, text=True, cwd=ROOT)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 30, f"{done.stdout.strip()} MB stay with an idle worker"
