@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotlens import schemas
-from depotlens.operators import quality
-from depotlens.plans import copartition, warehouse
+from depotlens.operators import periods, quality
+from depotlens.plans import copartition, monthly, warehouse
 from depotlens.plans.star import FACT_TABLES, LazyStar
 from depotlens.session import REMOVE_SHUFFLES, file_bytes, shuffles_removed
 
@@ -98,3 +98,36 @@ def test_the_setting_lasts_as_long_as_the_last_who_asked(spark):
     assert spark.conf.get(REMOVE_SHUFFLES) == "true"
     second.__exit__(None, None, None)
     assert spark.conf.get(REMOVE_SHUFFLES, None) == was
+
+
+def test_months_are_summed_in_parts(spark, sources, tmp_path, monkeypatch):
+    assert monthly.parts_of({"a": 9, "b": 1}) == [["a", "b"]] and monthly.parts_of({}) == []
+    monkeypatch.setattr(monthly, "PART_ROWS", 1)
+    assert monthly.parts_of({"a": 9, "b": 4, "c": 5, "": 1}) == [["a"], ["c"], ["b"], [""]]
+    monkeypatch.setattr(monthly, "MOST_PARTS", 2)
+    assert monthly.parts_of({"a": 9, "b": 4, "c": 5, "": 1}) == [["", "a"], ["b", "c"]]
+    star = warehouse.build(sources, str(tmp_path / "w"), 4, BOUNDS)
+    sums = monthly.of(star)
+    for name, t in monthly.tables().items():
+        kept = sums.sums(name, periods.ALL_DATA)
+        plain = [c for c in t.of(star).columns if c != "sketch"]
+        assert rows(kept.select(*plain)) == rows(t.of(star).select(*plain))
+
+
+def test_the_gate_shuffles_one_key_at_a_time(spark, sources, tmp_path):
+    star = warehouse.build(sources, str(tmp_path / "w"), 4, BOUNDS)
+    got = warehouse.gate(star, sources, **BOUNDS)
+    assert rows(got) == rows(warehouse.report(star, **BOUNDS).unionByName(quality.source_report(sources)))
+    parts = quality.report_parts(star, observed=warehouse.observed_of(star), **BOUNDS) + quality.source_parts(sources)
+    joins = [p._jdf.queryExecution().optimizedPlan().toString().count("Union") for p in parts]
+    assert not any(joins[1:]) and len(parts) == 1 + len(quality.PRIMARY_KEYS) + len(quality.FOREIGN_KEYS) + 10
+
+
+def test_files_are_ordered_and_packed(spark, sources, tmp_path):
+    star = warehouse.build(sources, str(tmp_path / "w"), 4, BOUNDS)
+    for name, (key, _) in warehouse.SLICED.items():
+        files = star.table(name).inputFiles()
+        assert files and all(".zstd." in f for f in files)
+        for f in files:
+            found = [r[0] for r in spark.read.parquet(f).select(key).coalesce(1).collect()]
+            assert found == sorted(found, key=lambda k: (k is not None, k))
